@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, warc
+from . import decontaminate, langid, licenses, linededup, mixing, neardup, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_line_dedup": linededup.op2_line_dedup,
+    "op4_near_duplicates": neardup.op4_near_duplicates,
+    "op5_language_id": langid.op5_language_id,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_warc": warc.op8_warc,
