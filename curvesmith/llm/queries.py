@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, linededup, mixing, neardup, warc
+from . import decontaminate, langid, licenses, linededup, mixing, neardup, suffixdedup, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -12,5 +12,6 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_warc": warc.op8_warc,
+    "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
 }
 SQL = {"op7_mix_sources": mixing.OP7_SQL, "op8_warc": warc.OP8_SQL}
