@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licenses, linededup, mixing, neardup, suffixdedup, warc
+from . import chat, decontaminate, langid, licenses, linededup, mixing, neardup, suffixdedup, topk, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_line_dedup": linededup.op2_line_dedup,
+    "op3_chat_format": chat.op3_chat_format,
     "op4_near_duplicates": neardup.op4_near_duplicates,
     "op5_language_id": langid.op5_language_id,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_warc": warc.op8_warc,
+    "op9_top_k": topk.op9_top_k,
     "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
 }
-SQL = {"op7_mix_sources": mixing.OP7_SQL, "op8_warc": warc.OP8_SQL}
+SQL = {"op7_mix_sources": mixing.OP7_SQL, "op8_warc": warc.OP8_SQL, "op9_top_k": topk.OP9_SQL}

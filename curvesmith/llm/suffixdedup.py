@@ -334,6 +334,20 @@ def _finish(rows: DataFrame, spans: DataFrame, base: list[str], others: list[str
     return joined.mapInArrow(run, out)
 
 
+def decoded(cut: DataFrame, body: str = "kept", name: str = "kept_text") -> DataFrame:
+    """Adds the bytes of a column as text, without the parts of characters that a cut left."""
+    from pyspark.sql import types as T
+
+    at = cut.columns.index(body)
+
+    def run(batches):
+        for b in batches:
+            text = [None if x is None else x.decode("utf-8", "ignore") for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*b.schema.names, name])
+
+    return cut.mapInArrow(run, T.StructType([*cut.schema.fields, T.StructField(name, T.StringType())]))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", *OWN)
