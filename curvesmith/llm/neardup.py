@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bagminhash, kernels
-from .common import cut, slices, stored, table, utf8
+from .common import cut, partitions_for, slices, stored, table, utf8
 from .components import components
 
 WIDTH, LEAST = 5, 0.8
 #: Bytes of text worked on at a time.
 SLICE = 2 << 20
+#: Pairs whose signatures agree in a smaller share than LEAST - SLACK are not verified: six standard deviations of the
+#: share at LEAST, so a pair that belongs is lost with 1e-8.
+SLACK = 6 * (LEAST * (1 - LEAST) / bagminhash.COMPONENTS) ** 0.5
+#: Members of a bucket that are compared in one task; a larger one is dealt as pairs of blocks.
+BLOCK = 1024
 
 
 def bags(data: np.ndarray, at: np.ndarray, width: int):
@@ -32,7 +37,7 @@ def contents(sh: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, content, bands) of every document; bands only for texts with words."""
+    """(id, content, bands, sig) of every document; sig holds 8 bits of each component."""
 
     def run(batches):
         for batch in batches:
@@ -41,13 +46,15 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 at = offsets[i : j + 1] - offsets[i]
                 sh, sat = bags(data[offsets[i] : offsets[j]], at, width)
                 x, w, doc = kernels.runs(sh, sat)
-                keys = bagminhash.bands(bagminhash.signatures(x, w, doc, j - i)).view(np.int64)
+                sig = bagminhash.signatures(x, w, doc, j - i)
+                keys = bagminhash.bands(sig).view(np.int64)
+                short = (sig & np.uint64(0xFF)).astype(np.uint8)
                 content = contents(sh, sat)
                 flat = pa.array(keys.reshape(-1), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * keys.shape[1]), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(content), lists], names=["id", "content", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(content), lists, pa.array([r.tobytes() for r in short], pa.binary())], names=["id", "content", "bands", "sig"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("content", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("content", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -89,8 +96,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     1. Each text is signed; texts with equal multisets share a content digest and count once from here on.
     2. In each band's bucket all contents are paired with the smallest: as many pairs as members, not their square.
     3. Pairs are verified on the texts; components of the verified links are found.
-    4. In buckets that still hold several components, members of different ones are paired and verified too, so a link
-       that the stars missed is found; buckets of one component, as those of large groups of copies, give no pairs.
+    4. In buckets that still hold several components, members of different ones are compared by signature, and verified
+       if those agree, so a link that the stars missed is found; buckets of one component, as those of large groups of
+       copies, give no pairs.
 
     Texts of fewer words than `width` are one shingle; texts without words are classes of their own, as nothing can be
     said of them. A null id is not less than any other id: a class has a null class_id only if it has no other.
@@ -104,19 +112,17 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stars = cut(shared.filter("content <> low").select(F.col("content").alias("a"), F.col("low").alias("b")).distinct())
 
     wanted = stars.select(F.col("a").alias("content")).unionByName(stars.select(F.col("b").alias("content"))).distinct()
-    holder = known.select("id", "content").join(wanted, "content").groupBy("content").agg(F.min("id").alias("id"))
-    texts = stored(_texts(docs, holder, id_col, text_col, width), "texts")
-    links = cut(verified(stars, texts, width, least))
+    sigs = stored(known.select("content", "sig").join(wanted, "content").dropDuplicates(["content"]), "sigs")
+    likely = cut(agreeing(stars, sigs, least - SLACK))
+    links = cut(verified(likely, _texts(docs, known, likely, id_col, text_col, width), width, least))
     comp = cut(components(links))
 
-    placed = shared.join(comp.withColumnRenamed("node", "content"), "content", "left").select("band", "low", "content", F.coalesce("root", "content").alias("root"))
-    split = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("band")
-    rest = placed.join(split, "band")
-    l, r = rest.alias("l"), rest.alias("r")
-    cross = l.join(r, F.col("l.band") == F.col("r.band")).filter("l.root < r.root and l.content <> l.low and r.content <> r.low")
-    cross = cut(cross.select(F.col("l.content").alias("a"), F.col("r.content").alias("b")).distinct())
+    root = F.coalesce("root", "content")
+    placed = shared.join(comp.withColumnRenamed("node", "content"), "content", "left").select("band", "low", "content", root.alias("root"))
+    split = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).filter("r0 < r1").select("band", "n")
+    cross = cut(across(placed.join(split, "band").join(sigs, "content"), least - SLACK).distinct())
     if not cross.isEmpty():
-        more = verified(cross, texts, width, least)
+        more = verified(cross, _texts(docs, known, cross, id_col, text_col, width), width, least)
         comp = cut(components(links.unionByName(more)))
 
     named = rows.select("id", "content").join(comp.withColumnRenamed("node", "content"), "content", "left")
@@ -126,9 +132,66 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return known.unionByName(named.filter("content = 0").select("id", F.col("id").alias("class_id")))
 
 
-def _texts(docs: DataFrame, holder: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(content, text) for the contents in holder (content, id); rows that share an id are told apart by their content."""
-    held = holder.select("content", F.col("id").alias("_id"))
+def agreeing(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+    """Those (a, b) whose signatures agree in a share of `least` or more."""
+    both = pairs.join(sigs.select(F.col("content").alias("a"), F.col("sig").alias("sa")), "a")
+    both = both.join(sigs.select(F.col("content").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            mask = pa.array((x == y).mean(1) >= least) if batch.num_rows else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def across(members: DataFrame, least: float) -> DataFrame:
+    """members (band, low, content, root, n, sig) to pairs (a, b) of one bucket, but different components, whose
+    signatures agree. Buckets stream through a task one after another, and only pairs that agree leave it; a bucket of
+    more than BLOCK members comes as pairs of blocks. Pairs with the bucket's smallest member were seen before."""
+    parts = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
+    own = F.pmod(F.xxhash64("content"), F.col("parts")).cast("int")
+    dealt = members.filter("content <> low").withColumn("parts", parts).withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "content", "root", "sig")
+    key = ["band", "i", "j"]
+    dealt = dealt.repartition(partitions_for(members.sparkSession), *key).sortWithinPartitions(*key)
+
+    def pairs(rows):
+        i, j = rows[0][1], rows[0][2]
+        own = np.array([r[3] for r in rows])
+        content, root = np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64)
+        sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+        right = np.flatnonzero(own == j)
+        for k in np.flatnonzero(own == i):
+            c = right[(right > k) | (i != j)]
+            c = c[root[c] != root[k]]
+            for m in c[(sig[c] == sig[k]).mean(1) >= least]:
+                yield min(content[k], content[m]), max(content[k], content[m])
+
+    def run(batches):
+        rows, last, out = [], None, []
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:3] != last:
+                    if len(rows) > 1:
+                        out += pairs(rows)
+                    rows, last = [], r[:3]
+                rows.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+            out = []
+        if len(rows) > 1:
+            out = list(pairs(rows))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def _texts(docs: DataFrame, known: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(content, text) for the contents in pairs; rows that share an id are told apart by their content."""
+    wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct()
+    held = known.select("id", "content").join(wanted, "content").groupBy("content").agg(F.min("id").alias("_id"))
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(held, F.col("id").eqNullSafe(F.col("_id"))).select("content", "text")
 
     def run(batches):
@@ -138,7 +201,7 @@ def _texts(docs: DataFrame, holder: DataFrame, id_col: str, text_col: str, width
             mask = pa.array(own == batch.column(0).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["content", "text"])
 
-    return found.mapInArrow(run, "content bigint, text string").dropDuplicates(["content"])
+    return stored(found.mapInArrow(run, "content bigint, text string").dropDuplicates(["content"]), "texts")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
