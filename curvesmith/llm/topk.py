@@ -15,8 +15,10 @@ from .common import stored, table
 CANDIDATES, QUERIES = 2048, 1024
 #: Blocks of candidates at least, so that small tables also spread.
 LEAST_BLOCKS = 64
+#: Share of the lists that is read first: in tens of dimensions bounds part after about this much.
+FIRST = 0.625
 #: List entries read at a time.
-ENTRIES = 1 << 20
+ENTRIES = 1 << 17
 
 
 class Lists:
@@ -25,23 +27,22 @@ class Lists:
     def __init__(self, x: np.ndarray):
         self.x = x
         order = np.argsort(x, axis=0, kind="stable").T
-        self.order = np.ascontiguousarray(order).astype(np.int32)
-        self.value = np.take_along_axis(x.T, order, axis=1).astype(np.float64)
+        value = np.take_along_axis(x.T, order, axis=1).astype(np.float64)
+        #: [0]: from the least component on; [1]: from the greatest on
+        self.order = np.ascontiguousarray(np.stack([order, order[:, ::-1]]), np.int64)
+        self.value = np.ascontiguousarray(np.stack([value, value[:, ::-1]]))
+        self.lists = np.arange(x.shape[1])
 
     def read(self, up: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Entries lo..hi of every list (candidates, components); from the far end where the query's weight is not
-        negative, so the best contributions come first. up: (queries, dimensions)."""
-        n = self.order.shape[1]
-        i_up, v_up = self.order[:, n - hi : n - lo][:, ::-1], self.value[:, n - hi : n - lo][:, ::-1]
-        i_dn, v_dn = self.order[:, lo:hi], self.value[:, lo:hi]
-        pick = up[:, :, None]
-        return np.where(pick, i_up[None], i_dn[None]), np.where(pick, v_up[None], v_dn[None])
+        negative, so the best contributions come first. up: (queries, dimensions), 1 or 0."""
+        return self.order[:, :, lo:hi][up, self.lists], self.value[:, :, lo:hi][up, self.lists]
 
 
 def top_k(lists: Lists, q: np.ndarray, own: np.ndarray, names: np.ndarray, k: int) -> list[np.ndarray]:
     """For each query: the candidates with the k best scores, ties to smaller names, best first.
 
-    Lists are read to a half, three quarters, and so on. A candidate's score lies between what was read of it plus the
+    Lists are read to a share of FIRST, then by halves of the rest. A candidate's score lies between what was read of it plus the
     least (lower bound) or the last read contribution (upper bound) of the lists in which it was not yet met. Reading
     stops when no unmet candidate can reach the k-th best lower bound; those whose upper bound does are then resolved.
     own: index of the query among the candidates, or -1.
@@ -52,26 +53,31 @@ def top_k(lists: Lists, q: np.ndarray, own: np.ndarray, names: np.ndarray, k: in
     for g in range(0, len(q), step):
         live = np.arange(g, min(g + step, len(q)))
         w = q[live].astype(np.float64)
-        up = w >= 0
-        least = np.minimum(w * lists.value[:, 0], w * lists.value[:, -1])
-        got, floor = np.zeros((len(live), n)), np.zeros((len(live), n))
-        met_i: list[np.ndarray] = []
-        depth, to = 0, max(1, (n + 1) // 2)
+        up = (w >= 0).astype(np.int64)
+        least = np.minimum(w * lists.value[0, :, 0], w * lists.value[0, :, -1])
+        low, got = np.zeros((len(live), n)), np.zeros((len(live), n))
+        seen: list[np.ndarray] = []
+        depth, to = 0, max(1, int(n * FIRST))
         while len(live):
             ids, v = lists.read(up, depth, to)
-            flat = (ids + (np.arange(len(live)) * n)[:, None, None]).reshape(-1)
+            flat = ids + (np.arange(len(live)) * n)[:, None, None]
             gain = v * w[:, :, None]
             size = len(live) * n
-            got += np.bincount(flat, gain.reshape(-1), size).reshape(-1, n)
-            floor += np.bincount(flat, np.broadcast_to(least[:, :, None], ids.shape).reshape(-1), size).reshape(-1, n)
-            met_i.append(ids)
+            count = lambda where, weight: np.bincount(where.reshape(-1), weight.reshape(-1), size).reshape(-1, n)  # noqa: B023, E731
+            low += count(flat, gain - least[:, :, None])
             last = gain[:, :, -1]
-            ceil = np.zeros((len(live), n))
-            for part in met_i:
-                flat = (part + (np.arange(len(live)) * n)[:, None, None]).reshape(-1)
-                ceil += np.bincount(flat, np.broadcast_to(last[:, :, None], part.shape).reshape(-1), size).reshape(-1, n)
-            lower = got + least.sum(1)[:, None] - floor
-            upper = got + last.sum(1)[:, None] - ceil
+            if depth == 0:  # all that was met is at hand
+                upper = count(flat, gain - last[:, :, None]) + last.sum(1)[:, None]
+                got = None
+            else:
+                if got is None:
+                    got = low - count(flat, gain - least[:, :, None]) + count(seen[0], np.broadcast_to(least[:, :, None], seen[0].shape))
+                got += count(flat, gain)
+                upper = got + last.sum(1)[:, None]
+                for part in [*seen, flat]:
+                    upper -= count(part, np.broadcast_to(last[:, :, None], part.shape))
+            seen.append(flat)
+            lower = low + least.sum(1)[:, None]
             mine = own[live]
             rows = np.flatnonzero(mine >= 0)
             lower[rows, mine[rows]] = -np.inf
@@ -83,9 +89,14 @@ def top_k(lists: Lists, q: np.ndarray, own: np.ndarray, names: np.ndarray, k: in
                 score = lists.x[c] @ q[live[r]]
                 out[live[r]] = c[np.lexsort((names[c], -score))[:k]]
             stay = ~done
-            live, w, up, least, got, floor = live[stay], w[stay], up[stay], least[stay], got[stay], floor[stay]
-            met_i = [p[stay] for p in met_i]
-            depth, to = to, min(n, to + max(1, (n - to + 1) // 2) if n - to > 8 else n)
+            if stay.any():
+                shift = (np.cumsum(stay) - 1 - np.arange(len(live)))[stay] * n
+                seen = [p[stay] + shift[:, None, None] for p in seen]
+                live, w, up, least, low = live[stay], w[stay], up[stay], least[stay], low[stay]
+                got = got[stay] if got is not None else None
+            else:
+                live = live[:0]
+            depth, to = to, min(n, to + max(8, (n - to + 1) // 2))
     return out
 
 
@@ -132,9 +143,10 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
                 continue
             x = np.frombuffer(b"".join(c.column("body").to_pylist()), np.int64).reshape(-1, d)
             q = np.frombuffer(b"".join(a.column("body").to_pylist()), np.int64).reshape(-1, d)
-            uid, ids = c.column("uid").to_numpy(), c.column("id").to_numpy()
+            uid, known = c.column("uid").to_numpy(), c.column("id").is_valid().to_numpy(zero_copy_only=False)
+            ids = c.column("id").fill_null(np.iinfo(np.int64).min).to_numpy()
             order = np.lexsort((uid, ids))
-            x, uid, ids = x[order], uid[order], ids[order]
+            x, uid, ids, known = x[order], uid[order], ids[order], known[order]
             at = {u: i for i, u in enumerate(uid)}
             own = np.array([at.get(u, -1) for u in a.column("uid").to_pylist()])
             best = top_k(Lists(x), q, own, np.arange(len(x)), k)
@@ -143,12 +155,12 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
                 out["query_uid"] += [u] * len(b)
                 out["query_id"] += [i] * len(b)
                 out["uid"] += uid[b].tolist()
-                out["vec_id"] += ids[b].tolist()
+                out["vec_id"] += [int(i) if ok else None for i, ok in zip(ids[b], known[b], strict=True)]
                 out["score"] += (x[b] @ q[r]).tolist()
         return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
     met = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(run, "query_uid bigint, query_id bigint, uid bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_uid").orderBy(F.desc("score"), F.asc("vec_id"), F.asc("uid"))
+    order = Window.partitionBy("query_uid").orderBy(F.desc("score"), F.asc_nulls_first("vec_id"), F.asc("uid"))
     ranked = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_uid", "query_id", "rank", "vec_id", "score")
 
