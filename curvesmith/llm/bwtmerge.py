@@ -17,7 +17,7 @@ from .kernels import U, mixed, powers
 WINDOW, SYMBOL = 100, 25
 DEPTH = WINDOW // SYMBOL
 #: Bytes of strings in one shard.
-SHARD = 1 << 19
+SHARD = 1 << 17
 
 
 def symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -28,11 +28,11 @@ GRAM = 24
 GRAMS = WINDOW - GRAM + 1
 #: Segments of one leader that are compared in one task; beyond it, windows are dealt one by one.
 HOT = 20_000
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Text whose segments are compared before the shuffle.
 CHUNK = 16 << 20
 #: Bytes of segments merged at a time.
-MERGE = 4 << 20
+MERGE = 1 << 20
 ROW = np.dtype([("m", "<u8"), ("c", "<u8"), ("id", "<i8"), ("lo", "<i4"), ("n", "<i2")])
 
 
