@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import curves, fitting, scalar
+
+QUERIES = {**scalar.QUERIES, **fitting.QUERIES, **curves.QUERIES}
+SQL = {**scalar.SCALAR_SQL, **fitting.SQL, **curves.SQL}
 FLAGSHIP = "basis_gram"
