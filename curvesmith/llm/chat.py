@@ -70,27 +70,26 @@ def validated(calls: DataFrame, schemas: dict) -> DataFrame:
 
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): the length of the longest chain of calls that a call waits for, so (level, turn) is a
-    topological order. needs: (conv_id, call_id, dep). Calls on a cycle, or behind one, have a null level. There are as
-    many rounds as levels; each drops the calls whose needs are met."""
+    topological order. calls: distinct (conv_id, call_id); needs: (conv_id, call_id, dep). Calls on a cycle, or behind
+    one, have a null level. There are as many rounds as levels; a round marks the needs that the last one met, and the
+    calls with none left are the next. Needs that are met leave the table."""
     key = ["conv_id", "call_id"]
-    nodes = calls.select(*key).distinct()
-    edges = needs.join(nodes.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left_semi")
-    edges = cut(edges.select("conv_id", "call_id", "dep").distinct().join(nodes, key, "left_semi"))
-    open_ = cut(nodes)
-    done, level = None, 0
+    nodes = calls.select(*key)
+    edges = needs.join(nodes.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left_semi").join(nodes, key, "left_semi")
+    edges = cut(edges.select("conv_id", "call_id", "dep").distinct())
+    waits = edges.select(*key).distinct()
+    front = cut(nodes.join(waits, key, "left_anti").withColumn("level", F.lit(0)))
+    done, level = front, 0
     while True:
-        ready = open_.join(edges.select(*key).distinct(), key, "left_anti")
-        now = cut(ready.withColumn("level", F.lit(level)))
-        if now.isEmpty():
-            break
-        done = now if done is None else done.unionByName(now)
-        open_ = cut(open_.join(now, key, "left_anti"))
-        if open_.isEmpty():
-            break
-        edges = cut(edges.join(now.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti"))
         level += 1
-    rest = open_.withColumn("level", F.lit(None).cast("int"))
-    return rest if done is None else done.unionByName(rest)
+        met = front.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("met"))
+        marked = cut(edges.join(met, ["conv_id", "dep"], "left"))
+        edges = marked.filter("met is null").select("conv_id", "call_id", "dep")
+        front = cut(marked.groupBy(*key).agg(F.count_if(F.col("met").isNull()).alias("n")).filter("n = 0").select(*key, F.lit(level).alias("level")))
+        if front.isEmpty():
+            break
+        done = done.unionByName(front)
+    return done.unionByName(edges.select(*key).distinct().withColumn("level", F.lit(None).cast("int")))
 
 
 def link(calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: dict) -> DataFrame:
@@ -104,11 +103,11 @@ def link(calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: dict)
     """
     key = ["conv_id", "call_id"]
     first = F.min(F.struct("turn", "tool", "args")).alias("c")
-    one = calls.groupBy(*key).agg(first).select(*key, "c.turn", "c.tool", "c.args")
+    one = cut(calls.groupBy(*key).agg(first).select(*key, "c.turn", "c.tool", "c.args"))
     answers = results.groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
-    one = validated(one, schemas)
+    answers = cut(answers)
     order = levels(one, needs)
-    full = one.join(answers.hint("shuffle_hash"), key, "left").join(order.hint("shuffle_hash"), key, "left")
+    full = validated(one, schemas).join(answers.hint("shuffle_hash"), key, "left").join(order.hint("shuffle_hash"), key, "left")
     body = F.to_json(F.struct(
         F.lit("call").alias("kind"), F.col("conv_id").cast("string").alias("conversation"), F.col("call_id").alias("id"), F.col("tool").alias("tool"),
         F.when(F.col("errors").isNull() | ~F.array_contains(F.coalesce("errors", F.array().cast("array<string>")), "not JSON"), F.try_parse_json("args")).alias("arguments"),
