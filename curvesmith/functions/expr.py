@@ -169,23 +169,29 @@ def show(n: Node, digits: int = 6) -> str:
 
 
 def to_column(n: Node, columns: dict[str, Column], strict: bool = False) -> Column:
-    """strict: null wherever a step is undefined or not finite; otherwise guarded, with 0 for what stays undefined."""
+    """strict: null where the value, or a logarithm or quotient on the way to it, is undefined or not finite; otherwise
+    guarded steps, and 0 for what stays undefined. Steps use each argument once (a check of each would copy it, and
+    nested copies multiply); the one check stands at the top."""
+    v = _column(n, columns, strict)
+    ok = safe.is_finite(v)
+    return F.when(ok, v) if strict else F.when(ok, v).otherwise(F.lit(0.0))
+
+
+def _column(n: Node, columns: dict[str, Column], strict: bool) -> Column:
     if n.op == "num":
         return F.lit(n.value)
     if n.op == "var":
         return columns[n.value].cast("double")
-    a = [to_column(x, columns, strict) for x in n.args]
-    guard = {
+    a = [_column(x, columns, strict) for x in n.args]
+    steps = {
         "+": lambda x, y: x + y, "*": lambda x, y: x * y, "neg": lambda x: -x, "sin": F.sin, "cos": F.cos, "tan": F.tan, "abs": F.abs,
         "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "asin": F.asin, "acos": F.acos, "atan": F.atan, "sign": F.signum,
         "exp": lambda x: F.exp(x if strict else F.greatest(F.least(x, F.lit(500.0)), F.lit(-500.0))),
         "log": lambda x: F.ln(x) if strict else F.ln(F.abs(x) + F.lit(1e-300)),
         "sqrt": lambda x: F.sqrt(x if strict else F.greatest(x, F.lit(0.0))),
-        "/": safe.divided, "^": F.pow,
+        "/": F.try_divide, "^": F.pow,
     }
-    v = guard[n.op](*a)
-    ok = safe.is_finite(v)
-    return F.when(ok, v) if strict else F.when(ok, v).otherwise(F.lit(0.0))
+    return steps[n.op](*a)
 
 
 def to_numpy(n: Node, columns: dict[str, np.ndarray]) -> np.ndarray:
