@@ -14,6 +14,8 @@ from .common import cut, table
 WORD = r"[^\x20\x09-\x0D]+"
 #: The random numbers of a source are dealt to this many bins; only the bin that holds the cut is sorted.
 BINS = 4096
+#: A table of one row per source is broadcast if it has no more rows than this (some 10 MB); else it is joined by source.
+SMALL = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -52,6 +54,10 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     return led.select("source", "source_size", full.alias("target"))
 
 
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df)
+
+
 def pareto_plan(sized: DataFrame, seed: str = "mix", **how) -> DataFrame:
     """sized: (id, source, size). Per source: whole copies, the fraction beyond them, and the last key of the Pareto
     order that is still taken (none: null)."""
@@ -63,22 +69,24 @@ def pareto_plan(sized: DataFrame, seed: str = "mix", **how) -> DataFrame:
     plan = plan.withColumn("whole", F.floor(F.col("target") / size).cast("long"))
     plan = plan.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = cut(plan.withColumn("fraction", F.col("need") / size))
+    one = small if plan.count() <= SMALL else lambda df: df
     same = F.col("b.source").eqNullSafe(F.col("p.source"))
     until = F.sum("s").over(Window.partitionBy("b.source").orderBy("bin"))
-    at = bins.alias("b").join(plan.alias("p"), same).select(F.col("b.source"), "bin", "s", "need", until.alias("until"))
-    # the first bin at whose end the need is passed; bins before it are taken whole
-    edge = at.filter(F.col("until") - F.col("s") / 2 <= F.col("need")).groupBy("source").agg(F.max("bin").alias("last"))
-    edge = at.alias("a").join(edge.alias("e"), F.col("a.source").eqNullSafe(F.col("e.source")))
-    edge = edge.filter((F.col("bin") == F.col("last")) | (F.col("bin") == F.col("last") + 1))
-    edge = edge.select(F.col("a.source").alias("source"), F.col("a.bin").alias("bin"), (F.col("until") - F.col("s")).alias("base"), "need")
+    at = bins.alias("b").join(one(plan.alias("p")), same).select(F.col("b.source"), "bin", "s", "need", until.alias("until"))
+    # the cut is in the last bin that begins before the need is met or, if that bin's first row is beyond it, at the end
+    # of the one before
+    begun = at.filter(F.col("until") - F.col("s") <= F.col("need"))
+    back = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("bin")))
+    edge = begun.withColumn("back", back).filter("back <= 2")
+    edge = edge.select("source", "bin", (F.col("until") - F.col("s")).alias("base"), "need")
     odds = F.col("u") / (1 - F.col("u"))
     near = key.alias("k").join(
-        edge.alias("e"), F.col("k.source").eqNullSafe(F.col("e.source")) & (F.col("k.bin") == F.col("e.bin"))
+        one(edge.alias("e")), F.col("k.source").eqNullSafe(F.col("e.source")) & (F.col("k.bin") == F.col("e.bin"))
     ).select(F.col("k.source").alias("source"), F.col("k.bin").alias("bin"), "base", "need", F.struct(odds.alias("q"), "id", "size").alias("key"), "size")
     upto = F.col("base") + F.sum("size").over(Window.partitionBy("source", "bin").orderBy("key"))
     taken = near.withColumn("upto", upto).filter(F.col("upto") - F.col("size") / 2 <= F.col("need"))
     last = taken.groupBy("source").agg(F.max("key").alias("last_key"))
-    return (
+    return cut(
         plan.alias("p").join(last.alias("l"), F.col("p.source").eqNullSafe(F.col("l.source")), "left")
         .select(F.col("p.source").alias("source"), "source_size", "target", "whole", "fraction", "last_key")
     )
@@ -103,7 +111,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # u is monotone in the Pareto key within a source, as the inclusion odds are the source's
     key = F.struct((u / (1 - u)).alias("q"), F.col(id_col).alias("id"), F.col("size"))
     more = F.when((F.col("_p_fraction") > 0) & (key <= F.col("_p_last_key")), 1).otherwise(0)
-    out = rows.join(plan, F.col(source_col).eqNullSafe(F.col("_p_source")), "left")
+    out = rows.join(small(plan) if plan.count() <= SMALL else plan, F.col(source_col).eqNullSafe(F.col("_p_source")), "left")
     out = out.withColumn("copies", (F.col("_p_whole") + more).cast("long"))
     out = out.withColumns({"source_size": F.col("_p_source_size"), "target": F.col("_p_target"), "fraction": F.col("_p_fraction")})
     return out.withColumn("taken", F.col("copies") * F.col("size")).drop(*plan.columns)
