@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import curves, fitting, scalar
+from .plans import curves, decisions, fitting, scalar
 
-QUERIES = {**scalar.QUERIES, **fitting.QUERIES, **curves.QUERIES}
-SQL = {**scalar.SCALAR_SQL, **fitting.SQL, **curves.SQL}
+QUERIES = {**scalar.QUERIES, **fitting.QUERIES, **curves.QUERIES, **decisions.QUERIES}
+SQL = {**scalar.SCALAR_SQL, **fitting.SQL, **curves.SQL, **decisions.SQL}
 FLAGSHIP = "basis_gram"

@@ -180,3 +180,33 @@ def test_stagnation_state(spark, tmp_path):
     got = trace.run_available(trace.stagnation(e, 5), "stag", "append").orderBy("generation").collect()
     assert [r.since_improvement for r in got] == [0, 0, 0, 0, 1, 2, 3, 4, 5, 6]
     assert [r.stagnant for r in got] == [False] * 8 + [True, True]
+
+
+def test_graph_contract(spark):
+    from curvesmith.functions import graph
+
+    g = {"nodes": [graph.node("input", feature=0), graph.node("unary", op="int_power", p=2.0, left=0)], "weights": [0.0, 2.0], "bias": 1.0}
+    assert [r[0] for r in spark.createDataFrame([(3.0,), (0.5,)], "x double").select(graph.to_column(g, [F.col("x")])).collect()] == [19.0, 1.5]
+    bad = {"nodes": [graph.node("unary", op="log", left=0)], "weights": [1.0], "bias": 0.0}
+    with pytest.raises(ValueError):
+        graph.to_column(bad, [])
+    add = {"nodes": [graph.node("input", feature=0), graph.node("input", feature=1), graph.node("binary", op="arithmetic", beta=1.0, gamma=1.0, left=0, right=1)], "weights": [0.0, 0.0, 1.0], "bias": 0.0}
+    assert graph.unit_penalty(add, [[1.0, 0.0], [1.0, 0.0]]) == 0 and graph.unit_penalty(add, [[1.0, 0.0], [0.0, 1.0]]) == 2
+
+
+def test_levenberg_finds_constants():
+    from curvesmith.operators.refine import levenberg
+
+    t = np.linspace(0, 3, 50)
+    p, m = levenberg(lambda p: p[0] * np.exp(p[1] * t) - 2 * np.exp(-0.7 * t), np.array([1.0, 0.0]), 100)
+    assert m < 1e-12 and np.allclose(p, [2, -0.7], atol=1e-4)
+
+
+def test_corpus_does_not_depend_on_partitions(spark):
+    from curvesmith.operators.refine import formula_corpus
+
+    a = sorted(tuple(r) for r in formula_corpus(spark, 40, 3).collect())
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "3")
+    b = sorted(tuple(r) for r in formula_corpus(spark, 40, 3).collect())
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert a == b and all(expr.parse(f) for _, f in a)
