@@ -149,7 +149,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: list[str], idf: n
     if len(aside):
         logits = np.array([x @ w[i] for i, x in (x_of(rows[r]) for r in aside)])
         truth = np.array([rows[r][2] for r in aside])
-        nll = lambda t: -np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-300).mean()
+        # labels are softened by what so many rows can't tell, or a sample without errors would ask for no temperature
+        soft = np.full(logits.shape, 1 / (len(truth) + 1) / k)
+        soft[np.arange(len(truth)), truth] += 1 - 1 / (len(truth) + 1)
+        nll = lambda t: -(soft * np.log(softmax(logits / t) + 1e-300)).sum(1).mean()
         lo, hi = math.log(0.05), math.log(20.0)
         for _ in range(40):  # golden section: the loss has one minimum in log t, or none inside
             a, b = lo + 0.382 * (hi - lo), lo + 0.618 * (hi - lo)
