@@ -159,3 +159,22 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every call and every result without one of `conversations`, linked, ordered, validated and serialised."""
     calls, results, needs = extracted(table(spark, sf_dir, "conversations"))
     return link(calls, results, needs, SCHEMAS)
+
+
+#: For messages that hold no tool calls, as those of `conversations`: exchanges only.
+OP3_SQL = r"""
+WITH m AS (SELECT conv_id, turn::BIGINT AS turn, role, coalesce(text, '') AS text FROM conversations),
+u AS (SELECT conv_id, turn, min(text) AS text FROM m WHERE role = 'user' GROUP BY 1, 2),
+a AS (SELECT conv_id, turn - 1 AS call, min(text) AS content, count(*) AS n FROM m WHERE role = 'assistant' GROUP BY 1, 2),
+g AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS chain FROM u),
+l AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, turn % 2, chain ORDER BY turn) - 1)::INT AS level, len(regexp_extract_all(text, '\S+')) AS words FROM g),
+j AS (SELECT l.*, 'turn-' || turn AS call_id, content, n, list_filter([CASE WHEN length(text) < 1 THEN 'text: minLength' END, CASE WHEN length(text) > 100000 THEN 'text: maxLength' END, CASE WHEN words < 1 THEN 'words: minimum' END], lambda x: x IS NOT NULL) AS e
+  FROM l LEFT JOIN a ON l.conv_id = a.conv_id AND l.turn = a.call)
+SELECT conv_id, turn, call_id, 'call' AS kind, 'reply' AS tool, level, content IS NOT NULL AS linked, CASE WHEN content IS NOT NULL THEN turn + 1 END AS result_turn, coalesce(n, 0) AS n_results,
+  len(e) = 0 AS valid, array_to_string(e, '; ') AS errors,
+  '{"arguments":{"text":' || to_json(text) || ',"words":' || words || '},"conversation":"' || conv_id || '","errors":' || to_json(e) || ',"id":"' || call_id || '","kind":"call","level":' || level
+  || CASE WHEN content IS NOT NULL THEN ',"result":' || to_json(content) ELSE '' END || ',"tool":"reply","valid":' || (len(e) = 0)::VARCHAR || '}' AS json FROM j
+UNION ALL
+SELECT a.conv_id, call + 1, 'turn-' || call, 'orphan', NULL, NULL, false, call + 1, n, NULL, '', '{"conversation":"' || a.conv_id || '","id":"turn-' || call || '","kind":"orphan","result":' || to_json(content) || '}'
+FROM a LEFT JOIN u ON a.conv_id = u.conv_id AND a.call = u.turn WHERE u.turn IS NULL
+"""

@@ -96,5 +96,17 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """removed: the character ranges as start-end, comma-joined; text: what is kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_units(docs).select("doc_id", "n_units", "n_removed", "removed", F.col("kept").alias("text"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return dedup_units(docs).select("doc_id", "n_units", "n_removed", spans.alias("removed"), F.col("kept").alias("text"))
+
+
+OP2_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text <> ''),
+n AS (SELECT *, regexp_extract_all(lower(line), '\S+') AS w, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS begin_at FROM l),
+r AS (SELECT *, len(w) >= 5 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, k) > 1 AS gone FROM n),
+g AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, string_agg(concat(begin_at::BIGINT, '-', (begin_at + length(line))::BIGINT), ',' ORDER BY k) FILTER (gone) AS removed, string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone) AS text FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, CASE WHEN d.text IS NOT NULL THEN coalesce(g.text, '') END AS text
+FROM documents d LEFT JOIN g USING (doc_id)
+"""
