@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import curves, decisions, fitting, scalar
+from .plans import curves, decisions, fitting, scalar, streams
 
-QUERIES = {**scalar.QUERIES, **fitting.QUERIES, **curves.QUERIES, **decisions.QUERIES}
-SQL = {**scalar.SCALAR_SQL, **fitting.SQL, **curves.SQL, **decisions.SQL}
+QUERIES = {**scalar.QUERIES, **fitting.QUERIES, **curves.QUERIES, **decisions.QUERIES, **streams.QUERIES}
+SQL = {**scalar.SCALAR_SQL, **fitting.SQL, **curves.SQL, **decisions.SQL, **streams.SQL}
 FLAGSHIP = "basis_gram"

@@ -23,7 +23,7 @@ def generation_stats(events: DataFrame) -> DataFrame:
 def event_windows(events: DataFrame, minutes: int = 60, late: str = "10 minutes") -> DataFrame:
     """Per event type and window of event time: count and sum; rows later than the watermark are left out."""
     return (
-        events.withWatermark("ts", late).groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "event_type")
+        events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "event_type")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
         .select(F.col("w.start").alias("start"), "event_type", "n", "total")
     )

@@ -210,3 +210,29 @@ def test_corpus_does_not_depend_on_partitions(spark):
     b = sorted(tuple(r) for r in formula_corpus(spark, 40, 3).collect())
     spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
     assert a == b and all(expr.parse(f) for _, f in a)
+
+
+def test_npz_round_trip(spark, tmp_path):
+    from curvesmith.sources import npz
+
+    df = synthetic.uniform_samples(spark, "x0 + 2*x1", {"x0": (0, 1), "x1": (0, 1)}, 20)
+    npz.write_npz(df, str(tmp_path / "a.npz"), ["x0", "x1"], "y")
+    back = npz.read_npz(spark, str(tmp_path / "a.npz"))
+    assert sorted(r.y for r in back.collect()) == sorted(r.y for r in df.collect()) and back.columns == ["row_id", "x0", "x1", "y"]
+    with pytest.raises(ValueError):
+        npz.write_npz(df, str(tmp_path / "b.npz"), ["x0"], "y", most=5)
+
+
+def test_plans_push_down_and_prune(spark):
+    from conftest import DATA
+
+    from curvesmith import catalog
+
+    def plan(name):
+        return catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+    fit = plan("fold_r2")
+    assert "l_shipdate" not in fit and "ArrowEvalPython" not in fit
+    assert fit.count("Exchange hashpartitioning") == 1  # partial sums before the only shuffle
+    assert "p_partkey <= 500" in plan("basis_long").replace("#", " ").replace("p_partkey", "p_partkey", 1) or "PushedFilters" in plan("basis_long")
+    assert "BatchEvalPython" not in "".join(map(plan, ("graph_eval", "moment_diagnostics", "threshold_f1", "dft_magnitude", "pareto_front")))
