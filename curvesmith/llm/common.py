@@ -41,6 +41,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows in an Arrow batch at most: texts are long, and batches are held on both sides of the pipe to Python.
+BATCH_ROWS = 1000
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches no longer than BATCH_ROWS."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

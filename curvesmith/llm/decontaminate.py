@@ -9,7 +9,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import lean, table
 
 #: Words are runs of these bytes of UTF-8 after A-Z went to a-z: digits, a-z, and all that is not ASCII.
 FOLD = bytes(
@@ -120,7 +120,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     spark = docs.sparkSession
     own = [*OWN, "hit_spans", "_hits", "_ids"]
-    df = docs.drop(*[c for c in own if c in docs.columns])
+    df = lean(docs).drop(*[c for c in own if c in docs.columns])
     blocks = blocks_of(benchmark, item_col, item_text, most)
     base = df.schema
     for n, block in enumerate(blocks):

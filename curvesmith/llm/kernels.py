@@ -31,7 +31,7 @@ def _powers(log: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B^i and B^-i modulo 2^64 for at least n values of i; the largest asked for is kept."""
-    up, down = _powers(max(16, int(n).bit_length()))
+    up, down = _powers(max(16, int(n - 1).bit_length()))
     return up, down
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 #: Hash space of the n-grams.
 SPACE = 1 << 16
@@ -23,7 +23,7 @@ ORDERS = (1, 2, 3)
 #: At most about this many labelled documents are gathered to fit the model (the bound on the sample).
 FIT_DOCS = 3000
 #: Characters worked on at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 UNKNOWN = "und"
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -164,7 +164,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: list[str], idf: n
 def train(labelled: DataFrame, key: Column, text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> Model | None:
     """labelled: documents to learn from. idf counts all of them; the fit takes those whose digest of `key` is below a
     threshold set for about `fit_docs` rows. None if there is no labelled document."""
-    labelled = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1 << 20)).alias("draw"))
+    labelled = lean(labelled).filter(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1 << 20)).alias("draw"))
 
     def count(batches):
         total, docs = np.zeros(SPACE, np.int64), 0
@@ -206,7 +206,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     was nothing to learn from. Columns of docs that are called like ours are replaced."""
     from pyspark.sql import types as T
 
-    docs = docs.drop(*[c for c in ("lang_pred", "score") if c in docs.columns])
+    docs = lean(docs).drop(*[c for c in ("lang_pred", "score") if c in docs.columns])
     names = docs.columns
     at = names.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import lean, stored, table
 
 #: What parts units: a line end, or a run of blank lines.
 PARTS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
@@ -45,7 +45,7 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Groups are counted and their first member found before and in the shuffle (partial aggregates), so one unit that
     fills a third of the table costs no task more than others; only groups of two and more are joined back.
     """
-    docs = docs.drop(*[c for c in [*OWN, "_h", "_gone"] if c in docs.columns])
+    docs = lean(docs).drop(*[c for c in [*OWN, "_h", "_gone"] if c in docs.columns])
     key = docs.withColumn("_h", F.xxhash64(text_col))
     names = key.columns
 

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bagminhash, kernels
-from .common import cut, partitions_for, slices, stored, table, utf8
+from .common import cut, lean, partitions_for, slices, stored, table, utf8
 from .components import components
 
 WIDTH, LEAST = 5, 0.8
 #: Bytes of text worked on at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Pairs whose signatures agree in a smaller share than LEAST - SLACK are not verified: six standard deviations of the
 #: share at LEAST, so a pair that belongs is lost with 1e-8.
 SLACK = 6 * (LEAST * (1 - LEAST) / bagminhash.COMPONENTS) ** 0.5
@@ -104,7 +104,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     said of them. A null id is not less than any other id: a class has a null class_id only if it has no other.
     Rows with the same id and text fall in one class. Contents are 64-bit digests.
     """
-    rows = stored(sign(docs, id_col, text_col, width), "signed")
+    rows = stored(sign(lean(docs), id_col, text_col, width), "signed")
     known = rows.filter("content <> 0")
     members = known.select("content", F.explode("bands").alias("band"))
     bucket = members.groupBy("band").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low < high").select("band", "low")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwtmerge import WINDOW, later_windows
-from .common import partitions_for, slices, stored, table, utf8
+from .common import lean, partitions_for, slices, stored, table, utf8
 from .kernels import U, mixed, powers
 
 GRAM = 24
@@ -290,7 +290,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs that are called like ours are replaced. Kept bytes need not be valid UTF-8, as bytes are what is compared.
     """
     docs = docs.drop(*[c for c in [*OWN, "kept", "removed", "id", "spans", "pack"] if c in docs.columns and c not in (id_col, text_col)])
-    rows, _ = numbered(docs, id_col, text_col)
+    rows, _ = numbered(lean(docs), id_col, text_col)
     spans = removed_spans(rows.select("id", text_col), hot)
     base = docs.columns
     others = [c for c in base if c != text_col]
