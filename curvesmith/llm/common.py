@@ -29,13 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and reads it back from the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Computes df once, as a table in the shared folder, so that a lost executor costs no recomputation. Not checkpoint():
+    that keeps what the optimizer has inferred of df, which multiplies from round to round of an iteration."""
+    return stored(df, "cut")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """As cut(), but as a Parquet table (compressed, columns can be pruned)."""
+    """df as a Parquet table in the shared folder."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
