@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from the checkpoint folder: that of spark.checkpoint.dir or of the context, or one
-    of our own where neither is set (tests)."""
+    """df, computed once and read back as a table in the checkpoint folder: that of spark.checkpoint.dir or of the context,
+    or one of our own where neither is set (tests). A table, as checkpoint() keeps what the optimizer inferred of df, and
+    that multiplies from round to round."""
     sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="curvesmith-"))
-    return df.checkpoint(eager=True)
+    path = sc.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="curvesmith-"))
+        path = sc._jsc.sc().getCheckpointDir().get()
+    path = f"{path.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
