@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bagminhash, kernels
-from .common import cut, lean, partitions_for, slices, stored, table, utf8
+from .common import cut, lean, partitions_for, returned, slices, stored, table, utf8
 from .components import components
 
 WIDTH, LEAST = 5, 0.8
@@ -53,6 +53,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 flat = pa.array(keys.reshape(-1), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * keys.shape[1]), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(content), lists, pa.array([r.tobytes() for r in short], pa.binary())], names=["id", "content", "bands", "sig"])
+        returned()
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("content", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwtmerge import WINDOW, later_windows
-from .common import lean, partitions_for, slices, stored, table, utf8
+from .common import lean, partitions_for, returned, slices, stored, table, utf8
 from .kernels import U, mixed, powers
 
 GRAM = 24
@@ -28,11 +28,11 @@ GRAM = 24
 GRAMS = WINDOW - GRAM + 1
 #: Segments of one leader that are compared in one task; beyond it, windows are dealt one by one.
 HOT = 20_000
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Text whose segments are compared before the shuffle.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Bytes of segments merged at a time.
-MERGE = 1 << 20
+MERGE = 1 << 19
 ROW = np.dtype([("m", "<u8"), ("c", "<u8"), ("id", "<i8"), ("lo", "<i4"), ("n", "<i2")])
 
 
@@ -114,8 +114,10 @@ def scan(docs: DataFrame, buckets: int) -> DataFrame:
                     if sum(map(len, parts)):
                         yield pack(parts)
                     parts, held = [], 0
+                    returned()
         if sum(map(len, parts)):
             yield pack(parts)
+        returned()
 
     return docs.mapInArrow(run, "bucket int, body binary")
 
@@ -154,6 +156,7 @@ def meet(packed: DataFrame, buckets: int, hot: int) -> DataFrame:
             for i in range(0, len(rows), 1 << 16):
                 x = rows[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x["m"].view(np.int64)), pa.array(x["id"]), pa.array(x["lo"]), pa.array(x["n"].astype(np.int32))], names=["kind", "m", "id", "lo", "n"])
+        returned()
 
     return packed.repartition(buckets, "bucket").mapInArrow(run, "kind tinyint, m bigint, id bigint, lo int, n int")
 
@@ -229,11 +232,13 @@ def compare(found: DataFrame) -> DataFrame:
                 if held >= MERGE and r[0] != last:
                     yield resolve(rows)
                     rows, held = [], 0
+                    returned()
                 rows.append(r)
                 held += len(r[3])
                 last = r[0]
         if rows:
             yield resolve(rows)
+        returned()
 
     by_leader = found.filter("body is not null").select("m", "id", "lo", "body").repartition(partitions_for(found.sparkSession), "m").sortWithinPartitions("m")
     return by_leader.mapInArrow(run, "id bigint, lo int, n int")
