@@ -71,25 +71,51 @@ def validated(calls: DataFrame, schemas: dict) -> DataFrame:
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): the length of the longest chain of calls that a call waits for, so (level, turn) is a
     topological order. calls: distinct (conv_id, call_id); needs: (conv_id, call_id, dep). Calls on a cycle, or behind
-    one, have a null level. There are as many rounds as levels; a round marks the needs that the last one met, and the
-    calls with none left are the next. Needs that are met leave the table."""
+    one, have a null level.
+
+    Calls that wait for one other form chains; their distance to the head of the chain is found by doubling, in as many
+    rounds as the logarithm of the longest chain. Only calls that wait for several are then ordered level by level, on
+    what is left: heads of chains and distances.
+    """
     key = ["conv_id", "call_id"]
     nodes = calls.select(*key)
     edges = needs.join(nodes.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left_semi").join(nodes, key, "left_semi")
     edges = cut(edges.select("conv_id", "call_id", "dep").distinct())
-    waits = edges.select(*key).distinct()
-    front = cut(nodes.join(waits, key, "left_anti").withColumn("level", F.lit(0)))
-    done, level = front, 0
-    while True:
-        level += 1
-        met = front.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("met"))
-        marked = cut(edges.join(met, ["conv_id", "dep"], "left"))
-        edges = marked.filter("met is null").select("conv_id", "call_id", "dep")
-        front = cut(marked.groupBy(*key).agg(F.count_if(F.col("met").isNull()).alias("n")).filter("n = 0").select(*key, F.lit(level).alias("level")))
-        if front.isEmpty():
+    counts = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("dep"))
+    chain = cut(counts.filter("n = 1").select(*key, F.col("dep").alias("head"), F.lit(1).cast("long").alias("far")))
+    most = chain.count()
+    for _ in range(max(1, most).bit_length() + 1):
+        hop = chain.select("conv_id", F.col("call_id").alias("head"), F.col("head").alias("next"), F.col("far").alias("more"))
+        step = cut(chain.join(hop, ["conv_id", "head"], "left"))
+        chain = step.select(*key, F.coalesce("next", "head").alias("head"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"))
+        if step.filter("next is not null").isEmpty():
+            break
+    # heads that are themselves in a chain, after all these rounds, are on a cycle
+    ends = chain.join(chain.select("conv_id", F.col("call_id").alias("head")), ["conv_id", "head"], "left_anti").select(*key, "head", "far")
+    ends = cut(ends)
+    roots = cut(nodes.join(counts.select(*key), key, "left_anti").withColumn("level", F.lit(0).cast("long")))
+    joint = edges.join(counts.filter("n > 1").select(*key), key, "left_semi")
+    to = ends.select("conv_id", F.col("call_id").alias("dep"), "head", "far")
+    stuck = counts.filter("n = 1").select(*key).join(ends, key, "left_anti").select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("stuck"))
+    joint = joint.join(to, ["conv_id", "dep"], "left").join(stuck, ["conv_id", "dep"], "left")
+    # a need behind a cycle keeps a head that is never met
+    head = F.when(F.col("stuck").isNotNull(), F.lit(None)).otherwise(F.coalesce("head", "dep"))
+    left = cut(joint.select(*key, head.alias("head"), (F.coalesce("far", F.lit(0)) + 1).alias("far"), F.lit(0).cast("long").alias("so_far")))
+    front = done = roots
+    while not left.isEmpty():
+        met = front.select("conv_id", F.col("call_id").alias("head"), F.col("level").alias("of_head"))
+        marked = cut(left.join(met, ["conv_id", "head"], "left"))
+        now = marked.groupBy(*key).agg(F.count_if(F.col("of_head").isNull() & (F.col("so_far") == 0)).alias("n"), F.max(F.greatest("so_far", F.col("of_head") + F.col("far"))).alias("level"))
+        front = cut(now.filter("n = 0").select(*key, "level"))
+        if front.isEmpty() and marked.filter("of_head is not null").isEmpty():
             break
+        known = F.coalesce(F.col("of_head") + F.col("far"), F.col("so_far"))
+        left = cut(marked.join(front.select(*key), key, "left_anti").select(*key, F.when(F.col("of_head").isNull(), F.col("head")).alias("head"), "far", known.alias("so_far")))
         done = done.unionByName(front)
-    return done.unionByName(edges.select(*key).distinct().withColumn("level", F.lit(None).cast("int")))
+    done = cut(done)
+    chained = ends.join(done.select("conv_id", F.col("call_id").alias("head"), "level"), ["conv_id", "head"]).select(*key, (F.col("level") + F.col("far")).alias("level"))
+    have = done.unionByName(chained)
+    return nodes.join(have, key, "left").select(*key, F.col("level").cast("int").alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: dict) -> DataFrame:

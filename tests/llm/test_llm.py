@@ -133,6 +133,34 @@ def test_chat(spark):
     assert chat.link(*chat.extracted(df.limit(0)), schemas).count() == 0
 
 
+def test_levels_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    calls, needs = [], []
+    for conv in range(12):
+        n = 40 if conv else 300
+        calls += [(conv, f"c{i}") for i in range(n)]
+        for i in range(1, n):
+            for _ in range(1 if conv == 0 else rng.choice([0, 1, 1, 1, 2, 3])):
+                needs.append((conv, f"c{i}", f"c{i - 1 if conv == 0 else rng.randrange(i)}"))
+    needs += [(3, "c1", "c5"), (3, "c5", "c1"), (4, "c2", "c2"), (5, "c3", "missing")]
+    deps = {}
+    for c, a, b in needs:
+        if (c, b) in set(calls):
+            deps.setdefault((c, a), set()).add((c, b))
+    want, todo = {}, set(calls)
+    while True:
+        ready = {c for c in todo if all(d in want for d in deps.get(c, ()))}
+        if not ready:
+            break
+        for c in ready:
+            want[c] = 1 + max(want[d] for d in deps[c]) if deps.get(c) else 0
+        todo -= ready
+    got = chat.levels(spark.createDataFrame(calls, "conv_id bigint, call_id string"), spark.createDataFrame(needs, "conv_id bigint, call_id string, dep string"))
+    assert {(r.conv_id, r.call_id): r.level for r in got.collect()} == {c: want.get(c) for c in calls}
+
+
 # ------------------------------------------------------------- 4 near duplicates
 
 
