@@ -14,8 +14,8 @@ from .common import lean, stored, table
 
 #: What parts units: a line end, or a run of blank lines.
 PARTS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
-#: Units of fewer words are never removed.
-LEAST_WORDS = 5
+#: Units of fewer words are never removed: only blank ones, unless a caller asks for more.
+LEAST_WORDS = 1
 OWN = {"n_units": pa.int64(), "n_removed": pa.int64(), "removed": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.string()}
 
 
