@@ -57,14 +57,18 @@ def problems(args: Column, schema: dict) -> Column:
 
 
 def validated(calls: DataFrame, schemas: dict) -> DataFrame:
-    """Adds valid and errors (array) to calls (…, tool, args): args is a JSON text."""
+    """Adds valid and errors (array) to calls (…, tool, args): args is a JSON text. Without a tool, args may be a whole
+    message whose calls could not be read."""
     calls = calls.withColumn("_v", F.try_parse_json("args"))
     found = F.when(F.col("_v").isNull(), F.array(F.lit("not JSON")))
+    nameless = F.col("tool").isNull() & F.col("args").isNotNull()
+    not_calls = F.coalesce(F.try_variant_get("_v", "$.tool_calls", "variant").isNotNull(), F.lit(False))
     known = F.lit(False)
     for name, schema in schemas.items():
         found = found.when(F.col("tool") == name, problems(F.col("_v"), schema))
         known = known | (F.col("tool") == name)
-    found = F.when(~F.coalesce(known, F.lit(False)), F.array(F.lit("unknown tool"))).otherwise(found)
+    unread = F.when(nameless & F.col("_v").isNull(), F.array(F.lit("not JSON"))).when(nameless & not_calls, F.array(F.lit("tool_calls: not array")))
+    found = unread.when(~F.coalesce(known, F.lit(False)), F.array(F.lit("unknown tool"))).otherwise(found)
     return calls.withColumn("errors", found).withColumn("valid", F.size("errors") == 0).drop("_v")
 
 
@@ -125,18 +129,21 @@ def link(calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: dict)
     level, linked, result_turn, n_results, valid, errors, json. Of calls with one id the earliest counts, and of results
     the earliest; ties by tool and arguments, or content. Ids are hash-joined within their conversation; both sides
     have one row per id by then, so no id is hot. Ids are compared as they are; rows without id or conversation are
-    not linked.
+    not linked, and each is a row of its own. Arguments that are not JSON are `text` in json.
     """
     key = ["conv_id", "call_id"]
+    own = F.when(F.col("conv_id").isNull() | F.col("call_id").isNull(), F.monotonically_increasing_id())
+    calls, results = calls.withColumn("_own", own), results.withColumn("_own", own)
     first = F.min(F.struct("turn", "tool", "args")).alias("c")
-    one = cut(calls.groupBy(*key).agg(first).select(*key, "c.turn", "c.tool", "c.args"))
-    answers = results.groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
-    answers = cut(answers)
+    one = cut(calls.groupBy(*key, "_own").agg(first).select(*key, "c.turn", "c.tool", "c.args"))
+    answers = results.groupBy(*key, "_own").agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
+    answers = cut(answers.drop("_own"))
     order = levels(one, needs)
     full = validated(one, schemas).join(answers.hint("shuffle_hash"), key, "left").join(order.hint("shuffle_hash"), key, "left")
     body = F.to_json(F.struct(
         F.lit("call").alias("kind"), F.col("conv_id").cast("string").alias("conversation"), F.col("call_id").alias("id"), F.col("tool").alias("tool"),
         F.when(F.col("errors").isNull() | ~F.array_contains(F.coalesce("errors", F.array().cast("array<string>")), "not JSON"), F.try_parse_json("args")).alias("arguments"),
+        F.when(F.try_parse_json("args").isNull(), F.col("args")).alias("text"),
         F.col("level").alias("level"), F.col("valid").alias("valid"), F.col("errors").alias("errors"), F.col("r.content").alias("result"),
     ))
     done = full.select(
@@ -155,36 +162,72 @@ def link(calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: dict)
     return done.unionByName(left)
 
 
+def _messages(messages: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    return messages.select(F.col(id_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
 def extracted(messages: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, results and needs in messages.
 
     Tool calls: a JSON object in an assistant's text, {"tool_calls": [{"id", "name", "arguments", "after": [ids]}]}.
     Tool results: a JSON object in a tool's text, {"tool_call_id", "content"}. Plain turns: each user turn is a call of
     `reply` with the id of its place, answered by the assistant's next turn, and waits for the user turn two before.
+
+    A call or result without id gets one of its own from its place and message, which nothing else has. A tool's text
+    without content is content as it stands; an assistant's that should hold calls but can't be read is a call without
+    a tool, with the text as arguments; without any calls (none, or null) it is said. Other roles: see standing().
     """
-    m = messages.select(F.col(id_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    m = _messages(messages, id_col, turn_col, role_col, text_col)
     place = lambda t: F.concat(F.lit("turn-"), t.cast("string"))
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     said = m.filter("role = 'user'")
     plain = said.select("conv_id", "turn", place(F.col("turn")).alias("call_id"), F.lit(REPLY).alias("tool"), F.to_json(F.struct("text", words.alias("words"))).alias("args"))
     waits = said.select("conv_id", place(F.col("turn")).alias("call_id"), place(F.col("turn") - 2).alias("dep"))
-    v = F.when((F.col("role") == "assistant") & F.col("text").startswith("{"), F.try_parse_json("text"))
-    listed = m.withColumn("v", v).withColumn("c", F.explode_outer(F.try_variant_get("v", "$.tool_calls", "array<variant>")))
-    spoken = listed.filter(F.col("c").isNotNull())
+    own = lambda *more: F.concat(place(F.col("turn")), F.lit("#"), *more, F.lower(F.hex(F.xxhash64("text"))))
+    v = F.when(F.col("text").startswith("{"), F.try_parse_json("text"))
+    spoken = m.filter("role = 'assistant'").withColumn("v", v).withColumn("c", F.try_variant_get("v", "$.tool_calls", "array<variant>"))
+    given = F.try_variant_get("v", "$.tool_calls", "variant")
+    meant = F.col("text").startswith("{") & F.contains("text", F.lit('"tool_calls"'))
+    wrong = F.col("c").isNull() & given.isNotNull() & ~F.is_variant_null(given)
+    kind = F.when(F.size("c") > 0, F.lit("calls")).when((meant & F.col("v").isNull()) | wrong, F.lit("broken")).otherwise(F.lit("said"))
+    spoken = spoken.withColumn("kind", kind)
+    listed = spoken.filter("kind = 'calls'").select("conv_id", "turn", "text", F.posexplode("c").alias("k", "c"))
     get = lambda path, kind: F.try_variant_get("c", path, kind)
-    asked = spoken.select("conv_id", "turn", get("$.id", "string").alias("call_id"), get("$.name", "string").alias("tool"), F.to_json(get("$.arguments", "variant")).alias("args"), get("$.after", "array<string>").alias("after"))
+    ident = F.coalesce(get("$.id", "string"), own(F.col("k").cast("string"), F.lit("-")))
+    asked = listed.select("conv_id", "turn", ident.alias("call_id"), get("$.name", "string").alias("tool"), F.to_json(get("$.arguments", "variant")).alias("args"), get("$.after", "array<string>").alias("after"))
     after = asked.select("conv_id", "call_id", F.explode("after").alias("dep"))
-    answer = m.filter("role = 'assistant'").filter(~(F.col("text").startswith("{") & F.contains("text", F.lit('"tool_calls"'))))
-    replies = answer.select("conv_id", "turn", place(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    broken = spoken.filter("kind = 'broken'").select("conv_id", "turn", own().alias("call_id"), F.lit(None).cast("string").alias("tool"), F.col("text").alias("args"))
+    replies = spoken.filter("kind = 'said'").select("conv_id", "turn", place(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     t = m.filter("role = 'tool'").withColumn("v", F.try_parse_json("text"))
-    tools = t.select("conv_id", "turn", F.try_variant_get("v", "$.tool_call_id", "string").alias("call_id"), F.coalesce(F.try_variant_get("v", "$.content", "string"), F.to_json(F.try_variant_get("v", "$.content", "variant"))).alias("content"))
-    return plain.unionByName(asked.drop("after")), replies.unionByName(tools), waits.unionByName(after)
+    ident = F.coalesce(F.try_variant_get("v", "$.tool_call_id", "string"), own(F.lit("result-")))
+    content = F.coalesce(F.try_variant_get("v", "$.content", "string"), F.to_json(F.try_variant_get("v", "$.content", "variant")), F.col("text"))
+    tools = t.select("conv_id", "turn", ident.alias("call_id"), content.alias("content"))
+    return plain.unionByName(asked.drop("after")).unionByName(broken), replies.unionByName(tools), waits.unionByName(after)
+
+
+def standing(messages: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """Messages that are neither call nor result, as rows like link()'s: kind 'system', or 'other' for roles unknown here."""
+    m = _messages(messages, id_col, turn_col, role_col, text_col).filter("role is null or role not in ('user', 'assistant', 'tool')")
+    kind = F.when(F.col("role") == "system", F.lit("system")).otherwise(F.lit("other"))
+    body = F.to_json(F.struct(kind.alias("kind"), F.col("conv_id").cast("string").alias("conversation"), F.when(kind == "other", F.col("role")).alias("role"), F.col("text").alias("text")))
+    none = lambda t: F.lit(None).cast(t)
+    return m.select(
+        "conv_id", "turn", F.concat(F.lit("turn-"), F.col("turn").cast("string")).alias("call_id"), kind.alias("kind"), none("string").alias("tool"), none("int").alias("level"),
+        F.lit(False).alias("linked"), none("long").alias("result_turn"), F.lit(0).cast("long").alias("n_results"), none("boolean").alias("valid"),
+        F.lit("").alias("errors"), canonical(body).alias("json"),
+    )
+
+
+def formatted(messages: DataFrame, schemas: dict) -> DataFrame:
+    """Every call, every result without one, and every standing message of messages (conv_id, turn, role, text)."""
+    calls, results, needs = extracted(messages)
+    return link(calls, results, needs, schemas).unionByName(standing(messages))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every call and every result without one of `conversations`, linked, ordered, validated and serialised."""
-    calls, results, needs = extracted(table(spark, sf_dir, "conversations"))
-    return link(calls, results, needs, SCHEMAS)
+    """Every call and every result without one of `conversations`, linked, ordered, validated and serialised, and its
+    standing messages."""
+    return formatted(table(spark, sf_dir, "conversations"), SCHEMAS)
 
 
 #: For messages that hold no tool calls, as those of `conversations`: exchanges only.

@@ -1,9 +1,12 @@
 """Operators lose nothing that the small tables happen not to have."""
 
+import json
+from collections import Counter
+
 import pytest
 from conftest import DATA, same_rows
 
-from curvesmith.llm import linededup
+from curvesmith.llm import chat, linededup
 
 
 @pytest.mark.parametrize("least", [1, 3])
@@ -29,3 +32,43 @@ def test_line_dedup_of_short_units(spark, least):
 def test_line_dedup_equals_sql_over_all_units(spark, duck):
     every = linededup.OP2_SQL.replace("len(w) >= 5", "len(w) >= 1")
     same_rows(linededup.op2_line_dedup(spark, DATA), duck.sql(every))
+
+
+def test_chat_loses_no_message(spark):
+    one = {"name": "add", "arguments": {"x": 1}}
+    m = [
+        (1, 0, "system", "Be brief."), (1, 1, "tool", "not json"), (1, 1, "tool", "also not"), (1, 2, "tool", "[1, 2]"), (1, 3, "tool", json.dumps({"content": "no id"})),
+        (2, 0, "assistant", json.dumps({"tool_calls": [one, {"name": "add", "arguments": {"x": 2}}, {**one, "after": ["a"]}, {**one, "id": "a"}]})),
+        (3, 1, "assistant", '{"tool_calls": [{"id"'), (3, 2, "assistant", '{"tool_calls": {"id": "z"}}'), (3, 3, "assistant", '{"tool_calls": []}'), (3, 4, "assistant", '{"content": "Hi", "tool_calls": null}'),
+        (4, 0, "developer", "odd"), (4, 1, None, "no role"),
+    ]
+    df = spark.createDataFrame(m, "conv_id bigint, turn bigint, role string, text string")
+    rows = chat.formatted(df, {"add": {"required": ["x"], "properties": {"x": {"type": "integer"}}}}).collect()
+    of = lambda conv, kind: sorted((r.turn, json.loads(r.json).get("result", json.loads(r.json).get("text"))) for r in rows if (r.conv_id, r.kind) == (conv, kind))
+    assert of(1, "system") == [(0, "Be brief.")]
+    assert of(1, "orphan") == [(1, "also not"), (1, "not json"), (2, "[1, 2]"), (3, "no id")]
+    calls = [r for r in rows if r.conv_id == 2]
+    assert sorted((r.level, json.loads(r.json)["arguments"]["x"], r.valid, r.linked) for r in calls) == [(0, 1, True, False), (0, 1, True, False), (0, 2, True, False), (1, 1, True, False)]
+    assert len({r.call_id for r in calls} - {None}) == 4
+    bad = {r.turn: r for r in rows if (r.conv_id, r.kind) == (3, "call")}
+    assert {t: (r.errors, r.valid) for t, r in bad.items()} == {1: ("not JSON", False), 2: ("tool_calls: not array", False)}
+    assert json.loads(bad[1].json)["text"] == m[6][3] and json.loads(bad[2].json)["arguments"] == {"tool_calls": {"id": "z"}}
+    assert of(3, "orphan") == [(3, m[8][3]), (4, m[9][3])]
+    assert of(4, "other") == [(0, "odd"), (1, "no role")]
+    assert len(rows) == 15
+
+
+def test_chat_rows_without_id_are_not_merged(spark):
+    calls = spark.createDataFrame([(1, 0, None, "t", "{}"), (1, 0, None, "t", "{}"), (1, 1, None, "u", "{}"), (None, 0, "a", "t", "{}"), (None, 0, "a", "u", "{}")], "conv_id bigint, turn bigint, call_id string, tool string, args string")
+    results = spark.createDataFrame([(1, 2, None, "x"), (1, 3, None, "y"), (None, 1, "a", "z")], "conv_id bigint, turn bigint, call_id string, content string")
+    needs = spark.createDataFrame([], "conv_id bigint, call_id string, dep string")
+    rows = chat.link(calls, results, needs, {"t": {}, "u": {}}).collect()
+    assert Counter((r.conv_id, r.kind) for r in rows) == {(1, "call"): 3, (None, "call"): 2, (1, "orphan"): 2, (None, "orphan"): 1}
+    assert not any(r.linked for r in rows)
+
+
+def test_chat_equals_sql_and_system_turns(spark, duck):
+    whole = chat.OP3_SQL + """UNION ALL
+SELECT conv_id, turn::BIGINT, 'turn-' || turn, 'system', NULL, NULL, false, NULL, 0, NULL, '', '{"conversation":"' || conv_id || '","kind":"system","text":' || to_json(coalesce(text, '')) || '}'
+FROM conversations WHERE role = 'system'"""
+    same_rows(chat.op3_chat_format(spark, DATA), duck.sql(whole))
