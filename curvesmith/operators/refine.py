@@ -144,15 +144,15 @@ def subset_by_size(rows: DataFrame, terms: dict[str, Column], y: str, slack: flo
     return rows.sparkSession.createDataFrame([(k, ",".join(names[t] for t in f.terms), float(f.mse), k == chosen) for k, f in best.items()], "n_terms int, terms string, mse double, chosen boolean")
 
 
-def beam(sample: DataFrame, inputs: list[str], y: str, width: int = 4, rounds: int = 2, generations: int = 8, seed: int = 3) -> DataFrame:
+def beam(rows: DataFrame, inputs: list[str], y: str, width: int = 4, rounds: int = 2, generations: int = 8, seed: int = 3) -> DataFrame:
     """Rounds of parallel searches, one configuration a group: the better half of the configurations goes on with new
     seeds derived from theirs; results of all rounds are ranked together."""
     from . import search, select
 
-    spark = sample.sparkSession
+    spark = rows.sparkSession
     configs, out = [(i, seed + 101 * i) for i in range(width)], None
     for r in range(rounds):
-        found = search.search(sample, inputs, y, spark.createDataFrame(configs, "config_id int, seed int"), generations).withColumn("round", F.lit(r))
+        found = search.search(rows, inputs, y, spark.createDataFrame(configs, "config_id int, seed int"), generations).withColumn("round", F.lit(r))
         out = found if out is None else out.unionByName(found)
         if r < rounds - 1:
             best = select.top_k(found, ["config_id"], ["mse", "size", "formula"], 1).orderBy("mse", "config_id").limit(max(1, width // 2)).collect()

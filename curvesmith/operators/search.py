@@ -1,4 +1,5 @@
-"""Population search over formulas: one group of a grouped map is one seed or configuration, over a small sample."""
+"""Population search over formulas: one group of a grouped map is one seed or configuration. Populations evolve on a
+sample of all rows, drawn by digest; errors of what is returned are those over all rows."""
 
 from __future__ import annotations
 
@@ -7,11 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import Node, num, show, size, to_numpy, var
+from ..functions.expr import Node, num, parse, show, size, to_numpy, var
+from ..sources.shared import cut
 
 UNARY = ("sin", "cos", "exp", "log", "sqrt", "^2", "^3")
 BINARY = ("+", "*", "/")
-#: Rows of the sample that is sent to every group.
+#: Rows of the sample that populations evolve on, sent to every group: those with the least digests.
 SAMPLE_ROWS = 2000
 RESULT = "config_id int, formula string, mse double, size int, generation int"
 
@@ -101,11 +103,41 @@ def evolve(x: dict[str, np.ndarray], y: np.ndarray, seed: int, generations: int
     return [best[k] for k in sorted(best)]
 
 
-def search(sample: DataFrame, inputs: list[str], y: str, configs: DataFrame, generations: int = 25) -> DataFrame:
+def sampled(rows: DataFrame, inputs: list[str], y: str, most: int = SAMPLE_ROWS) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Inputs and target of the `most` rows with the least digests of all their columns: from anywhere in the table, and
+    the same however it is partitioned. Smaller tables are taken whole."""
+    got = rows.withColumn("_d", F.xxhash64(*rows.columns)).orderBy("_d", *inputs, y).limit(most).select(*inputs, y).toPandas()
+    return {c: got[c].to_numpy(float) for c in inputs}, got[y].to_numpy(float)
+
+
+def scored_on_all(found: DataFrame, rows: DataFrame, inputs: list[str], y: str) -> DataFrame:
+    """found (formula, mse, ...), with the mse of each formula as shown over all rows, in one pass: parts of it from Arrow
+    batches, summed per formula. Infinite if the formula is undefined on a row. Found is a few formulas a configuration."""
+    found = cut(found)
+    shown = sorted(r.formula for r in found.select("formula").distinct().collect())
+    trees = [parse(t) for t in shown]
+
+    def run(batches):
+        n, bad, sse = 0, np.zeros(len(trees), bool), np.zeros(len(trees))
+        for pdf in batches:
+            x, t = {c: pdf[c].to_numpy(float) for c in inputs}, pdf[y].to_numpy(float)
+            n += len(t)
+            for i, tree in enumerate(trees):
+                e = np.broadcast_to(to_numpy(tree, x), t.shape) - t
+                bad[i] |= not np.isfinite(e).all()
+                sse[i] += float(e @ e)
+        yield pd.DataFrame({"formula": shown, "n": n, "sse": np.where(bad, np.inf, sse)})
+
+    parts = rows.select(*inputs, y).mapInPandas(run, "formula string, n bigint, sse double")
+    total = F.aggregate(F.sort_array(F.collect_list("sse")), F.lit(0.0), lambda a, b: a + b)  # sorted: the same sum every time
+    errors = parts.groupBy("formula").agg(F.try_divide(total, F.sum("n")).alias("mse"))
+    return found.drop("mse").join(cut(errors), "formula").select(*found.columns)
+
+
+def search(rows: DataFrame, inputs: list[str], y: str, configs: DataFrame, generations: int = 25) -> DataFrame:
     """configs (config_id, seed) to the best formulas of each: one task a group. The sample is a bounded number of rows
-    and travels with the function."""
-    rows = sample.select(*inputs, y).limit(SAMPLE_ROWS).toPandas()
-    x, target = {c: rows[c].to_numpy(float) for c in inputs}, rows[y].to_numpy(float)
+    and travels with the function; mse is over all rows."""
+    x, target = sampled(rows, inputs, y)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -113,18 +145,16 @@ def search(sample: DataFrame, inputs: list[str], y: str, configs: DataFrame, gen
             out += [(c.config_id, show(n), e, size(n), g) for e, n, g in evolve(x, target, int(c.seed), generations)]
         return pd.DataFrame(out, columns=["config_id", "formula", "mse", "size", "generation"])
 
-    return configs.repartition("config_id").groupBy("config_id").applyInPandas(run, RESULT)
+    return scored_on_all(configs.repartition("config_id").groupBy("config_id").applyInPandas(run, RESULT), rows, inputs, y)
 
 
-def islands(sample: DataFrame, inputs: list[str], y: str, n: int, rounds: int = 2, generations: int = 10, seed: int = 1) -> DataFrame:
-    """Islands in a ring: after each round, the two best formulas of an island join the next one's population. State
-    between rounds is two strings an island, by an equi-join on the island's number."""
-    from ..functions.expr import parse
+def islands(rows: DataFrame, inputs: list[str], y: str, n: int, rounds: int = 2, generations: int = 10, seed: int = 1) -> DataFrame:
+    """Islands in a ring: after each round, the two best formulas of an island (over all rows, as is every mse) join the
+    next one's population. State between rounds is two strings an island, by an equi-join on the island's number."""
     from .select import top_k
 
-    spark = sample.sparkSession
-    rows = sample.select(*inputs, y).limit(SAMPLE_ROWS).toPandas()
-    x, target = {c: rows[c].to_numpy(float) for c in inputs}, rows[y].to_numpy(float)
+    spark = rows.sparkSession
+    x, target = sampled(rows, inputs, y)
     state = spark.range(n).select(F.col("id").cast("int").alias("config_id"), F.array().cast("array<string>").alias("guests"))
     out = None
 
@@ -139,7 +169,7 @@ def islands(sample: DataFrame, inputs: list[str], y: str, n: int, rounds: int =
         return run
 
     for r in range(rounds):
-        out = state.groupBy("config_id").applyInPandas(round_of(r), RESULT)
+        out = scored_on_all(state.groupBy("config_id").applyInPandas(round_of(r), RESULT), rows, inputs, y)
         if r < rounds - 1:
             best = top_k(out, ["config_id"], ["mse", "size", "formula"], 2).groupBy("config_id").agg(F.sort_array(F.collect_list("formula")).alias("guests"))
             moved = best.select(F.pmod(F.col("config_id") + 1, F.lit(n)).cast("int").alias("config_id"), "guests")

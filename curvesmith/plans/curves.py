@@ -217,14 +217,12 @@ def curve_feature_vectors(spark, d):
 
 
 def evolve_islands(spark, d):
-    s = sales(spark, d).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").limit(500)
-    return search.islands(s, ["x0", "x1"], "y", 4, 2, 8).select("config_id", "formula", F.round("mse", 8).alias("mse"), "size")
+    return search.islands(sales(spark, d), ["x0", "x1"], "y", 4, 2, 8).select("config_id", "formula", F.round("mse", 8).alias("mse"), "size")
 
 
 def seed_search(spark, d):
-    s = sales(spark, d).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").limit(500)
     configs = spark.range(4).select(F.col("id").cast("int").alias("config_id"), (F.col("id") + 42).cast("int").alias("seed"))
-    found = search.search(s, ["x0", "x1"], "y", configs, 10)
+    found = search.search(sales(spark, d), ["x0", "x1"], "y", configs, 10)
     return select.top_k(found, ["config_id"], ["mse", "size", "formula"], 1).select("config_id", "formula", F.round("mse", 8).alias("mse"), "size")
 
 

@@ -199,8 +199,7 @@ def subset_selection(spark, d):
 
 
 def beam_search(spark, d):
-    s = sales(spark, d).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").limit(400)
-    return refine.beam(s, ["x0", "x1"], "y", 4, 2, 6).orderBy("mse", "size", "formula").limit(5).select("formula", F.round("mse", 8).alias("mse"), "size", "round")
+    return refine.beam(sales(spark, d), ["x0", "x1"], "y", 4, 2, 6).orderBy("mse", "size", "formula").limit(5).select("formula", F.round("mse", 8).alias("mse"), "size", "round")
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n in SQL or n in ("template_match", "formula_corpus", "noise_profiles", "omega_refine", "subset_selection", "beam_search")}

@@ -1,6 +1,11 @@
 """Queries cover all rows of their tables, not a part of them."""
 
-from curvesmith.plans import fitting
+import numpy as np
+import pytest
+
+from curvesmith.functions import expr
+from curvesmith.operators import search
+from curvesmith.plans import curves, decisions, fitting
 
 LARGER = "/root/testdata/sf0.01"
 
@@ -14,3 +19,24 @@ def test_basis_long_has_every_part(spark):
         s, v = p.p_size / 10, p.p_retailprice / 1000
         want = {"1": 1.0, "s": s, "v": v, "s*v": s * v, "s^2": s * s, "v^2": v * v}
         assert all(abs(got[p.p_partkey, k] - x) < 2e-6 for k, x in want.items())
+
+
+@pytest.mark.parametrize("query", [curves.evolve_islands, curves.seed_search, decisions.beam_search])
+def test_searches_score_on_all_rows(spark, query):
+    items = spark.read.parquet(f"{LARGER}/lineitem.parquet").select("l_extendedprice", "l_discount").toPandas()
+    x = {"x0": items["l_extendedprice"].to_numpy(float) / 1000, "x1": items["l_discount"].to_numpy(float)}
+    y = x["x0"] - x["x0"] * x["x1"]
+    rows = query(spark, LARGER).collect()
+    assert rows
+    for r in rows:
+        e = np.mean((expr.to_numpy(expr.parse(r.formula), x) - y) ** 2)
+        assert abs(r.mse - e) <= 1e-8 + 1e-9 * e if np.isfinite(e) else r.mse == np.inf
+
+
+def test_search_samples_all_rows(spark):
+    df = spark.range(20_000).selectExpr("id", "cast(id as double) as x", "cast(2 * id as double) as y")
+    x, y = search.sampled(df, ["x"], "y")
+    again, _ = search.sampled(df.repartition(7), ["x"], "y")
+    assert len(y) == search.SAMPLE_ROWS and (y == 2 * x["x"]).all() and (again["x"] == x["x"]).all()
+    assert np.abs(np.histogram(x["x"], 10, (0, 20_000))[0] - 200).max() < 70
+    assert len(search.sampled(df.limit(50), ["x"], "y")[1]) == 50
