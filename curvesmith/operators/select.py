@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..sources.shared import cut
-
 
 def pareto_front(rows: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
     """Rows that no other beats in both a and b (smaller is better, strictly in one). Sorted by (a, b), a row is on the
@@ -20,17 +22,26 @@ def pareto_front(rows: DataFrame, a: str, b: str, keys: list[str] | None = None)
     return rows.join(best.drop("_before"), [*(keys or []), a]).filter(F.col(b) == F.col("_own")).drop("_own")
 
 
-def ranks(rows: DataFrame, a: str, b: str, most: int = 20) -> DataFrame:
-    """Adds rank: 0 for the front, 1 for the front of the rest, and so on; what is left after `most` fronts has rank
-    `most`. A round a front; what is left is written to the checkpoint folder, so plans don't grow."""
-    out, rest = None, cut(rows)
-    for k in range(most):
-        front = cut(pareto_front(rest, a, b).withColumn("rank", F.lit(k)))
-        out = front if out is None else out.unionByName(front)
-        rest = cut(rest.join(front.select(a, b).distinct(), [a, b], "left_anti"))
-        if rest.isEmpty():
-            return out
-    return out.unionByName(rest.withColumn("rank", F.lit(most)))
+def ranks(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Adds rank to all rows: 0 for the front, 1 for the front of the rest, and so on to the last; null where a or b is
+    null or NaN. A pair's front is one more than the last front that dominates it. In order of (a, b) all that dominate a
+    pair come before it, so one sweep over the distinct pairs finds it in the least b of each front, which ascend: the
+    sweep is one sorted stream of two columns and holds one number a front."""
+    has = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in (a, b)]
+    pairs = rows.filter(has[0] & has[1]).select(a, b).distinct().repartition(1).sortWithinPartitions(a, b)
+
+    def sweep(batches):
+        least = []
+        for batch in batches:
+            found = []
+            for v in batch.column(1).to_pylist():
+                k = bisect_right(least, v)
+                least[k : k + 1] = [v]
+                found.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], names=[a, b, "rank"])
+
+    ranked = pairs.mapInArrow(sweep, T.StructType([*pairs.schema.fields, T.StructField("rank", T.IntegerType())]))
+    return rows.join(ranked, [a, b], "left")
 
 
 def crowding(rows: DataFrame, objectives: list[str], keys: list[str], tie: list[str]) -> DataFrame:

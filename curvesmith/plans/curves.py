@@ -142,8 +142,7 @@ SQL["pareto_front"] = f"WITH c AS ({C}) SELECT id, complexity, mse FROM c WHERE
 
 
 def nondominated_rank(spark, d):
-    best = _candidates(spark, d).groupBy("complexity").agg(F.min("mse").alias("mse"), F.min("id").alias("id"))
-    return select.ranks(best, "complexity", "mse", 8).select("id", "complexity", "mse", "rank")
+    return select.ranks(_candidates(spark, d), "complexity", "mse").select("id", "complexity", "mse", "rank")
 
 
 def crowding_distance(spark, d):

@@ -1,10 +1,12 @@
 """Queries cover all rows of their tables, not a part of them."""
 
+import math
+
 import numpy as np
 import pytest
 
 from curvesmith.functions import expr
-from curvesmith.operators import search
+from curvesmith.operators import search, select
 from curvesmith.plans import curves, decisions, fitting
 
 LARGER = "/root/testdata/sf0.01"
@@ -40,3 +42,30 @@ def test_search_samples_all_rows(spark):
     assert len(y) == search.SAMPLE_ROWS and (y == 2 * x["x"]).all() and (again["x"] == x["x"]).all()
     assert np.abs(np.histogram(x["x"], 10, (0, 20_000))[0] - 200).max() < 70
     assert len(search.sampled(df.limit(50), ["x"], "y")[1]) == 50
+
+
+def peeled(pairs):
+    rank, rest, k = {}, set(pairs), 0
+    while rest:
+        front = {p for p in rest if not any(q != p and q[0] <= p[0] and q[1] <= p[1] for q in rest)}
+        rank.update(dict.fromkeys(front, k))
+        rest, k = rest - front, k + 1
+    return rank
+
+
+def test_ranks_of_all_fronts(spark):
+    rows = [(i, (i * 7) % 6, float((i * i * 5) % 23)) for i in range(90)] + [(i, 3, float(i)) for i in range(100, 130)]
+    odd = [(200, None, 1.0), (201, 1, None), (202, 1, float("nan"))]
+    want = peeled([(a, b) for _, a, b in rows])
+    got = select.ranks(spark.createDataFrame(rows + odd, "id int, a int, b double"), "a", "b").collect()
+    assert sorted(r.id for r in got) == sorted(i for i, *_ in rows + odd)
+    assert all(r["rank"] == (None if r.a is None or r.b is None or math.isnan(r.b) else want[r.a, r.b]) for r in got)
+    assert max(want.values()) > 20
+
+
+def test_nondominated_rank_has_every_candidate(spark):
+    rows = {r.id: (r.complexity, r.mse) for r in curves._candidates(spark, LARGER).collect()}
+    want = peeled(rows.values())
+    got = curves.nondominated_rank(spark, LARGER).collect()
+    assert {r.id: (r.complexity, r.mse, r["rank"]) for r in got} == {i: (*p, want[p]) for i, p in rows.items()}
+    assert len(got) == len(rows)
