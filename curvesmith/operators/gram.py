@@ -109,24 +109,39 @@ def _fit(s: Gram, cols, stage: str) -> Fit:
     return Fit(tuple(cols), w / s.scale[list(cols)], m, stage, float(bic))
 
 
-def exact_search(s: Gram, tol: float = 1e-6, depth: int = 3, most: int = 128, constant: int = 0) -> list[Fit]:
+#: Sets of columns solved at once.
+BLOCK = 20_000
+
+
+def _exact(s: Gram, sets: np.ndarray, below: float) -> np.ndarray:
+    """The rows of sets (one set of columns a row) whose least squares error is below a bound; singular ones are not."""
+    g, c = s.g[sets[:, :, None], sets[:, None, :]], s.c[sets]
+    ok = np.linalg.det(g) != 0
+    sets, g, c = sets[ok], g[ok], c[ok]
+    try:
+        w = np.linalg.solve(g, c[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        if len(sets) == 1:
+            return sets[:0]
+        half = len(sets) // 2
+        return np.concatenate([_exact(s, sets[:half], below), _exact(s, sets[half:], below)])
+    error = s.yy - 2 * (w * c).sum(1) + np.einsum("ni,nij,nj->n", w, g, w)
+    return sets[np.maximum(error, 0.0) / max(s.n, 1) < below]
+
+
+def exact_search(s: Gram, tol: float = 1e-6, depth: int = 3, constant: int = 0) -> list[Fit]:
     """Singles, then pairs, then triples of columns (each also with the constant) whose error falls below tol times the
-    variance of y; stops at the first depth that has some. Pairs and triples beyond `most` columns are left to lasso."""
+    variance of y; stops at the first depth that has some. All sets are tried, in blocks: triples take time by the cube
+    of the number of columns."""
     var = max(s.yy / max(s.n, 1), 1e-300)
     found: list[Fit] = []
-    k = len(s.c)
+    others = [j for j in range(len(s.c)) if j != constant]
     for d in range(1, depth + 1):
-        if d > 1 and k > most:
-            break
-        for cols in itertools.combinations([j for j in range(k) if j != constant], d):
-            for c in (cols, (constant, *cols)):
-                g = s.g[np.ix_(c, c)]
-                try:
-                    w = np.linalg.solve(g, s.c[list(c)])
-                except np.linalg.LinAlgError:
-                    continue
-                if s.mse(w, list(c)) < tol * var:
-                    found.append(_fit(s, c, f"exact{d}"))
+        every = itertools.combinations(others, d)
+        while block := list(itertools.islice(every, BLOCK)):
+            sets = np.array(block)
+            for one in (sets, np.column_stack([np.full(len(sets), constant), sets])):
+                found += [_fit(s, tuple(c), f"exact{d}") for c in _exact(s, one, tol * var).tolist()]
         if found:
             break
     return sorted(found, key=lambda f: (len(f.terms), f.mse, f.terms))

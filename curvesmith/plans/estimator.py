@@ -55,7 +55,7 @@ class FormulaRegressor:
     def fit(self, rows: DataFrame, inputs: list[str], y: str) -> FormulaModel:
         terms = basis.catalog({c: F.col(c) for c in inputs}, self.max_power, families=self.families)
         s = gram(basis.project(rows, terms, F.col(y)), len(terms))
-        fits = exact_search(s, self.exact_tol, depth=2)
+        fits = exact_search(s, self.exact_tol)
         if not fits:
             fits = [bic_eliminate(s, f) for f in lasso_path(s)]
         fits = sorted(fits, key=lambda f: (f.mse + 0.001 * len(f.terms) * max(s.yy / max(s.n, 1), 1e-300), f.terms))[: self.keep]

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 
 from curvesmith.functions import expr
-from curvesmith.operators import search, select
+from curvesmith.operators import gram, search, select
 from curvesmith.plans import curves, decisions, fitting
+from curvesmith.plans.estimator import FormulaRegressor
 
 LARGER = "/root/testdata/sf0.01"
 
@@ -69,3 +70,18 @@ def test_nondominated_rank_has_every_candidate(spark):
     got = curves.nondominated_rank(spark, LARGER).collect()
     assert {r.id: (r.complexity, r.mse, r["rank"]) for r in got} == {i: (*p, want[p]) for i, p in rows.items()}
     assert len(got) == len(rows)
+
+
+def test_fit_finds_three_exact_terms(spark):
+    df = spark.range(400).selectExpr("(id % 20) / 10.0D - 0.95D as x", "cast(floor(id / 20) as double) / 7 + 0.3D as z")
+    model = FormulaRegressor().fit(df.selectExpr("x", "z", "0.004D * x * x * x + 2D * x * z - 3D * z * z as y"), ["x", "z"], "y")
+    assert model.stage == "exact3" and model.mse < 1e-12 and model.candidates[0]["n_terms"] == 3
+
+
+@pytest.mark.parametrize("planted", [(141, 3), (140, 7, 99)])
+def test_exact_search_of_many_columns(planted):
+    rng = np.random.default_rng(2)
+    b = np.column_stack([np.ones(400), rng.normal(size=(400, 149))])
+    y = b[:, planted] @ np.arange(1.0, len(planted) + 1)
+    s = gram.Gram(b.T @ b, b.T @ y, float(y @ y), 400.0, np.ones(150))
+    assert sorted(gram.exact_search(s, 1e-9)[0].terms) == sorted(planted)
