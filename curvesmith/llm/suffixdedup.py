@@ -177,7 +177,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
 def fetch(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """(m, id, lo, n, body): the bytes of the segments in wanted (kind, m, id, lo, n). Those dealt by window become
     segments of one window each, led by the window's digest; one that repeats another of the same run of rows comes
-    without body, as a repeat."""
+    without body, as a repeat. Rows given twice have one id, and are no repeats of themselves."""
     lists = wanted.groupBy("id").agg(F.collect_list(F.struct("kind", "m", "lo", "n")).alias("parts"))
     joined = lists.join(squeezed(docs), "id").select("id", "parts", "pack")
 
@@ -197,7 +197,11 @@ def fetch(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                         part = raw[at : at + count + WINDOW - 1]
                         if key is None:
                             key = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
-                            part = None if part in seen else seen.setdefault(part, part)
+                            if part in seen and seen[part] == (doc, at):
+                                continue  # a row given twice meets itself
+                            part = None if part in seen else part
+                            if part is not None:
+                                seen[part] = doc, at
                         m.append(key)
                         ids.append(doc)
                         lo.append(at)

@@ -6,7 +6,9 @@ from collections import Counter
 import pytest
 from conftest import DATA, same_rows
 
-from curvesmith.llm import chat, linededup
+from test_llm import brute_repeats, passages
+
+from curvesmith.llm import chat, linededup, suffixdedup
 
 
 @pytest.mark.parametrize("least", [1, 3])
@@ -72,3 +74,11 @@ def test_chat_equals_sql_and_system_turns(spark, duck):
 SELECT conv_id, turn::BIGINT, 'turn-' || turn, 'system', NULL, NULL, false, NULL, 0, NULL, '', '{"conversation":"' || conv_id || '","kind":"system","text":' || to_json(coalesce(text, '')) || '}'
 FROM conversations WHERE role = 'system'"""
     same_rows(chat.op3_chat_format(spark, DATA), duck.sql(whole))
+
+
+def test_suffix_dedup_of_rows_given_twice_in_hot_leaders(spark):
+    rows = [(i, t) for i, t, *_ in passages()]
+    df = spark.createDataFrame([r for r in rows for _ in range(2)], "doc_id bigint, text string").coalesce(1)
+    got = suffixdedup.dedup_substrings(df, hot=4).collect()
+    assert len(got) == 2 * len(rows)
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == {(i, *v) for i, v in brute_repeats(rows).items()}
