@@ -7,6 +7,7 @@ after a failed check it looks for the next gzip member or version line, goes on
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 import uuid
@@ -88,12 +89,27 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 # ---------------------------------------------------------------- reader
 
 
-def members(raw: bytes) -> Iterator[tuple[int, int, bytes | None, str]]:
-    """Gzip members: (offset, length, data, ""), or (offset, length, None, reason) for a gap. After a member that fails
-    its checks, the search goes on at the next member's magic number."""
+CUT = "member is cut short"
+#: Bytes of a damaged member that are taken at a time.
+STEP = 64
+
+
+def before_failure(raw: bytes) -> bytes:
+    """What a member gives before it fails."""
+    d, out = zlib.decompressobj(31), []
+    with contextlib.suppress(zlib.error):
+        for i in range(0, len(raw), STEP):
+            out.append(d.decompress(raw[i : i + STEP]))
+    return b"".join(out)
+
+
+def members(raw: bytes) -> Iterator[tuple[int, int, bytes, str]]:
+    """Gzip members: (offset, length, data, ""), or (offset, length, data before the failure, reason) for a gap. After a
+    member that fails its checks, the search goes on at the next member's magic number."""
     at = 0
     while at < len(raw):
-        if raw.startswith(MEMBER, at):
+        begun = raw.startswith(MEMBER, at)
+        if begun:
             d = zlib.decompressobj(31)
             try:
                 data = d.decompress(memoryview(raw)[at:])
@@ -102,14 +118,14 @@ def members(raw: bytes) -> Iterator[tuple[int, int, bytes | None, str]]:
                     yield at, used, data, ""
                     at += used
                     continue
-                why = "member is cut short"
+                why = CUT
             except zlib.error as e:
                 why = f"member fails: {e}"
         else:
             why = "no member starts here"
         to = raw.find(MEMBER, at + 1)
         to = len(raw) if to < 0 else to
-        yield at, to - at, None, why
+        yield at, to - at, before_failure(raw[at:to]) if begun else b"", why
         at = to
 
 
@@ -158,10 +174,17 @@ def parse_one(raw: bytes, at: int) -> tuple[dict | None, int, str]:
 
 def records(raw: bytes) -> Iterator[dict]:
     """Records and gaps of one archive, plain or gzipped. Offsets are in the file for plain archives; in gzipped ones
-    they are those of the member for its gaps, and within the member's data for records."""
+    they are those of the member for its gaps, and within the member's data for records. Of a member that is cut short,
+    the records before the cut are read; of one that fails its checks those with a right block digest, unless it holds a
+    single record, which the member's checks are for."""
     if raw.startswith(MEMBER) or (not raw.startswith(VERSION) and MEMBER in raw and VERSION not in raw):
         for at, size, data, why in members(raw):
-            if data is None:
+            if why:
+                found = [r for r in plain(data) if r["kind"] == "record"]
+                if why != CUT:
+                    checked = [r for r in found if b"warc-block-digest: sha256:" in data[r["offset"] :].partition(b"\r\n\r\n")[0].lower()]
+                    found = checked if len(found) > 1 else []
+                yield from found
                 yield {"kind": "gap", "offset": at, "length": size, "reason": why}
             else:
                 yield from plain(data)

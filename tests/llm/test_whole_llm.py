@@ -1,5 +1,6 @@
 """Operators lose nothing that the small tables happen not to have."""
 
+import hashlib
 import json
 from collections import Counter
 
@@ -8,7 +9,7 @@ from conftest import DATA, same_rows
 
 from test_llm import brute_repeats, passages
 
-from curvesmith.llm import chat, linededup, suffixdedup
+from curvesmith.llm import chat, linededup, suffixdedup, warc
 
 
 @pytest.mark.parametrize("least", [1, 3])
@@ -82,3 +83,20 @@ def test_suffix_dedup_of_rows_given_twice_in_hot_leaders(spark):
     got = suffixdedup.dedup_substrings(df, hot=4).collect()
     assert len(got) == 2 * len(rows)
     assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == {(i, *v) for i, v in brute_repeats(rows).items()}
+
+
+@pytest.mark.parametrize("damage", ["byte", "cut"])
+def test_warc_salvages_before_the_damage(spark, tmp_path, damage):
+    rows = [(i, f"http://{i}", "".join(hashlib.sha256(b"%d %d" % (i, k)).hexdigest() for k in range(40))) for i in range(30)]
+    path = str(tmp_path / "w")
+    warc.write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1), path)
+    intact = lost = 0
+    for f in (tmp_path / "w").glob("part-*"):
+        raw = f.read_bytes()
+        all_ = list(warc.records(raw))
+        at = len(raw) // 2
+        got = list(warc.records(raw[:at] if damage == "cut" else raw[:at] + bytes([raw[at] ^ 0xFF]) + raw[at + 1 :]))
+        n = sum(r["kind"] == "record" for r in got)
+        assert all(r in all_ for r in got if r["kind"] == "record") and [r["kind"] for r in got].count("gap") == 1
+        intact, lost = intact + n, lost + len(all_) - n
+    assert intact >= 10 and lost > 0
