@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -17,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if it is unset, as in tests.
+    Only a local master gets one of its own: on a cluster, executors would each write to their own disk."""
     sc = spark.sparkContext
     set_dir = sc.getConf().get("spark.checkpoint.dir")
     if set_dir:
@@ -25,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="curvesmith-ckpt-")
     sc.setCheckpointDir(own)
     return own
@@ -36,11 +40,54 @@ def cut(df: DataFrame) -> DataFrame:
     return stored(df, "cut")
 
 
+#: Of each thread: the tables of the scratches that are open, innermost last, and the path of each stored table.
+_open = threading.local()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder."""
+    """df as a Parquet table in the shared folder; inside a scratch it is deleted at its end."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._stored_at = path
+    if stack := getattr(_open, "stack", None):
+        stack[-1].add(path)
+    return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are stored inside are deleted at the end, but for kept ones. What is computed inside must be stored
+    (and kept) before the end, as a DataFrame is only a plan."""
+    stack = _open.stack = getattr(_open, "stack", [])
+    stack.append(set())
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            deleted(spark, path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A stored table of the innermost scratch that outlives it (to the end of the scratch around it, if there is one)."""
+    stack = getattr(_open, "stack", [])
+    if stack:
+        stack[-1].discard(df._stored_at)
+        if len(stack) > 1:
+            stack[-2].add(df._stored_at)
+    return df
+
+
+def done_with(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more, as the last round's of an iteration."""
+    if stack := getattr(_open, "stack", None):
+        stack[-1].discard(df._stored_at)
+    deleted(df.sparkSession, df._stored_at)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Rows in an Arrow batch at most: texts are long, and batches are held on both sides of the pipe to Python.

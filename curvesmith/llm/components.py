@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, done_with
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -21,7 +21,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: each node hands its smaller neighbours and itself to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        last, e = e, cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        done_with(last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

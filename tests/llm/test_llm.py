@@ -220,13 +220,50 @@ def test_near_classes_against_brute_force(spark):
     assert neardup.near_classes(docs(spark, [])).count() == 0
 
 
-def test_across_finds_links_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 3)
+@pytest.mark.parametrize("parts", [1, 7])
+def test_across_finds_clusters_in_blocks(spark, parts):
     sig = [bytes([k // 4] * 240) for k in range(20)]
-    rows = [(1, -1, k, k, 20, sig[k]) for k in range(20)]
-    df = spark.createDataFrame(rows, "band bigint, low bigint, content bigint, root bigint, n bigint, sig binary")
-    got = {(r.a, r.b) for r in neardup.across(df, 0.65).collect()}
-    assert got == {(a, b) for a in range(20) for b in range(a + 1, 20) if a // 4 == b // 4}
+    rows = [(1, k, k, parts, sig[k]) for k in range(20)] + [(2, 30 + k, 0, parts, sig[0]) for k in range(5)]
+    df = spark.createDataFrame(rows, "band bigint, content bigint, root bigint, parts int, sig binary")
+    groups = {}
+    for r in neardup.across(df, 0.65).collect():
+        groups.setdefault(r.cluster, set()).add(r.content)
+    pairs = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert pairs == {(a, b) for a in range(20) for b in range(a + 1, 20) if a // 4 == b // 4}
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 6), max_size=12), min_size=1, max_size=14), st.integers(1, 12))
+def test_shared_counts(texts, rare):
+    from collections import Counter
+
+    old, neardup.RARE, neardup.COLUMNS = (neardup.RARE, neardup.COLUMNS), rare, 2
+    try:
+        sh = np.array([x for t in texts for x in sorted(t)], np.uint64)
+        got = neardup.shared_counts(sh, np.cumsum([0, *map(len, texts)]))
+    finally:
+        neardup.RARE, neardup.COLUMNS = old
+    want = [[sum((Counter(a) & Counter(b)).values()) if i != k else 0 for k, b in enumerate(texts)] for i, a in enumerate(texts)]
+    assert got.tolist() == want
+
+
+def test_cluster_of_near_misses_sends_few_links(spark):
+    """Sixty texts, each about 0.75 like every other: no pairs leave the task; with a ring of pairs at 0.8 added, links
+    join the ring and no more."""
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for k in range(60):
+        t = list(base)
+        for at in rng.choice(400, 12, replace=False):
+            t[at] = f"x{k}-{at}".replace("-", "q")
+        rows.append((k, " ".join(t), "", "", 0))
+        if k % 3 == 0:
+            rows.append((100 + k, " ".join([*t[:-1], "end"]), "", "", 0))
+    got = sorted((r.id, r.class_id) for r in neardup.near_classes(docs(spark, rows)).collect())
+    assert got == classes(rows) and len({c for _, c in got}) == 60
+    df = spark.createDataFrame([(1, r[0], r[0], r[1]) for r in rows], "cluster bigint, content bigint, root bigint, text string")
+    assert neardup.joining(df, 5, 0.8).count() == 20
 
 
 # ------------------------------------------------------------- 5 language
