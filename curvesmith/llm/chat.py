@@ -246,4 +246,7 @@ SELECT conv_id, turn, call_id, 'call' AS kind, 'reply' AS tool, level, content I
 UNION ALL
 SELECT a.conv_id, call + 1, 'turn-' || call, 'orphan', NULL, NULL, false, call + 1, n, NULL, '', '{"conversation":"' || a.conv_id || '","id":"turn-' || call || '","kind":"orphan","result":' || to_json(content) || '}'
 FROM a LEFT JOIN u ON a.conv_id = u.conv_id AND a.call = u.turn WHERE u.turn IS NULL
+UNION ALL
+SELECT conv_id, turn, 'turn-' || turn, 'system', NULL, NULL, false, NULL, 0, NULL, '', '{"conversation":"' || conv_id || '","kind":"system","text":' || to_json(text) || '}'
+FROM m WHERE role = 'system'
 """

@@ -111,23 +111,27 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOC
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WINDOW, spans: bool = False, most: int = BLOCK_BYTES) -> DataFrame:
     """Adds n_words, n_hit, n_items, items_sha256, contaminated (and with spans: hit_spans, character ranges of the
     original text) to every document. A window is `width` consecutive words of an item, or a shorter item as a whole; a
-    document's word inside any occurrence is hit. Null and empty texts have no words. Columns of docs that are called
-    like these are replaced. An empty benchmark hits nothing.
+    document's word inside any occurrence is hit. Null and empty texts have no words. Rows given twice get the same result
+    each; a long text is held whole in its task. Columns of docs that are called like these are replaced. An empty
+    benchmark hits nothing; an empty table gives an empty one.
 
     The scan needs no shuffle. What is sent to executors is one block of bounded size per automaton.
     """
     import uuid
 
-    spark = docs.sparkSession
-    own = [*OWN, "hit_spans", "_hits", "_ids"]
-    df = lean(docs).drop(*[c for c in own if c in docs.columns])
+    from pyspark.sql import functions as F
+
+    spark, names = docs.sparkSession, docs.columns
+    apart = {c: f"_doc{k}" for k, c in enumerate(names)}  # so that no name clashes with one of ours
+    df = lean(docs).toDF(*apart.values())
     blocks = blocks_of(benchmark, item_col, item_text, most)
     base = df.schema
     for n, block in enumerate(blocks):
         sent = spark.sparkContext.broadcast(block)
         first, final = n == 0, n == len(blocks) - 1
-        df = _pass(df, base, text_col, sent, uuid.uuid4().hex, width, spans, first, final)
-    return df
+        df = _pass(df, base, apart[text_col], sent, uuid.uuid4().hex, width, spans, first, final)
+    own = [*OWN, *(["hit_spans"] if spans else [])]
+    return df.select(*[F.col(apart[c]).alias(c) for c in names if c not in own], *own)
 
 
 def _pass(df, base, text_col, sent, key, width, spans, first, final):

@@ -40,10 +40,12 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Units are lower-cased and their white space folded; equal units form a group over the whole table, of which the one
     with the smallest (id, place) stays. Kept text: the units that stay, joined by what stood before each of them in the
     original (none before the first). Null ids rank first; rows with the same id and text are one document given twice,
-    and get the same result; a null text has no units and kept is null. Columns called like ours are replaced.
+    and get the same result; a null text has no units and kept is null, an empty one is one blank unit that stays; an
+    empty table gives an empty one. A long text is held whole in its task. Columns called like ours are replaced.
 
     Groups are counted and their first member found before and in the shuffle (partial aggregates), so one unit that
-    fills a third of the table costs no task more than others; only groups of two and more are joined back.
+    fills a third of the table costs no task more than others; only groups of two and more are joined back, by a join of
+    two tables, so that adaptive execution deals a hot unit's occurrences to several tasks.
     """
     docs = lean(docs).drop(*[c for c in [*OWN, "_h", "_gone"] if c in docs.columns])
     key = docs.withColumn("_h", F.xxhash64(text_col))
@@ -65,7 +67,8 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = stored(key.select(F.col(id_col), F.col("_h"), F.col(text_col)).mapInArrow(digests, schema), "units")
     place = F.struct("id", "h", "unit")
     groups = found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = found.join(groups.select("digest", "first"), "digest").filter(place != F.col("first"))
+    groups = stored(groups.select("digest", "first"), "groups")  # so the join is nothing but a join, whose hot digests are split
+    later = stored(found.join(groups, "digest").filter(place != F.col("first")).select("id", "h", "unit"), "later")
     gone = later.groupBy("id", "h").agg(F.collect_set("unit").alias("_gone"))
     same = F.col(f"d.{id_col}").eqNullSafe(F.col("g.id")) & (F.col("d._h") == F.col("g.h"))
     joined = key.alias("d").join(gone.alias("g"), same, "left").select(*[F.col(f"d.`{c}`") for c in names], "g._gone").drop("_h")
@@ -105,7 +108,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text <> ''),
 n AS (SELECT *, regexp_extract_all(lower(line), '\S+') AS w, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS begin_at FROM l),
-r AS (SELECT *, len(w) >= 5 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, k) > 1 AS gone FROM n),
+r AS (SELECT *, len(w) >= 1 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, k) > 1 AS gone FROM n),
 g AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, string_agg(concat(begin_at::BIGINT, '-', (begin_at + length(line))::BIGINT), ',' ORDER BY k) FILTER (gone) AS removed, string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone) AS text FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, CASE WHEN d.text IS NOT NULL THEN coalesce(g.text, '') END AS text
 FROM documents d LEFT JOIN g USING (doc_id)

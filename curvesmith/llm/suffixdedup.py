@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwtmerge import WINDOW, later_windows
-from .common import lean, partitions_for, returned, slices, stored, table, utf8
+from .common import kept, lean, partitions_for, returned, scratch, slices, stored, table, utf8
 from .kernels import U, mixed, powers
 
 GRAM = 24
@@ -147,12 +147,12 @@ def meet(packed: DataFrame, buckets: int, hot: int) -> DataFrame:
         done = r[r["n"] < 0]
         done["n"] *= -1
         r, same = local_repeats(r[r["n"] > 0])
-        kept = r[~same]
-        lead = np.ones(len(kept), bool)
-        lead[1:] = kept["m"][1:] != kept["m"][:-1]
+        first = r[~same]
+        lead = np.ones(len(first), bool)
+        lead[1:] = first["m"][1:] != first["m"][:-1]
         group = np.cumsum(lead) - 1
-        size = np.bincount(group, minlength=1)[group] if len(kept) else np.zeros(0, np.int64)
-        for kind, rows in ((REPEAT, done), (REPEAT, r[same]), (COMPARE, kept[(size > 1) & (size <= hot)]), (DEAL, kept[size > hot])):
+        size = np.bincount(group, minlength=1)[group] if len(first) else np.zeros(0, np.int64)
+        for kind, rows in ((REPEAT, done), (REPEAT, r[same]), (COMPARE, first[(size > 1) & (size <= hot)]), (DEAL, first[size > hot])):
             for i in range(0, len(rows), 1 << 16):
                 x = rows[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x["m"].view(np.int64)), pa.array(x["id"]), pa.array(x["lo"]), pa.array(x["n"].astype(np.int32))], names=["kind", "m", "id", "lo", "n"])
@@ -285,28 +285,32 @@ def removed_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """docs (id, text) to (id, spans): array of (lo, n), runs of windows to remove, in any order."""
     spark = docs.sparkSession
     buckets = partitions_for(spark)
-    met = stored(meet(scan(docs, buckets), buckets, hot), "segments")
-    found = stored(fetch(met.filter(F.col("kind") != REPEAT), docs), "bodies")
-    spans = met.filter(F.col("kind") == REPEAT).select("id", "lo", "n")
-    spans = spans.unionByName(found.filter("body is null").select("id", "lo", "n")).unionByName(compare(found))
-    return spans.groupBy("id").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    with scratch(spark):
+        met = stored(meet(scan(docs, buckets), buckets, hot), "segments")
+        found = stored(fetch(met.filter(F.col("kind") != REPEAT), docs), "bodies")
+        spans = met.filter(F.col("kind") == REPEAT).select("id", "lo", "n")
+        spans = spans.unionByName(found.filter("body is null").select("id", "lo", "n")).unionByName(compare(found))
+        return kept(stored(spans.groupBy("id").agg(F.collect_list(F.struct("lo", "n")).alias("spans")), "spans"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Every document with its n_bytes, n_removed, n_spans, kept_sha256, kept (binary) and spans (byte ranges).
 
-    A null text is empty, texts shorter than a window stay whole; see numbered() for null and repeated ids. Columns of
-    docs that are called like ours are replaced. Kept bytes need not be valid UTF-8, as bytes are what is compared.
+    A null text is empty, texts shorter than a window stay whole; an empty table gives an empty one; see numbered() for
+    null and repeated ids. A text is cut into windows about half a megabyte at a time, a longer one by itself, in memory
+    of some 80 bytes for each of its own. Columns of docs that are called like ours are replaced. Kept bytes need not be
+    valid UTF-8, as bytes are what is compared.
     """
-    docs = docs.drop(*[c for c in [*OWN, "kept", "removed", "id", "spans", "pack"] if c in docs.columns and c not in (id_col, text_col)])
-    rows, _ = numbered(lean(docs), id_col, text_col)
-    spans = removed_spans(rows.select("id", text_col), hot)
-    base = docs.columns
-    others = [c for c in base if c != text_col]
-    return _finish(rows, spans, base, others, text_col)
+    names = docs.columns
+    apart = {c: f"_doc{k}" for k, c in enumerate(names)}  # so that no name clashes with one of ours
+    rows, _ = numbered(lean(docs.toDF(*apart.values())), apart[id_col], apart[text_col])
+    spans = removed_spans(rows.select("id", F.col(apart[text_col]).alias("text")), hot)
+    out = _finish(rows, spans, [c for c in apart.values() if c != apart[text_col]], apart[text_col])
+    own = [*OWN, "kept", "removed"]
+    return out.select(*[F.col(apart[c]).alias(c) for c in names if c not in own and c != text_col], *own)
 
 
-def _finish(rows: DataFrame, spans: DataFrame, base: list[str], others: list[str], text_col: str) -> DataFrame:
+def _finish(rows: DataFrame, spans: DataFrame, others: list[str], text_col: str) -> DataFrame:
     from pyspark.sql import types as T
 
     fields = [rows.schema[c] for c in others]

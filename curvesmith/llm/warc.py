@@ -1,8 +1,9 @@
 """WARC: writing archives with revisit records, and a salvage reader.
 
-The writer is a DataFrame job: each record is one string, and Spark's text sink writes it, so archives land on any file
-system that Spark can write. The reader takes whole archive files (bounded in records by the writer) and survives damage:
-after a failed check it looks for the next gzip member or version line, goes on there, and logs the bytes between.
+The writer is a DataFrame job: each record is one string, or one gzip member of its own, and Spark's text sink writes it, so
+archives land on any file system that Spark can write. The reader takes whole archive files (bounded by the writer) and
+survives damage: after a failed check it looks for the next gzip member or version line, goes on there, and logs the
+bytes between.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import lean, shared_dir, stored, table
 
 CRLF = "\r\n"
 VERSION = b"WARC/1."
@@ -37,22 +38,37 @@ SCHEMA = "file string, offset bigint, length bigint, kind string, reason string,
 # ---------------------------------------------------------------- writer
 
 
-def with_revisits(pages: DataFrame, id_col: str, payload_col: str, least: int = LEAST_SHARED) -> DataFrame:
-    """Adds payload (null: empty), payload_digest, payload_bytes and first_id: the smallest id with an equal payload of
-    at least `least` bytes, if another one has it. Digests are counted before the shuffle; what is joined back is one
-    row for each digest that occurs twice."""
-    p = pages.withColumn("payload", F.coalesce(F.col(payload_col), F.lit("")))
+#: Digests that repeat are broadcast if they are no more than this (some 20 MB); else payloads are shuffled by digest.
+SMALL = 100_000
+
+
+def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int = LEAST_SHARED) -> DataFrame:
+    """Adds payload (null: empty), payload_digest, payload_bytes, first_id and revisit. Of rows with an equal payload of
+    at least `least` bytes that has the smallest id (null after all others; ties by url, then by place) is no revisit,
+    and first_id is its id; the others are revisits of it.
+
+    Digests are counted before the shuffle, and only those that occur twice are joined back, to rows of `least` bytes."""
+    p = pages.withColumn("payload", F.coalesce(F.col(payload_col), F.lit(""))).withColumn("uid", F.monotonically_increasing_id())
     p = p.withColumns({"payload_digest": F.sha2(F.col("payload").cast("binary"), 256), "payload_bytes": F.octet_length("payload").cast("long")})
-    shared = (
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(url_col), F.col("uid"))
+    shared = stored(
         p.filter(F.col("payload_bytes") >= least).groupBy("payload_digest")
-        .agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+        .agg(F.min(F.struct(order.alias("o"), F.col(id_col).alias("id"), F.col("uid").alias("uid"))).alias("m"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1").select("payload_digest", F.col("m.id").alias("first_id"), F.col("m.uid").alias("first_uid")), "shared",
     )
-    return p.join(shared, "payload_digest", "left")
+    few = shared.count() <= SMALL
+    long = p if few else p.filter(F.col("payload_bytes") >= least)
+    out = long.join(F.broadcast(shared) if few else shared, (F.col("payload_bytes") >= least) & (long["payload_digest"] == shared["payload_digest"]), "left").drop(shared["payload_digest"])
+    out = out.withColumn("revisit", F.coalesce(F.col("uid") != F.col("first_uid"), F.lit(False))).drop("first_uid")
+    if not few:
+        short = p.filter(F.col("payload_bytes") < least)
+        out = out.unionByName(short.withColumns({"first_id": F.lit(None).cast(pages.schema[id_col].dataType), "revisit": F.lit(False)}))
+    return out.drop("uid")
 
 
 def record_text(id_col: str, url_col: str, date: str):
     """The record as one string, without the blank lines after it (the sink writes those)."""
-    revisit = F.col("first_id").isNotNull() & (F.col("first_id") < F.col(id_col))
+    revisit = F.col("revisit")
     head = F.concat(F.lit(HTTP), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
     block = F.when(revisit, head).otherwise(F.concat(head, F.col("payload")))
     clean = F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20\x7F]", "")
@@ -64,7 +80,7 @@ def record_text(id_col: str, url_col: str, date: str):
         F.coalesce(line("WARC-Record-ID", named(F.col(id_col))), F.lit("")),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", clean),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", named(F.col("first_id"))))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), F.coalesce(line("WARC-Refers-To", named(F.col("first_id"))), F.lit("")))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         line("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.sha2(F.col("block").cast("binary"), 256))),
         line("X-Payload-Length", F.col("payload_bytes").cast("string")),
@@ -75,15 +91,52 @@ def record_text(id_col: str, url_col: str, date: str):
     return block, header
 
 
+#: Payloads of so many bytes and more go to files of one record; smaller ones by `records_per_file`.
+LARGE = 1 << 20
+#: The last byte of a gzip member is the highest of its size, 0 for all but huge ones: it is what parts lines here.
+LAST = b"\0"
+
+
+def as_member(record: bytes) -> bytes:
+    """The record as one gzip member, without the 0 it ends with; one of 16 MB and more has an empty member after it,
+    which ends so."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = z.compress(record) + z.flush()
+    if not out.endswith(LAST):
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out += z.flush()
+    return out[:-1]
+
+
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", records_per_file: int = 500, codec: str = "gzip") -> None:
-    """One record per row. Files hold at most `records_per_file` records, so that a reader's task needs little memory."""
-    rows = with_revisits(pages.select(id_col, url_col, payload_col), id_col, payload_col)
-    block, text = record_text(id_col, url_col, date)
-    out = rows.withColumn("block", block).select(text.alias("value"))
-    (
-        out.write.option("lineSep", CRLF * 2).option("compression", codec)
-        .option("maxRecordsPerFile", records_per_file).text(path)
-    )
+    """One record per row; with gzip each is a member of its own, so damage to one costs no other. Files hold at most
+    `records_per_file` records of less than a megabyte, or one larger one, so that a reader's task needs little memory.
+
+    A null payload is empty; a null id gives no record id; rows given twice are records of their own, and of equal long
+    payloads all but one are revisits. An empty table gives an empty archive. Other columns of pages are not looked at."""
+    from pyspark.sql import types as T
+
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"))
+    rows = with_revisits(rows, "page_id", "url", "html")
+    block, text = record_text("page_id", "url", date)
+    out = rows.withColumn("block", block).select(text.alias("value"), (F.col("payload_bytes") >= LARGE).alias("large"))
+    end = CRLF * 2
+    if codec == "gzip":
+
+        def run(batches):
+            for b in batches:
+                for k in range(0, b.num_rows, 100):
+                    part = b.slice(k, 100)
+                    yield pa.RecordBatch.from_arrays([pa.array([as_member(v.encode("utf-8") + b"\r\n\r\n") for v in part.column(0).to_pylist()], pa.binary()), part.column(1)], names=["value", "large"])
+
+        out = lean(out).mapInArrow(run, T.StructType([T.StructField("value", T.BinaryType()), T.StructField("large", T.BooleanType())]))
+        out = out.select(F.col("value").cast("string").alias("value"), "large")
+        end = LAST.decode()
+    write = lambda df, n: df.write.mode("append").option("lineSep", end).option("compression", "none").option("maxRecordsPerFile", n).text(path)
+    write(out.filter(~F.col("large")).select("value"), records_per_file)
+    large = rows.filter(F.col("payload_bytes") >= LARGE).select("payload_bytes")
+    if not large.isEmpty():
+        write(out.filter("large").select("value"), 1)
 
 
 # ---------------------------------------------------------------- reader
@@ -129,6 +182,8 @@ def members(raw: bytes) -> Iterator[tuple[int, int, bytes, str]]:
         at = to
 
 
+#: A record's header has no more bytes than this, so a search for its end is short wherever a version line stands.
+HEADER_BYTES = 1 << 16
 HEADER = re.compile(rb"([!-9;-~]+):[ \t]*(.*)")
 
 
@@ -136,7 +191,7 @@ def parse_one(raw: bytes, at: int) -> tuple[dict | None, int, str]:
     """The record at `at`: (fields, its end, "") or (None, at, reason)."""
     if not raw.startswith(VERSION, at):
         return None, at, "no version line"
-    end = raw.find(b"\r\n\r\n", at)
+    end = raw.find(b"\r\n\r\n", at, at + HEADER_BYTES)
     if end < 0:
         return None, at, "header does not end"
     head: dict[str, str] = {}
@@ -234,23 +289,24 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page, written and read back. A null page_id has no record id and comes back null; rows that share the
-    smallest page_id of a payload are all responses; null html is an empty payload."""
+    """Every page, written and read back; bytes that could not be read are an error. A null page_id has no record id and
+    comes back null: it is a revisit if its payload is long and another page has it, and of pages with null ids alone
+    one is the response, which its revisits cannot name. Of rows that share the smallest page_id one is the response.
+    Null html is an empty payload."""
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), path)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     as_long = lambda c: F.when(number(c) != "", number(c).cast("long"))
-    return read_warc(spark, path, payloads=False).filter("kind = 'record'").select(
+    whole = F.when(F.col("kind") == "record", F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("lost bytes in "), "file", F.lit(": "), "reason")).cast("boolean"))
+    return read_warc(spark, path, payloads=False).filter(whole).select(
         as_long(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         as_long(F.col("refers_to")).alias("refers_to"),
     )
 
 
 OP8_SQL = """
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
-SELECT p.page_id, p.payload_bytes, p.payload_digest,
-       CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first_id < page_id THEN first_id END AS refers_to
-FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, url FROM pages),
+f AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS FIRST) > 1 AND payload_bytes >= 100 AS again,
+        first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS FIRST) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to FROM f
 """

@@ -5,8 +5,6 @@ import json
 from collections import Counter
 
 import pytest
-from conftest import DATA, same_rows
-
 from test_llm import brute_repeats, passages
 
 from curvesmith.llm import chat, linededup, suffixdedup, warc
@@ -32,11 +30,6 @@ def test_line_dedup_of_short_units(spark, least):
     assert sum(map(len, want.values())) == (4 if least == 1 else 1)
 
 
-def test_line_dedup_equals_sql_over_all_units(spark, duck):
-    every = linededup.OP2_SQL.replace("len(w) >= 5", "len(w) >= 1")
-    same_rows(linededup.op2_line_dedup(spark, DATA), duck.sql(every))
-
-
 def test_chat_loses_no_message(spark):
     one = {"name": "add", "arguments": {"x": 1}}
     m = [
@@ -70,13 +63,6 @@ def test_chat_rows_without_id_are_not_merged(spark):
     assert not any(r.linked for r in rows)
 
 
-def test_chat_equals_sql_and_system_turns(spark, duck):
-    whole = chat.OP3_SQL + """UNION ALL
-SELECT conv_id, turn::BIGINT, 'turn-' || turn, 'system', NULL, NULL, false, NULL, 0, NULL, '', '{"conversation":"' || conv_id || '","kind":"system","text":' || to_json(coalesce(text, '')) || '}'
-FROM conversations WHERE role = 'system'"""
-    same_rows(chat.op3_chat_format(spark, DATA), duck.sql(whole))
-
-
 def test_suffix_dedup_of_rows_given_twice_in_hot_leaders(spark):
     rows = [(i, t) for i, t, *_ in passages()]
     df = spark.createDataFrame([r for r in rows for _ in range(2)], "doc_id bigint, text string").coalesce(1)
