@@ -49,16 +49,20 @@ def ablation(rows: DataFrame, terms: dict[str, Column], weights: dict[str, float
     return out.withColumn("level", F.when(F.col("importance") > 1, "critical").when(F.col("importance") > 0.1, "important").otherwise("minor")).drop("base")
 
 
-def failure_bucket(formula: Column, r2: Column, truth: Column) -> Column:
-    """The first rule that explains a miss."""
-    has = lambda c, p: F.coalesce(c.rlike(p), F.lit(False))
+def failure_bucket(formula: Column, r2: Column, mse: Column, truth: Column) -> Column:
+    """The first rule that explains a miss. Powers are read as ^ or **; the largest of each formula are compared, and a
+    formula without any counts as of power 1."""
+    found, want = F.lower(F.coalesce(formula, F.lit(""))), F.lower(F.coalesce(truth, F.lit("")))
+    power = lambda c: F.array_max(F.transform(F.regexp_extract_all(c, F.lit(r"(?:\*\*|\^)\s*(\d{1,9})"), F.lit(1)), lambda k: k.cast("int")))
+    wave = lambda c: F.contains(c, F.lit("sin(")) | F.contains(c, F.lit("cos("))
+    has = lambda c, p: F.contains(c, F.lit(p))
     return (
-        F.when(formula.isNull() | (formula == ""), "no_formula")
-        .when(has(truth, r"exp\(-") & has(formula, r"exp\((?!-)"), "exp_sign_error")
-        .when(has(truth, "/") & ~has(formula, "/"), "rational_denominator_missing")
-        .when(has(truth, r"\^[3-9]") & ~has(formula, r"\^[3-9]"), "missing_high_order_terms")
-        .when(has(truth, r"(sin|cos)\(") & ~has(formula, r"(sin|cos)\("), "periodic_structure_missing")
-        .when(r2 > 0.99, "near_miss_structural").when(r2 < 0, "high_error_instability").otherwise("other_structural_failure")
+        F.when(found == "", "no_formula")
+        .when(has(want, "exp(-") & has(found, "exp(") & ~has(found, "exp(-"), "exp_sign_error")
+        .when(has(want, "/") & ~has(found, "/"), "rational_denominator_missing")
+        .when((power(want) >= 3) & (F.coalesce(power(found), F.lit(1)) < power(want)), "missing_high_order_terms")
+        .when(wave(want) & ~wave(found), "periodic_structure_missing")
+        .when(r2 >= 0.8, "near_miss_structural").when((mse > 1.0) & ~F.isnan(mse) & (mse < float("inf")), "high_error_instability").otherwise("other_structural_failure")
     )
 
 
@@ -114,11 +118,21 @@ def op_cdf(rows: DataFrame, name: str, prior: str) -> DataFrame:
 
 
 def payload_errors(rows: DataFrame, payload: str) -> DataFrame:
-    """Adds errors: what an interchange payload (JSON text) lacks."""
-    get = lambda p: F.get_json_object(payload, p)
-    tests = [
-        (get("$.version").isNull(), "no version"), (get("$.candidate_skeletons").isNull(), "no skeletons"),
-        (get("$.fit_diagnostics.mse").isNull(), "no error"),
-        (F.coalesce(get("$.fit_diagnostics.mse").cast("double") < 0, F.lit(False)), "negative error"), (get("$.routing_signal").isNull(), "no routing"),
-    ]
-    return rows.withColumn("errors", F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in tests])))
+    """Adds errors: why an interchange payload (JSON text) is not a valid one, in order of its fields. A skeleton's
+    formula that is null counts as missing."""
+    v = F.try_parse_json(payload)
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
+    is_map = lambda path: kind(path).startswith("OBJECT")
+    note = lambda bad, text: F.when(bad, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
+    keys = F.coalesce(F.json_object_keys(F.to_json(F.when(is_map("$.routing_signal"), F.try_variant_get(v, "$.routing_signal", "variant")))), F.array().cast("array<string>"))
+    skeletons = F.try_variant_get(v, "$.candidate_skeletons", "array<variant>")
+    formula = lambda c: F.trim(F.coalesce(F.try_variant_get(c, "$.formula", "string"), F.lit("")))
+    nameless = F.filter(F.transform(skeletons, lambda c, i: F.when(formula(c) == "", F.concat(F.lit("candidate_skeletons["), i.cast("string"), F.lit("] must include formula")))), lambda e: e.isNotNull())
+    found = F.concat(
+        note(F.coalesce(F.try_variant_get(v, "$.schema_version", "string"), F.lit("")) != "fpip.v2", "schema_version must be 'fpip.v2'"),
+        F.when(F.coalesce(F.size(skeletons), F.lit(0)) < 1, F.array(F.lit("candidate_skeletons must be a non-empty list"))).otherwise(nameless),
+        note(~is_map("$.sequence_uncertainty"), "sequence_uncertainty must be a dict"), note(~is_map("$.operator_priors"), "operator_priors must be a dict"),
+        F.when(is_map("$.routing_signal"), F.concat(*[note(~F.array_contains(keys, k), f"routing_signal.{k} is required") for k in ("recommend_guided_evolution", "reason")])).otherwise(F.array(F.lit("routing_signal must be a dict"))),
+    )
+    whole = F.coalesce(F.schema_of_variant(v), F.lit("VOID")).startswith("OBJECT")
+    return rows.withColumn("errors", F.when(whole, found).otherwise(F.array(F.lit("payload must be a dict"))))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranked
+
 
 def mse(y: Column, p: Column) -> Column:
     return F.avg((p - y) * (p - y))
@@ -31,12 +33,8 @@ def residual_moments(e: Column) -> dict[str, Column]:
 
 def suspicious(rows: DataFrame, keys: list[str], x: str, e: str, edge: float = 0.05, tie: list[str] | None = None) -> DataFrame:
     """Per group: moments, error at the edges of x over that of the core, and whether any of them is out of bounds."""
-    order = [F.col(c) for c in (x, *(tie or []))]
-    w = Window.partitionBy(*keys)
-    rank = F.row_number().over(w.orderBy(*order))
-    n = F.count(F.lit(1)).over(w)
-    k = F.greatest(F.floor(n * edge), F.lit(1))
-    placed = rows.withColumn("_edge", (rank <= k) | (rank > n - k))
+    k = F.greatest(F.floor(F.col("_n") * F.lit(edge)), F.lit(1))
+    placed = ranked.ends(rows, keys, x, tie or [x], k).withColumn("_edge", F.col("low") | F.col("high"))
     m = residual_moments(F.col(e))
     sq = F.col(e) * F.col(e)
     out = placed.groupBy(*keys).agg(
@@ -64,13 +62,15 @@ def entropy_margin(rows: DataFrame, keys: list[str], name: str, weight: str) ->
 
 def stability(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Quartiles, their range, population deviation and the mean of the worst tenth."""
-    w = Window.partitionBy(*keys)
-    rank, n = F.row_number().over(w.orderBy(F.asc(value))), F.count(F.lit(1)).over(w)
-    worst = F.when(n >= 10, rank <= F.floor(n / 10)).otherwise(rank == 1)
-    placed = rows.withColumn("_worst", worst)
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = placed.groupBy(*keys).agg(q.alias("_q"), F.stddev_pop(value).alias("sd"), F.avg(F.when(F.col("_worst"), F.col(value))).alias("worst_tenth"))
-    return out.select(*keys, F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q75"), (F.col("_q")[2] - F.col("_q")[0]).alias("iqr"), "sd", "worst_tenth")
+    ranks, quantiles = ranked.quantile_ranks({"q25": 0.25, "median": 0.5, "q75": 0.75})
+    worst = F.greatest(F.floor(F.col("_n") / 10), F.lit(1))
+    cuts = ranked.at_ranks(rows, keys, value, {**ranks, "_worst": worst}).withColumn("_k", worst)
+    v = F.col(value).cast("double")
+    below = v < F.col("_worst")
+    total = F.coalesce(F.sum(F.when(below, v)), F.lit(0.0)) + (F.first("_k") - F.count_if(below)) * F.first("_worst")
+    one = ranked.joined(rows, cuts, keys).groupBy(*keys).agg(F.stddev_pop(v).alias("sd"), (total / F.first("_k")).alias("worst_tenth"))
+    got = ranked.joined(cuts.withColumns(quantiles), one, keys)
+    return got.select(*keys, *quantiles, (F.col("q75") - F.col("q25")).alias("iqr"), "sd", "worst_tenth")
 
 
 def threshold_f1(rows: DataFrame, label: str, score: str, thresholds: list[float]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranked
+
 
 def gradient(y: Column, w) -> Column:
     """Central differences, one-sided at the ends."""
@@ -92,9 +94,21 @@ def changes(rows: DataFrame, keys: list[str], pos: str, value: str) -> DataFrame
     return rows.withColumn("before", F.lag(value).over(w)).filter(F.col("before").isNotNull() & (F.col(value) != F.col("before")))
 
 
-def edges(rows: DataFrame, keys: list[str], order: list, share: float = 0.05) -> DataFrame:
-    """Adds `edge`: whether a row is among the first or last `share` of its group."""
-    w = Window.partitionBy(*keys)
-    rank, n = F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
-    k = F.greatest(F.floor(n * share), F.lit(1))
-    return rows.withColumn("edge", (rank <= k) | (rank > n - k))
+def edges(rows: DataFrame, keys: list[str], order: list[str], share: float = 0.05) -> DataFrame:
+    """Adds `edge`: whether a row is among the first or last `share` of its group in the order of a number and what
+    breaks its ties. Groups are not sorted, see ranked.ends()."""
+    k = F.greatest(F.floor(F.col("_n") * F.lit(share)), F.lit(1))
+    out = ranked.ends(rows, keys, order[0], order[1:] or order, k)
+    return out.withColumn("edge", F.col("low") | F.col("high")).drop("low", "high")
+
+
+def edges_by_distance(rows: DataFrame, columns: list[str], tie: list[str], share: float = 0.05) -> DataFrame:
+    """Adds `edge` for several variables: whether a row is among the `share` that lie farthest from the mean point."""
+    mean = rows.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)])
+    far = F.lit(0.0)
+    for i, c in enumerate(columns):
+        far = far + (F.col(c) - F.col(f"_m{i}")) * (F.col(c) - F.col(f"_m{i}"))
+    placed = rows.crossJoin(F.broadcast(mean)).withColumn("_far", F.round(F.sqrt(far), 9)).withColumn("_all", F.lit(1))
+    k = F.greatest(F.floor(F.col("_n") * F.lit(share)), F.lit(1))
+    out = ranked.ends(placed, ["_all"], "_far", tie, k)
+    return out.withColumn("edge", F.col("high")).drop("low", "high", "_far", "_all", *[f"_m{i}" for i in range(len(columns))])

@@ -11,12 +11,20 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+#: Shares of the rows whose fronts are found before that of all.
+SHARES = 256
+
+
 def pareto_front(rows: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
     """Rows that no other beats in both a and b (smaller is better, strictly in one). Sorted by (a, b), a row is on the
     front iff its b is below all b of smaller a, and the least of its own a: a running minimum instead of a join of
-    all pairs."""
-    w = Window.partitionBy(*(keys or [F.lit(1)]))
+    all pairs. That is done in shares of the rows first, so what one task sorts in the end are the few rows of their
+    fronts, whatever the table."""
     best = rows.groupBy(*(keys or []), a).agg(F.min(b).alias("_own"))
+    share = Window.partitionBy(*(keys or []), F.pmod(F.xxhash64(a), F.lit(SHARES)))
+    lead = F.min("_own").over(share.orderBy(a).rowsBetween(Window.unboundedPreceding, -1))
+    best = best.withColumn("_lead", lead).filter(F.col("_lead").isNull() | (F.col("_own") < F.col("_lead"))).drop("_lead")
+    w = Window.partitionBy(*(keys or [F.lit(1)]))
     before = F.min("_own").over(w.orderBy(a).rowsBetween(Window.unboundedPreceding, -1))
     best = best.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_own") < F.col("_before")))
     return rows.join(best.drop("_before"), [*(keys or []), a]).filter(F.col(b) == F.col("_own")).drop("_own")

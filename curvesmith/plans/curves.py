@@ -126,6 +126,18 @@ WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_
 SELECT o_orderkey, o_orderpriority FROM o WHERE k <= greatest(floor(n * 0.05), 1) OR k > n - greatest(floor(n * 0.05), 1)"""
 
 
+def edge_holdout_distance(spark, d):
+    """The 5 % of part that lie farthest from the mean of size and price."""
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("s"), (F.col("p_retailprice") / F.lit(100.0)).alias("v"))
+    return ordered.edges_by_distance(p, ["s", "v"], ["p_partkey"]).filter("edge").select("p_partkey", r(F.col("s"), 4).alias("s"))
+
+
+SQL["edge_holdout_distance"] = """
+WITH p AS (SELECT p_partkey, p_size::DOUBLE AS s, p_retailprice / 100.0::DOUBLE AS v FROM part), m AS (SELECT avg(s) AS ms, avg(v) AS mv FROM p),
+k AS (SELECT p_partkey, s, row_number() OVER (ORDER BY round(sqrt((s - ms) * (s - ms) + (v - mv) * (v - mv)), 9) DESC, p_partkey DESC) AS k, count(*) OVER () AS n FROM p, m)
+SELECT p_partkey, floor(s * 10000.0 + 0.5) / 10000.0 AS s FROM k WHERE k <= greatest(floor(n * 0.05), 1)"""
+
+
 def _candidates(spark, d):
     """Part brands and sizes as candidates: error and complexity stand-ins."""
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_size").alias("complexity"), r(F.col("p_retailprice") / F.lit(10.0), 2).alias("mse"))

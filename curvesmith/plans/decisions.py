@@ -91,22 +91,23 @@ def seed_summary(spark, d):
 
 
 SQL["seed_summary"] = f"SELECT problem, count(*) AS n, {rd('quantile_cont(r2, 0.5)', 6)} AS r2_median, count(*) FILTER (exact) AS n_exact, min(seconds) FILTER (exact) AS first_exact_s, min(seconds) FILTER (r2 >= 0.99 AND size <= 20) AS first_acceptable_s, {rd('stddev_pop(r2)', 6)} AS r2_sd FROM ({R}) GROUP BY 1"
-TRUTHS = ("exp(-x)*sin(x)", "x^4 + x", "1/(x+1)", "x^2")
-FOUND = ("exp(x)", "x^2 + x", "sin(x)", "", "x^4/x")
+TRUTHS = ("exp(-x)*sin(x)", "x**4 + x", "1/(x+1)", "x^2", "cos(2*x)")
+FOUND = ("exp(x)", "x^2 + x", "sin(x)", "", "x**4/x", "exp(-x)/x**5", "cos(x) + X^3")
 
 
 def failure_buckets(spark, d):
     pick = lambda v, n: F.element_at(F.array(*map(F.lit, v)), (F.pmod(F.floor(F.col("o_orderkey") / F.lit(float(n))).cast("long"), F.lit(len(v))) + 1).cast("int"))
-    rows = _runs(spark, d).withColumn("bucket", decide.failure_bucket(pick(FOUND, 1), F.col("r2"), pick(TRUTHS, 7)))
+    rows = _runs(spark, d).withColumn("bucket", decide.failure_bucket(pick(FOUND, 1), F.col("r2"), F.col("seconds") / F.lit(50.0), pick(TRUTHS, 7)))
     return rows.groupBy("problem", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 _pick = lambda v, n: f"[{', '.join(repr(x) for x in v)}][(floor(o_orderkey / {n}.0::DOUBLE)::BIGINT % {len(v)} + 1)::INT]"
+_power = lambda c: rf"list_max(list_transform(regexp_extract_all({c}, '(?:\*\*|\^)\s*(\d+)', 1), lambda k: k::INT))"
 SQL["failure_buckets"] = rf"""
-WITH f AS (SELECT *, {_pick(FOUND, 1)} AS f, {_pick(TRUTHS, 7)} AS t FROM ({R}))
-SELECT problem, CASE WHEN f IS NULL OR f = '' THEN 'no_formula' WHEN regexp_matches(t, 'exp\(-') AND regexp_matches(f, 'exp\([^-]') THEN 'exp_sign_error' WHEN contains(t, '/') AND NOT contains(f, '/') THEN 'rational_denominator_missing'
-  WHEN regexp_matches(t, '\^[3-9]') AND NOT regexp_matches(f, '\^[3-9]') THEN 'missing_high_order_terms' WHEN regexp_matches(t, '(sin|cos)\(') AND NOT regexp_matches(f, '(sin|cos)\(') THEN 'periodic_structure_missing'
-  WHEN r2 > 0.99 THEN 'near_miss_structural' WHEN r2 < 0 THEN 'high_error_instability' ELSE 'other_structural_failure' END AS bucket, count(*) AS n FROM f GROUP BY 1, 2"""
+WITH f AS (SELECT *, lower({_pick(FOUND, 1)}) AS f, lower({_pick(TRUTHS, 7)}) AS t, seconds / 50.0::DOUBLE AS mse FROM ({R})), p AS (SELECT *, {_power('f')} AS fp, {_power('t')} AS tp FROM f)
+SELECT problem, CASE WHEN f = '' THEN 'no_formula' WHEN contains(t, 'exp(-') AND contains(f, 'exp(') AND NOT contains(f, 'exp(-') THEN 'exp_sign_error' WHEN contains(t, '/') AND NOT contains(f, '/') THEN 'rational_denominator_missing'
+  WHEN tp >= 3 AND coalesce(fp, 1) < tp THEN 'missing_high_order_terms' WHEN (contains(t, 'sin(') OR contains(t, 'cos(')) AND NOT (contains(f, 'sin(') OR contains(f, 'cos(')) THEN 'periodic_structure_missing'
+  WHEN r2 >= 0.8 THEN 'near_miss_structural' WHEN mse > 1 THEN 'high_error_instability' ELSE 'other_structural_failure' END AS bucket, count(*) AS n FROM p GROUP BY 1, 2"""
 
 
 def _best(spark, d):
@@ -162,14 +163,23 @@ def op_cdf(spark, d):
 SQL["op_cdf"] = f"WITH n AS (SELECT event_type, count(*)::DOUBLE AS prior FROM events GROUP BY 1) SELECT event_type, {rd('sum(prior) OVER (ORDER BY event_type) / sum(prior) OVER ()', 6)} AS cdf FROM n"
 
 
+#: Payloads and what is wrong with them.
+PAYLOADS = {
+    '{"schema_version":"fpip.v2","candidate_skeletons":[{"formula":"x"}],"sequence_uncertainty":{},"operator_priors":{},"routing_signal":{"recommend_guided_evolution":false,"reason":"ok"}}': [],
+    '{"schema_version":"fpip.v1","candidate_skeletons":[],"sequence_uncertainty":[],"operator_priors":{"sin":1},"routing_signal":{"reason":null}}': ["schema_version must be 'fpip.v2'", "candidate_skeletons must be a non-empty list", "sequence_uncertainty must be a dict", "routing_signal.recommend_guided_evolution is required"],
+    '{"schema_version":"fpip.v2","candidate_skeletons":[{"formula":" "},{"formula":"x"},7],"sequence_uncertainty":{"entropy":1},"routing_signal":{}}': ["candidate_skeletons[0] must include formula", "candidate_skeletons[2] must include formula", "operator_priors must be a dict", "routing_signal.recommend_guided_evolution is required", "routing_signal.reason is required"],
+    "{}": ["schema_version must be 'fpip.v2'", "candidate_skeletons must be a non-empty list", "sequence_uncertainty must be a dict", "operator_priors must be a dict", "routing_signal must be a dict"],
+    "[1]": ["payload must be a dict"], "not json": ["payload must be a dict"],
+}
+
+
 def payload_validation(spark, d):
-    k = F.col("c_custkey") % 4
-    body = F.when(k == 0, '{"version":"v2","candidate_skeletons":["x"],"fit_diagnostics":{"mse":0.5},"routing_signal":{}}').when(k == 1, '{"version":"v2","fit_diagnostics":{"mse":-1}}').when(k == 2, "{}").otherwise("not json")
+    body = F.element_at(F.array(*map(F.lit, PAYLOADS)), (F.col("c_custkey") % len(PAYLOADS) + 1).cast("int"))
     rows = decide.payload_errors(table(spark, d, "customer").select("c_custkey", body.alias("payload")), "payload")
     return rows.select(F.array_join("errors", "; ").alias("errors")).groupBy("errors").agg(F.count(F.lit(1)).alias("n"))
 
 
-SQL["payload_validation"] = "SELECT ['', 'no skeletons; negative error; no routing', 'no version; no skeletons; no error; no routing', 'no version; no skeletons; no error; no routing'][(c_custkey % 4 + 1)::INT] AS errors, count(*) AS n FROM customer GROUP BY 1"
+SQL["payload_validation"] = "SELECT [{}][(c_custkey % {} + 1)::INT] AS errors, count(*) AS n FROM customer GROUP BY 1".format(", ".join("'" + "; ".join(e).replace("'", "''") + "'" for e in PAYLOADS.values()), len(PAYLOADS))
 
 
 def template_match(spark, d):

@@ -38,10 +38,12 @@ class FormulaModel:
 
     def payload(self) -> dict:
         """The interchange form: skeletons, diagnostics and what to do next."""
+        search = self.r2 < 0.999
         return {
-            "version": "v2", "candidate_skeletons": [c["formula"] for c in self.candidates[:5]],
+            "schema_version": "fpip.v2", "candidate_skeletons": [{"formula": c["formula"], "mse": c["mse"]} for c in self.candidates[:5]],
+            "sequence_uncertainty": {"entropy": None, "margin": None, "confident": not search}, "operator_priors": {}, "interaction_hints": {},
             "fit_diagnostics": {"mse": self.mse, "r2": self.r2, "stage": self.stage},
-            "routing_signal": {"needs_search": self.r2 < 0.999},
+            "routing_signal": {"recommend_guided_evolution": search, "reason": "low_r2" if search else "fast_path_confident"},
         }
 
 

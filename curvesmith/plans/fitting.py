@@ -71,22 +71,21 @@ SELECT row_number() OVER (ORDER BY mse, term)::INT AS rank, term, {rd('slope')}
 
 
 def pair_fit_rank(spark, d):
-    """All pairs i < j of terms, least squares in closed form from the Gram table, ranked: a theta join of the k-row term
-    table with itself, never of the data."""
+    """All pairs i < j of terms, least squares in closed form from the Gram matrix, ranked: one pass over the data."""
     s = sales(spark, d)
     x = {"x0": F.col("x0"), "x1": F.col("x1"), "x2": F.col("x2"), "x0*x1": F.col("x0") * F.col("x1"), "x0*x2": F.col("x0") * F.col("x2")}
     terms = [basis.Term(k, "", v) for k, v in x.items()]
-    g = gram.partial(basis.project(s, terms, F.col("y")), len(terms))
-    names = spark.createDataFrame([(i, k) for i, k in enumerate(x)], "i int, name string")
     k = len(terms)
-    diag = g.filter(f"i = j and i < {k}").select("i", F.col("v").alias("gii"))
-    cross = g.filter(f"j = {k} and i < {k}").select("i", F.col("v").alias("ci"))
-    node = diag.join(cross, "i").join(names, "i")
-    total = g.filter(f"i = j and i >= {k}").agg(F.max(F.when(F.col("i") == k, F.col("v"))).alias("yy"), F.max(F.when(F.col("i") == k + 1, F.col("v"))).alias("n"))
-    off = g.filter(f"i < j and j < {k}").select(F.col("i").alias("ia"), F.col("j").alias("ib"), F.col("v").alias("gij"))
-    a = node.select(F.col("i").alias("ia"), F.col("gii").alias("ga"), F.col("ci").alias("ca"), F.col("name").alias("term_a"))
-    b = node.select(F.col("i").alias("ib"), F.col("gii").alias("gb"), F.col("ci").alias("cb"), F.col("name").alias("term_b"))
-    p = off.join(a, "ia").join(b, "ib").crossJoin(F.broadcast(total))
+    g = gram.partial(basis.project(s, terms, F.col("y")), k)
+    # one row with the whole matrix as a map: what the pairs need is looked up, and the data is read once
+    one = g.agg(F.map_from_entries(F.collect_list(F.struct((F.col("i") * 100 + F.col("j")).alias("k"), "v"))).alias("g"))
+    at = lambda i, j: F.element_at("g", F.lit(100 * i + j))
+    names = list(x)
+    pairs = [
+        F.struct(F.lit(names[a]).alias("term_a"), F.lit(names[b]).alias("term_b"), at(a, a).alias("ga"), at(b, b).alias("gb"), at(a, b).alias("gij"), at(a, k).alias("ca"), at(b, k).alias("cb"), at(k, k).alias("yy"), at(k + 1, k + 1).alias("n"))
+        for a in range(k) for b in range(a + 1, k)
+    ]
+    p = one.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
     det = F.col("ga") * F.col("gb") - F.col("gij") * F.col("gij")
     wa = (F.col("ca") * F.col("gb") - F.col("cb") * F.col("gij")) / F.nullif(det, F.lit(0.0))
     wb = (F.col("cb") * F.col("ga") - F.col("ca") * F.col("gij")) / F.nullif(det, F.lit(0.0))

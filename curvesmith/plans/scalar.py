@@ -73,20 +73,19 @@ SCALAR_SQL = {
 
 
 def constant_snap(spark, d):
-    """Average discount and tax of each day's week snapped to the nearest named constant."""
-    rows = table(spark, d, "lineitem").groupBy("l_linenumber", "l_returnflag").agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b"), F.avg("l_quantity").alias("c"))
-    long = rows.select("l_linenumber", "l_returnflag", F.explode(F.map_from_arrays(F.array(F.lit("discount"), F.lit("tax"), F.lit("quantity")), F.array("a", "b", F.col("c") / F.lit(10.0)))).alias("what", "v"))
-    return snap.to_constants(long, "v", 0.05).select("l_linenumber", "l_returnflag", "what", r(F.col("v"), 4).alias("v"), "constant", "snapped")
+    """Balances and negated prices, scaled to where the constants lie, snapped to the nearest of them."""
+    c = table(spark, d, "customer").select(F.lit("customer").alias("what"), F.col("c_custkey").alias("key"), (F.col("c_acctbal") / F.lit(1000.0)).alias("v"))
+    p = table(spark, d, "part").select(F.lit("part").alias("what"), F.col("p_partkey").alias("key"), (-F.col("p_retailprice") / F.lit(200.0)).alias("v"))
+    return snap.to_constants(c.unionByName(p), "v", 0.05).select("what", "key", r(F.col("v"), 4).alias("v"), "constant", "snapped")
 
 
 _consts = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in snap.CONSTANTS.items())
 SCALAR_SQL["constant_snap"] = f"""
 WITH c(name, value) AS (VALUES {_consts}),
-g AS (SELECT l_linenumber, l_returnflag, avg(l_discount) AS a, avg(l_tax) AS b, avg(l_quantity) / 10.0::DOUBLE AS q FROM lineitem GROUP BY 1, 2),
-l AS (SELECT l_linenumber, l_returnflag, 'discount' AS what, a AS v FROM g UNION ALL SELECT l_linenumber, l_returnflag, 'tax', b FROM g UNION ALL SELECT l_linenumber, l_returnflag, 'quantity', q FROM g),
-j AS (SELECT l.*, c.name, c.value, abs(v - value) / CASE WHEN abs(value) > 1 THEN abs(value) ELSE 1.0 END AS dist FROM l, c),
-m AS (SELECT l_linenumber, l_returnflag, what, v, min_by(name, (dist, name)) AS name, min(dist) AS dist FROM j GROUP BY ALL)
-SELECT l_linenumber, l_returnflag, what, {_r4('v')} AS v, CASE WHEN dist <= 0.05 THEN name END AS constant, dist <= 0.05 AS snapped FROM m"""
+l AS (SELECT 'customer' AS what, c_custkey AS key, c_acctbal / 1000.0::DOUBLE AS v FROM customer UNION ALL SELECT 'part', p_partkey, -p_retailprice / 200.0::DOUBLE FROM part),
+j AS (SELECT l.*, c.name, abs(v - value) / CASE WHEN abs(value) > 1 THEN abs(value) ELSE 1.0 END AS dist FROM l, c),
+m AS (SELECT what, key, v, min_by(name, (dist, name)) AS name, min(dist) AS dist FROM j GROUP BY ALL)
+SELECT what, key, {_r4('v')} AS v, CASE WHEN dist < 0.05 THEN name END AS constant, dist < 0.05 AS snapped FROM m"""
 
 
 def float_snap(spark, d):
@@ -180,21 +179,6 @@ b AS (SELECT *, sign(x0) * pow(abs(x0) + 1e-10, 1.5::DOUBLE) AS n2,
 SELECT {KEY}, {_r4('0.25::DOUBLE + 0.5::DOUBLE * x0 + (-1.0)::DOUBLE * x1 + 0.1::DOUBLE * n2 + 2.0::DOUBLE * n3 + 1.5::DOUBLE * (1.0::DOUBLE * sin(2.0::DOUBLE * n2 + 0.0::DOUBLE)) + 0.75::DOUBLE * (n3 / (abs(x0) + 1e-6) * sign(x0))')} AS y FROM b"""
 
 
-def routing_reason(spark, d):
-    """Ordered rules on a fit's error, size and certainty: which of them sends it to the search."""
-    t = table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("mse"), F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
-    m = F.col("mse") / F.lit(1000.0)
-    reason = F.when(m < 0.05, "accurate").when(F.col("n") < 60, "few_rows").when(F.col("top") > 400, "heavy_tail").when(m > 0.1, "high_error").otherwise("uncertain")
-    budget = F.greatest(F.least(F.lit(30.0) * (F.lit(1.0) + m) * F.when(F.col("n") > 70, 1.5).otherwise(1.0), F.lit(300.0)), F.lit(10.0))
-    return t.select("user_id", reason.alias("reason"), r(budget, 4).alias("budget_s"))
-
-
-SCALAR_SQL["routing_reason"] = f"""
-WITH t AS (SELECT user_id, avg(value) / 1000.0::DOUBLE AS m, count(*) AS n, max(value) AS top FROM events GROUP BY 1)
-SELECT user_id, CASE WHEN m < 0.05 THEN 'accurate' WHEN n < 60 THEN 'few_rows' WHEN top > 400 THEN 'heavy_tail' WHEN m > 0.1 THEN 'high_error' ELSE 'uncertain' END AS reason,
-  {_r4('greatest(least(30.0::DOUBLE * (1.0::DOUBLE + m) * CASE WHEN n > 70 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END, 300.0::DOUBLE), 10.0::DOUBLE)')} AS budget_s FROM t"""
-
-
 def prior_blend(spark, d):
     """Event types' shares, renormalised and blended with the even share by trust."""
     n = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

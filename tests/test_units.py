@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from curvesmith.functions import expr, safe, text
-from curvesmith.operators import basis, calibrate, features, gram, search, select
+from curvesmith.operators import basis, calibrate, decide, features, gram, search, select
 from curvesmith.plans.estimator import FormulaRegressor
 from curvesmith.sources import files, synthetic
 from curvesmith.streaming import trace
@@ -113,7 +114,9 @@ def test_estimator_recovers(spark, f, inputs):
     m = FormulaRegressor(max_power=2).fit(df, inputs, "y")
     assert m.mse < 1e-8 and m.r2 > 0.999999
     assert m.transform(df).filter(F.abs(F.col("prediction") - F.col("y")) > 1e-3).count() == 0
-    assert not m.payload()["routing_signal"]["needs_search"]
+    assert not m.payload()["routing_signal"]["recommend_guided_evolution"]
+    rows = spark.createDataFrame([(json.dumps(m.payload()),)], "payload string")
+    assert decide.payload_errors(rows, "payload").first().errors == []
 
 
 def test_pareto_against_all_pairs(spark):
