@@ -122,7 +122,7 @@ def _named(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, width:
     """(content, class_id, named) for each content that is linked to another or occurs more than once."""
     known = rows.filter("content <> 0")
     members = known.select("content", "bands", "size").dropDuplicates(["content"]).select("content", "size", F.explode("bands").alias("band"))
-    bucket = members.groupBy("band").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low < high").select("band", "low")
+    bucket = cut(members.groupBy("band").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low < high").select("band", "low"))
     shared = stored(members.join(bucket, "band").select("band", "low", "content", "size"), "shared")
     stars = cut(shared.filter("content <> low").select(F.col("content").alias("a"), F.col("low").alias("b")).distinct())
 
@@ -324,3 +324,16 @@ def _texts(docs: DataFrame, known: DataFrame, wanted: DataFrame, id_col: str, te
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_classes(docs).select(F.col("id").alias("doc_id"), "class_id")
+
+
+#: All pairs of texts that share a shingle, by their multisets, and the components of those that overlap enough.
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM w WHERE len(w) > 0)),
+t AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id, s) AS k FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.s = b.s AND a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE c::DOUBLE / (x.n + y.n - c) >= 0.8),
+r(doc_id, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT q.node, r.low FROM r JOIN (SELECT a AS near, b AS node FROM e UNION ALL SELECT b, a FROM e) q ON r.doc_id = q.near)
+SELECT doc_id, min(low) AS class_id FROM r GROUP BY 1
+"""

@@ -19,8 +19,10 @@ QUERIES = {
 SQL = {
     "op2_line_dedup": linededup.OP2_SQL,
     "op3_chat_format": chat.OP3_SQL,
+    "op4_near_duplicates": neardup.OP4_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
     "op9_top_k": topk.OP9_SQL,
+    "op10_suffix_dedup": suffixdedup.OP10_SQL,
 }
