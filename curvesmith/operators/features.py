@@ -6,9 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .ordered import cubic_weights
+
 #: Fixed layout: slice of each block.
 SCHEMA = {"raw": (0, 128), "fft": (128, 160), "fft_phase": (160, 192), "deriv": (192, 320), "stats": (320, 329), "curv": (329, 366)}
 WIDTH = 366
+#: What is smaller is not scaled up.
+TINY = 1e-10
 
 
 def resampled(y: np.ndarray, n: int) -> np.ndarray:
@@ -16,32 +20,79 @@ def resampled(y: np.ndarray, n: int) -> np.ndarray:
 
 
 def unit(v: np.ndarray) -> np.ndarray:
-    top = np.abs(v).max() if len(v) else 0.0
-    return v / top if top > 0 else np.zeros_like(v)
+    """Over its greatest size."""
+    top = np.abs(v).max(initial=0.0)
+    return v / top if top > TINY else v
+
+
+def bend(y: np.ndarray) -> np.ndarray:
+    """Signed curvature of a curve with even steps of one."""
+    d1 = np.gradient(y)
+    return np.nan_to_num(np.gradient(d1) / (1 + np.clip(d1, -1e4, 1e4) ** 2) ** 1.5)
+
+
+def turns(v: np.ndarray) -> int:
+    """Places where the sign differs from the one before; 0 is a sign of its own."""
+    return int(np.count_nonzero(np.diff(np.sign(v))))
+
+
+def shape(y: np.ndarray, n: int = 128, pull: float = 5.0) -> np.ndarray:
+    """The curve at n places that lie denser where it bends (density 1 + pull * curvature), from 0 to 1."""
+    if len(y) < 3:
+        v = resampled(y, n)
+    else:
+        share = np.cumsum(np.maximum(1 + pull * np.abs(bend(y)), 1e-4))
+        x = np.linspace(0, 1, len(y))
+        v = np.interp(np.interp(np.linspace(0, 1, n), share / share[-1], x), x, y)
+    span = v.max() - v.min()
+    return (v - v.min()) / span if span > TINY else np.zeros(n)
+
+
+def spectrum(y: np.ndarray, n: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Magnitudes over the greatest, and phases over pi (0 where the magnitude is below a hundredth), of the first n
+    frequencies of the curve less its mean under a Hann window."""
+    z = np.fft.rfft((y - y.mean()) * np.hanning(len(y)) if len(y) > 1 else y)[:n]
+    z = np.pad(z, (0, n - len(z)))
+    mag = unit(np.abs(z))
+    weak = (mag < 0.01) & (np.abs(z).max() > TINY)
+    return mag, np.where(weak, 0.0, np.angle(z) / np.pi)
+
+
+def slopes(y: np.ndarray, n: int = 64) -> np.ndarray:
+    """First and second differences of the smoothed curve at n places each."""
+    if len(y) < 3:
+        return np.zeros(2 * n)
+    if len(y) >= 11:
+        p = cubic_weights()
+        y = np.concatenate([p[:5] @ y[:11], np.convolve(y, p[5], "valid"), p[6:] @ y[-11:]])
+    d1 = np.gradient(y)
+    return np.concatenate([unit(resampled(d1, n)), unit(resampled(np.gradient(d1), n))])
 
 
 def moments(y: np.ndarray) -> np.ndarray:
-    """Mean, deviation, skewness, excess kurtosis, least, greatest, sign changes, extrema, and lag-1 correlation."""
-    sd = y.std()
-    z = (y - y.mean()) / sd if sd > 1e-12 else np.zeros_like(y)
-    s, d = np.sign(y - y.mean()), np.sign(np.diff(y))
-    return np.array([y.mean(), sd, (z**3).mean(), (z**4).mean() - 3 if sd > 1e-12 else 0.0, y.min(), y.max(), (s[1:] * s[:-1] < 0).mean() if len(s) > 1 else 0.0, (d[1:] * d[:-1] < 0).mean() if len(d) > 1 else 0.0, (z[1:] * z[:-1]).mean() if len(z) > 1 else 0.0])
+    """Of the standardised curve: mean, deviation, least, greatest, median, skewness, excess kurtosis, sign changes and
+    extrema."""
+    z = (y - y.mean()) / (y.std() + TINY)
+    c = z - z.mean()
+    m2, m3, m4 = ((c**k).mean() for k in (2, 3, 4))
+    level = m2 <= (np.finfo(float).eps * z.mean()) ** 2
+    return np.array([z.mean(), z.std(), z.min(), z.max(), np.median(z), 0.0 if level else m3 / m2**1.5, 0.0 if level else m4 / m2**2 - 3, turns(z), turns(np.diff(z))])
+
+
+def bends(y: np.ndarray, n: int = 32) -> np.ndarray:
+    """Signed curvature of the curve's moving average at n places over its greatest size; mean, deviation, least,
+    greatest and sign changes of that."""
+    if len(y) < 2:
+        return np.zeros(n + 5)
+    k = unit(resampled(np.clip(bend(np.convolve(y, np.full(7, 1 / 7), "same") if len(y) >= 7 else y), -100, 100), n))
+    return np.concatenate([k, [k.mean(), k.std(), k.min(), k.max(), turns(k)]])
 
 
 def features(y: np.ndarray) -> np.ndarray:
-    y = np.nan_to_num(np.asarray(y, float), nan=0.0, posinf=1e6, neginf=-1e6).clip(-1e6, 1e6)
-    if not len(y):
-        return np.zeros(WIDTH)
-    raw = resampled(y, 128)
-    spectrum = np.fft.rfft((raw - raw.mean()) * np.hanning(128))[:32]
-    mag = unit(np.abs(spectrum))
-    phase = np.where(mag >= 0.01, np.angle(spectrum) / np.pi, 0.0)
-    d1 = np.gradient(raw)
-    d2 = np.gradient(d1)
-    k = np.abs(d2) / (1 + d1 * d1) ** 1.5
-    cdf = np.cumsum(k) / k.sum() if k.sum() > 0 else np.linspace(0, 1, 128)
-    curv = np.concatenate([resampled(cdf, 32), [k.mean(), k.std(), k.max(), np.argmax(k) / 127, (k > k.mean()).mean()]])
-    return np.concatenate([unit(raw), mag, phase, unit(d1), moments(unit(raw)), curv])
+    """All blocks in the order of the layout; zeros for a curve without points. What is not finite counts as 0 or as the
+    bound of 1e100."""
+    y = np.nan_to_num(np.asarray(y, float), nan=0.0).clip(-1e100, 1e100)
+    return np.concatenate([shape(y), *spectrum(y), slopes(y), moments(y), bends(y)]) if len(y) else np.zeros(WIDTH)
 
 
 def curve_features(points: DataFrame, key: str, pos: str, y: str) -> DataFrame:

@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Gram:
-    """g = B'B, c = B'y, yy = y'y over n rows; scale: the root mean square of each column, by which g and c are divided."""
+    """g = B'B, c = B'y, yy = y'y over n rows; scale: the root mean square of each column, by which g and c are divided;
+    sd: the population deviation of each column, 1 for constants."""
 
     g: np.ndarray
     c: np.ndarray
     yy: float
     n: float
     scale: np.ndarray
+    sd: np.ndarray
 
     def mse(self, w: np.ndarray, cols=slice(None)) -> float:
         """Of scaled coefficients over some columns; cancellation can make it a little off, never negative."""
@@ -32,33 +34,34 @@ class Gram:
 
 
 def partial(projected: DataFrame, k: int) -> DataFrame:
-    """projected (b, y) to (i, j, v): entries of [B y]'[B y]; (k+1, k+1) holds the number of rows."""
+    """projected (b, y) to (i, j, v): entries of [B y 1]'[B y 1], so that column k+1 holds the sums and the number of rows."""
 
     def run(batches):
-        total, n = np.zeros((k + 1, k + 1)), 0
+        total = np.zeros((k + 2, k + 2))
         for pdf in batches:
             if len(pdf):
-                a = np.column_stack([np.stack(pdf["b"].to_numpy()), pdf["y"].to_numpy(dtype=float)])
+                a = np.column_stack([np.stack(pdf["b"].to_numpy()), pdf["y"].to_numpy(dtype=float), np.ones(len(pdf))])
                 a = a[np.isfinite(a).all(1)]
                 total += a.T @ a
-                n += len(a)
-        i, j = np.triu_indices(k + 1)
-        yield pd.DataFrame({"i": np.append(i, k + 1), "j": np.append(j, k + 1), "v": np.append(total[i, j], float(n))})
+        i, j = np.triu_indices(k + 2)
+        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
 
     parts = projected.select("b", "y").mapInPandas(run, "i int, j int, v double")
     return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def gram(projected: DataFrame, k: int) -> Gram:
-    got = partial(projected, k).toPandas()  # (k+1)(k+2)/2 + 1 rows
+    got = partial(projected, k).toPandas()  # (k+2)(k+3)/2 rows
     a = np.zeros((k + 2, k + 2))
     a[got["i"], got["j"]] = got["v"]
-    n = a[k + 1, k + 1]
+    n, sums = a[k + 1, k + 1], a[:k, k + 1].copy()
     a = np.triu(a[: k + 1, : k + 1])
     a = a + np.triu(a, 1).T
     scale = np.sqrt(np.diag(a)[:k] / max(n, 1))
     scale[scale == 0] = 1.0
-    return Gram(a[:k, :k] / np.outer(scale, scale), a[:k, k] / scale, float(a[k, k]), float(n), scale)
+    var = np.diag(a)[:k] / max(n, 1) - (sums / max(n, 1)) ** 2
+    sd = np.where(var > 1e-12 * scale**2, np.sqrt(np.maximum(var, 0.0)), 1.0)  # less is what cancellation leaves of 0
+    return Gram(a[:k, :k] / np.outer(scale, scale), a[:k, k] / scale, float(a[k, k]), float(n), scale, sd)
 
 
 def ols(s: Gram, cols) -> np.ndarray:
@@ -74,23 +77,25 @@ def ridge(s: Gram, lam: float = 0.01) -> np.ndarray:
     return np.linalg.solve(g + lam * np.eye(len(c)), c) * d
 
 
-def lasso(s: Gram, alpha: float, rounds: int = 1000, tol: float = 1e-6) -> np.ndarray:
-    """Coordinate descent on scaled columns; the threshold is alpha * n."""
+def lasso(s: Gram, alpha: float, rounds: int = 1000, tol: float = 1e-4) -> np.ndarray:
+    """Coordinate descent on columns over their deviation, without centring; the threshold is alpha * n. Coefficients of
+    the columns as they are."""
     w, k = np.zeros(len(s.c)), len(s.c)
-    t = alpha * s.n
-    diag = np.diag(s.g)
+    t, by = alpha * s.n, s.scale / s.sd
+    g, c = s.g * np.outer(by, by), s.c * by
+    diag = np.diag(g)
     for _ in range(rounds):
         most = 0.0
         for j in range(k):
             if diag[j] <= 0:
                 continue
-            rho = s.c[j] - s.g[j] @ w + diag[j] * w[j]
+            rho = c[j] - g[j] @ w + diag[j] * w[j]
             new = np.sign(rho) * max(abs(rho) - t, 0.0) / diag[j]
             most = max(most, abs(new - w[j]))
             w[j] = new
         if most < tol:
             break
-    return w
+    return w / s.sd
 
 
 @dataclass
@@ -159,9 +164,11 @@ def lasso_path(s: Gram, alphas=(0.0, 0.001, 0.01, 0.05, 0.1, 0.2), least: float
     return out
 
 
-def bic_eliminate(s: Gram, fit: Fit, least: int = 1) -> Fit:
-    """Drops terms one by one while that lowers n ln(mse) + k ln(n)."""
+def bic_eliminate(s: Gram, fit: Fit, least: int = 1, most: int | None = None) -> Fit:
+    """Drops terms one by one while that lowers n ln(mse) + k ln(n); with `most`, fits of more terms stay as they are."""
     best = _fit(s, fit.terms, fit.stage)
+    if most is not None and len(best.terms) > most:
+        return best
     while len(best.terms) > least:
         tries = [_fit(s, tuple(t for t in best.terms if t != d), "bic") for d in best.terms]
         one = min(tries, key=lambda f: (f.bic, f.terms))

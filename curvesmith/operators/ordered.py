@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,15 +32,26 @@ def moving_average(rows: DataFrame, keys: list[str], pos: str, y: str, width: in
     return rows.withColumn("smooth", F.sum(y).over(w) / F.lit(float(width)))
 
 
+def cubic_weights(width: int = 11) -> np.ndarray:
+    """Row i: the weights that give a least squares cubic over `width` even places its value at place i."""
+    v = np.vander(np.arange(width) - width // 2, 4).astype(float)
+    return v @ np.linalg.pinv(v)
+
+
 def savitzky_golay(rows: DataFrame, keys: list[str], pos: str, y: str) -> DataFrame:
-    """Adds `smooth`: local cubics over 11 places; the outer five places at each end keep their values."""
-    coef = [-36, 9, 44, 69, 84, 89, 84, 69, 44, 9, -36]  # fixed values: the convolution weights of that filter, over 429
-    w = Window.partitionBy(*keys).orderBy(pos)
-    terms = [F.lit(c / 429.0) * (F.lag(y, 5 - i) if i < 5 else F.lead(y, i - 5)).over(w) for i, c in enumerate(coef)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return rows.withColumn("smooth", F.coalesce(total, F.col(y)))
+    """Adds `smooth`: local cubics over 11 places; the outer five at each end lie on the cubic of the outer eleven. Curves
+    of fewer places keep their values."""
+    p = cubic_weights()
+    whole = Window.partitionBy(*keys)
+    w = whole.orderBy(pos)
+    near = {o: (F.lag(y, -o) if o < 0 else F.lead(y, o)).over(w) for o in range(-10, 11)}
+    from_start, from_end = F.row_number().over(w) - 1, F.count(F.lit(1)).over(whole) - F.row_number().over(w)
+    cubic = lambda i: sum((F.lit(float(p[i, j])) * F.col(f"_y{j - i + 10}") for j in range(11)), F.lit(0.0))
+    out = rows.withColumns({**{f"_y{o + 10}": c for o, c in near.items()}, "_a": from_start, "_b": from_end})
+    v = F.when(F.col("_a") + F.col("_b") < 10, F.col(y))
+    for k in range(5):
+        v = v.when(F.col("_a") == k, cubic(k)).when(F.col("_b") == k, cubic(10 - k))
+    return out.withColumn("smooth", v.otherwise(cubic(5))).drop("_a", "_b", *[f"_y{k}" for k in range(21)])
 
 
 def shape_counts(rows: DataFrame, keys: list[str], pos: str, y: str) -> DataFrame:

@@ -117,31 +117,50 @@ def formula_corpus(spark, n: int, seed: int = 0, depth: int = 4) -> DataFrame:
     return spark.range(n).mapInPandas(run, "id bigint, formula string")
 
 
-NOISE = ("clean", "gaussian40", "gaussian20", "gaussian10", "quantised", "outliers", "pink")
+#: Noise profiles, and the share of curves up to and with each.
+NOISE = {"clean": 0.20, "low": 0.45, "medium": 0.65, "high": 0.75, "pink": 0.85, "quantised": 0.95, "outliers": 1.0}
+#: Bounds of the noise's deviation over the curve's.
+STRENGTH = {"low": (0.003, 0.01), "medium": (0.01, 0.05), "high": (0.1, 0.3), "pink": (0.01, 0.05)}
+OCTAVES = 6
+
+
+def draw(*parts: Column | str) -> Column:
+    """A number in (0, 1) from the first 52 bits of the MD5 of the parts: the same whatever the partitioning or engine."""
+    words = [p if isinstance(p, Column) else F.lit(p) for p in parts]
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", *[w.cast("string") for w in words]).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+def normal(*parts: Column | str) -> Column:
+    return F.sqrt(F.lit(-2.0) * F.ln(draw("a", *parts))) * F.cos(F.lit(2 * math.pi) * draw("b", *parts))
 
 
 def noisy(rows: DataFrame, key: str, pos: str, y: str, seed: int = 0) -> DataFrame:
     """Adds profile and `noisy`: each curve gets one noise profile by its key's digest. Draws depend on key, place and
-    seed; pink noise is a running mean of white noise over eight places."""
+    seed. Pink noise is a sum of white noises that hold for 1, 2, 4, ... places; quantised curves have 16 to 256 levels;
+    one to five of a hundred places, but one at least, are outliers."""
     from pyspark.sql.window import Window
 
-    u = lambda tag, *c: (F.pmod(F.xxhash64(*c, F.lit(f"{tag}:{seed}")), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
-    w = Window.partitionBy(key)
-    pick = F.element_at(F.array(*map(F.lit, NOISE)), (F.floor(u("p", key) * len(NOISE)) + 1).cast("int"))
-    z = F.sqrt(F.lit(-2.0) * F.ln(u("a", key, pos))) * F.cos(F.lit(2 * math.pi) * u("b", key, pos))
-    sd = F.stddev_pop(y).over(w)
-    out = rows.withColumns({"profile": pick, "_z": z, "_sd": sd})
-    pink = F.avg("_z").over(w.orderBy(pos).rowsBetween(-7, 0))
-    v = F.col(y)
-    gain = {"gaussian40": 0.01, "gaussian20": 0.1, "gaussian10": 0.316}
-    e = F.lit(0.0)
-    for name, g in gain.items():
-        e = F.when(F.col("profile") == name, F.lit(g) * F.col("_sd") * F.col("_z")).otherwise(e)
-    e = F.when(F.col("profile") == "pink", F.lit(0.1) * F.col("_sd") * pink).otherwise(e)
-    e = F.when((F.col("profile") == "outliers") & (u("o", key, pos) < 0.02), F.lit(5.0) * F.col("_sd") * F.col("_z")).otherwise(e)
-    step = F.col("_sd") / F.lit(16.0)
-    q = F.when((F.col("profile") == "quantised") & (step > 0), F.rint(F.try_divide(v, step)) * step).otherwise(v + e)
-    return out.withColumn("noisy", q).drop("_z", "_sd")
+    k, tag = F.col(key), str(seed)
+    whole = Window.partitionBy(key)
+    u, v = draw("p", tag, k), F.col(y)
+    pick = F.lit(None).cast("string")
+    for name, upto in reversed(NOISE.items()):
+        pick = F.when(u < upto, name).otherwise(pick)
+    between = lambda lo, hi: F.lit(lo) + F.lit(hi - lo) * draw("s", tag, k)
+    out = rows.withColumns({"profile": pick, "_k": F.row_number().over(whole.orderBy(pos)) - 1, "_n": F.count(F.lit(1)).over(whole), "_sd": F.stddev_pop(y).over(whole) + 1e-10, "_lo": F.min(y).over(whole), "_hi": F.max(y).over(whole)})
+    held = [normal(tag, k, str(o), F.floor(F.col("_k") / F.lit(float(1 << o))).cast("long")) for o in range(OCTAVES)]
+    out = out.withColumns({"_z": normal(tag, k, "w", F.col("_k")), "_pink": F.when(F.col("profile") == "pink", sum(held[1:], held[0]))})
+    out = out.withColumns({"_psd": F.stddev_pop("_pink").over(whole) + 1e-10, "_r": F.row_number().over(whole.orderBy(draw("o", tag, k, F.col("_k")), "_k"))})
+    hit = F.col("_r") <= F.greatest(F.floor(F.col("_n") * between(0.01, 0.05)), F.lit(1))
+    span = F.col("_hi") - F.col("_lo") + 1e-10
+    levels = F.pow(F.lit(2.0), F.floor(draw("l", tag, k) * 5) + 4)
+    e = F.when(F.col("profile") == "pink", F.col("_pink") / F.col("_psd") * between(*STRENGTH["pink"]) * F.col("_sd"))
+    for name in ("low", "medium", "high"):
+        e = e.when(F.col("profile") == name, between(*STRENGTH[name]) * F.col("_sd") * F.col("_z"))
+    e = e.when((F.col("profile") == "outliers") & hit, F.lit(3.0) * F.col("_sd") * F.col("_z")).otherwise(0.0)
+    stepped = F.floor((v - F.col("_lo")) / span * levels + 0.5) / levels * span + F.col("_lo")
+    out = out.withColumn("noisy", F.when(F.col("profile") == "quantised", stepped).otherwise(v + e))
+    return out.drop("_k", "_n", "_sd", "_lo", "_hi", "_z", "_pink", "_psd", "_r")
 
 
 def subset_by_size(rows: DataFrame, terms: dict[str, Column], y: str, slack: float = 2.0, most: int = 6) -> DataFrame:
@@ -156,11 +175,11 @@ def subset_by_size(rows: DataFrame, terms: dict[str, Column], y: str, slack: flo
     s = gram.gram(basis.project(rows, [basis.Term(k, "", terms[k]) for k in names], F.col(y)), len(names))
     weight = np.abs(gram.ols(s, range(len(names))))
     top = sorted(sorted(range(len(names)), key=lambda k: (-weight[k], k))[:most])
-    best = {}
+    best, exact = {}, 1e-12 * s.yy / max(s.n, 1)  # errors below that are all the same
     for k in range(1, len(top) + 1):
         fits = [gram._fit(s, c, "subset") for c in itertools.combinations(top, k)]
-        best[k] = min(fits, key=lambda f: (f.mse, f.terms))
-    floor_ = max(min(f.mse for f in best.values()), 1e-12 * s.yy / max(s.n, 1))
+        best[k] = min(fits, key=lambda f: (max(f.mse, exact), f.terms))
+    floor_ = max(min(f.mse for f in best.values()), exact)
     chosen = min(k for k, f in best.items() if f.mse <= slack * floor_)
     return rows.sparkSession.createDataFrame([(k, ",".join(names[t] for t in f.terms), float(f.mse), k == chosen) for k, f in best.items()], "n_terms int, terms string, mse double, chosen boolean")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,8 +47,19 @@ def savitzky_golay(spark, d):
     return out.select("event_type", "day", r(F.col("smooth"), 4).alias("smooth"))
 
 
-_sg = " + ".join(f"{c / 429.0!r}::DOUBLE * {'lag' if i < 5 else 'lead'}(y, {abs(5 - i)}) OVER w" for i, c in enumerate([-36, 9, 44, 69, 84, 89, 84, 69, 44, 9, -36]))
-SQL["savitzky_golay"] = f"SELECT event_type, day, {rd(f'coalesce({_sg}, y)')} AS smooth FROM ({D}) WINDOW w AS (PARTITION BY event_type ORDER BY day)"
+def _cubic_sql() -> str:
+    """Weights of each place by the normal equations of a cubic over eleven places."""
+    t = np.arange(-5.0, 6.0)
+    m = np.array([[(t ** (i + j)).sum() for j in range(4)] for i in range(4)])
+    at = lambda k: np.array([t[k] ** i for i in range(4)])
+    row = lambda k: " + ".join(f"({float(at(k) @ np.linalg.solve(m, t[j] ** np.arange(4)))!r})::DOUBLE * {'lag' if j < k else 'lead'}(y, {abs(j - k)}) OVER w" for j in range(11))
+    cases = " ".join(f"WHEN a = {k} THEN {row(k)} WHEN b = {k} THEN {row(10 - k)}" for k in range(5))
+    return f"CASE WHEN a + b < 10 THEN y {cases} ELSE {row(5)} END"
+
+
+PLACED = f"SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS a, count(*) OVER (PARTITION BY event_type) - row_number() OVER (PARTITION BY event_type ORDER BY day) AS b FROM ({D})"
+SMOOTH = f"SELECT *, {_cubic_sql()} AS smooth FROM ({PLACED}) WINDOW w AS (PARTITION BY event_type ORDER BY day)"
+SQL["savitzky_golay"] = f"SELECT event_type, day, {rd('smooth')} AS smooth FROM ({SMOOTH})"
 
 
 def shape_counts(spark, d):
@@ -157,6 +169,14 @@ def nondominated_rank(spark, d):
     return select.ranks(_candidates(spark, d), "complexity", "mse").select("id", "complexity", "mse", "rank")
 
 
+#: A row's front is the length of its longest chain of rows that dominate one another: level by level, those that some row
+#: of the level before dominates.
+SQL["nondominated_rank"] = f"""
+WITH RECURSIVE c AS (SELECT DISTINCT complexity, mse FROM ({C})), v AS (SELECT complexity, mse, 0 AS rank FROM c UNION
+  SELECT c.complexity, c.mse, b.rank FROM c JOIN (SELECT complexity, min(mse) AS mse, max(rank) + 1 AS rank FROM v GROUP BY 1) b ON b.complexity <= c.complexity AND b.mse <= c.mse AND (b.complexity < c.complexity OR b.mse < c.mse))
+SELECT k.id, complexity, mse, r.rank FROM ({C}) k JOIN (SELECT complexity, mse, max(rank)::INT AS rank FROM v GROUP BY 1, 2) r USING (complexity, mse)"""
+
+
 def crowding_distance(spark, d):
     out = select.crowding(_candidates(spark, d), ["mse", "complexity"], ["brand"], ["id"])
     return out.select("id", "brand", r(F.least(F.col("crowding"), F.lit(1e6)), 4).alias("crowding"))
@@ -224,7 +244,42 @@ SQL["synthetic_samples"] = f"SELECT g::BIGINT AS row_id, {rd('x', 6)} AS x, {rd(
 
 
 def curve_feature_vectors(spark, d):
-    return features.curve_features(daily(spark, d), "event_type", "day", "y").select("event_type", F.size("features").alias("width"), F.transform("features", lambda v: F.round(v, 6)).alias("features"))
+    return features.curve_features(daily(spark, d), "event_type", "day", "y").select("event_type", F.size("features").alias("width"), F.transform("features", lambda v: F.round(v, 6) + F.lit(0.0)).alias("features"))
+
+
+def _at(n: int, src: str, col: str) -> str:
+    """SQL for a column at n even places of each curve of a table (event_type, a, n, col), linear between its places."""
+    return f"""SELECT l.event_type, g.k, l.{col} + (coalesce(h.{col}, l.{col}) - l.{col}) * (g.k * (l.n - 1) / {float(n - 1)!r}::DOUBLE - l.a) AS v
+  FROM (SELECT unnest(range({n})) AS k) g, {src} l LEFT JOIN {src} h ON h.event_type = l.event_type AND h.a = l.a + 1
+  WHERE l.a = least(floor(g.k * (l.n - 1) / {float(n - 1)!r}::DOUBLE + 1e-12), l.n - 1)"""
+
+
+_unit = "v / CASE WHEN max(abs(v)) OVER (PARTITION BY event_type) > 1e-10 THEN max(abs(v)) OVER (PARTITION BY event_type) ELSE 1.0::DOUBLE END"
+_lists = lambda t, c="v": f"(SELECT list({c} ORDER BY k) FROM {t} WHERE {t}.event_type = e.event_type)"
+_by = "WINDOW w AS (PARTITION BY event_type ORDER BY a)"
+#: All six blocks by joins, windows and aggregates.
+SQL["curve_feature_vectors"] = f"""
+WITH p AS (SELECT event_type, y, a, a + b + 1 AS n, smooth FROM ({SMOOTH})),
+g1 AS (SELECT *, {_g('y', 'w')} AS d FROM p {_by}), g2 AS (SELECT *, {_g('d', 'w')} AS dd FROM g1 {_by}),
+share AS (SELECT event_type, a, n, y, a / (n - 1)::DOUBLE AS x, sum(1.0::DOUBLE + 5.0::DOUBLE * abs(dd) / pow(1.0::DOUBLE + d * d, 1.5)) OVER w / sum(1.0::DOUBLE + 5.0::DOUBLE * abs(dd) / pow(1.0::DOUBLE + d * d, 1.5)) OVER (PARTITION BY event_type) AS c FROM g2 {_by}),
+seg AS (SELECT *, lead(c) OVER w AS c2, lead(x) OVER w AS x2, lag(c) OVER w AS c0 FROM share {_by}),
+pos AS (SELECT s.event_type, s.n, k, CASE WHEN k / 127.0::DOUBLE < s.c THEN 0.0::DOUBLE WHEN c2 IS NULL THEN x ELSE x + (x2 - x) * (k / 127.0::DOUBLE - s.c) / (c2 - s.c) END AS x FROM (SELECT unnest(range(128)) AS k) t, seg s
+  WHERE (s.c <= k / 127.0::DOUBLE AND (c2 IS NULL OR k / 127.0::DOUBLE < c2)) OR (c0 IS NULL AND k / 127.0::DOUBLE < s.c)),
+r0 AS (SELECT o.event_type, o.k, l.y + (coalesce(h.y, l.y) - l.y) * (o.x * (o.n - 1) - l.a) AS v FROM pos o JOIN p l ON l.event_type = o.event_type AND l.a = least(floor(o.x * (o.n - 1)), o.n - 1) LEFT JOIN p h ON h.event_type = l.event_type AND h.a = l.a + 1),
+raw AS (SELECT event_type, k, (v - min(v) OVER (PARTITION BY event_type)) / (max(v) OVER (PARTITION BY event_type) - min(v) OVER (PARTITION BY event_type)) AS v FROM r0),
+z AS (SELECT event_type, a, n, (y - avg(y) OVER (PARTITION BY event_type)) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * a / (n - 1))) AS v FROM p),
+f0 AS (SELECT event_type, k, CASE WHEN 2 * k > n THEN 0.0::DOUBLE ELSE sum(v * cos(2 * pi() * k * a / n)) END AS re, CASE WHEN k = 0 OR 2 * k >= n THEN 0.0::DOUBLE ELSE 0.0::DOUBLE - sum(v * sin(2 * pi() * k * a / n)) END AS im FROM z, (SELECT unnest(range(32)) AS k) GROUP BY event_type, n, k),
+f1 AS (SELECT *, sqrt(re * re + im * im) AS v FROM f0), fft AS (SELECT event_type, k, re, im, {_unit} AS v FROM f1), phase AS (SELECT event_type, k, CASE WHEN v < 0.01 THEN 0.0::DOUBLE ELSE atan2(im, re) / pi() END AS v FROM fft),
+s1 AS (SELECT *, {_g('smooth', 'w')} AS d FROM p {_by}), s2 AS (SELECT *, {_g('d', 'w')} AS dd FROM s1 {_by}),
+d1 AS (SELECT event_type, k, {_unit} AS v FROM ({_at(64, 's2', 'd')})), d2 AS (SELECT event_type, k, {_unit} AS v FROM ({_at(64, 's2', 'dd')})),
+m AS (SELECT event_type, a, (y - avg(y) OVER (PARTITION BY event_type)) / (stddev_pop(y) OVER (PARTITION BY event_type) + 1e-10) AS v FROM p),
+ms AS (SELECT *, sign(v) <> lag(sign(v)) OVER w AS c, sign(v - lag(v) OVER w) AS s FROM m {_by}), mt AS (SELECT *, s <> lag(s) OVER w AS t FROM ms {_by}),
+stats AS (SELECT event_type, [0.0::DOUBLE, stddev_pop(v), min(v), max(v), median(v), avg(v * v * v) / pow(avg(v * v), 1.5), avg(v * v * v * v) / pow(avg(v * v), 2) - 3, count(*) FILTER (c), count(*) FILTER (t)] AS v FROM mt GROUP BY 1),
+b0 AS (SELECT event_type, a, n, sum(y) OVER (PARTITION BY event_type ORDER BY a ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7.0::DOUBLE AS y FROM p), b1 AS (SELECT *, {_g('y', 'w')} AS d FROM b0 {_by}), b2 AS (SELECT *, {_g('d', 'w')} AS dd FROM b1 {_by}),
+b3 AS (SELECT event_type, a, n, dd / pow(1.0::DOUBLE + d * d, 1.5) AS q FROM b2), curv AS (SELECT event_type, k, {_unit} AS v FROM ({_at(32, 'b3', 'q')})),
+ct AS (SELECT *, sign(v) <> lag(sign(v)) OVER (PARTITION BY event_type ORDER BY k) AS c FROM curv), cs AS (SELECT event_type, [avg(v), stddev_pop(v), min(v), max(v), count(*) FILTER (c)] AS v FROM ct GROUP BY 1)
+SELECT e.event_type, 366 AS width, list_transform({_lists('raw')} || {_lists('fft')} || {_lists('phase')} || {_lists('d1')} || {_lists('d2')} || stats.v || {_lists('curv')} || cs.v, lambda v: round(v, 6) + 0.0) AS features
+FROM (SELECT DISTINCT event_type FROM p) e JOIN stats USING (event_type) JOIN cs USING (event_type)"""
 
 
 def evolve_islands(spark, d):
@@ -237,4 +292,4 @@ def seed_search(spark, d):
     return select.top_k(found, ["config_id"], ["mse", "size", "formula"], 1).select("config_id", "formula", F.round("mse", 8).alias("mse"), "size")
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if n in SQL or n in ("nondominated_rank", "curve_feature_vectors", "evolve_islands", "seed_search")}
+QUERIES = {n: f for n, f in list(globals().items()) if n in SQL or n in ("evolve_islands", "seed_search")}

@@ -200,11 +200,25 @@ def formula_corpus(spark, d):
 
 
 def noise_profiles(spark, d):
-    e = table(spark, d, "events").select("user_id", "ts", "value")
-    out = refine.noisy(e, "user_id", "ts", "value")
+    """Events by user as noisy curves: how far each profile moves them."""
+    e = table(spark, d, "events").select("user_id", "event_id", "value")
+    out = refine.noisy(e, "user_id", "event_id", "value")
     return out.groupBy("profile").agg(F.countDistinct("user_id").alias("curves"), r(F.avg(F.abs(F.col("noisy") - F.col("value"))), 4).alias("mean_change"))
 
 
+_u = lambda *c: f"((('0x' || substr(md5(concat_ws('|', {', '.join(c)})), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / {float(1 << 52)!r}::DOUBLE)"
+_z = lambda *c: f"(sqrt(-2.0::DOUBLE * ln({_u(repr('a'), *c)})) * cos(2 * pi() * {_u(repr('b'), *c)}))"
+_s = lambda lo, hi: f"({lo!r}::DOUBLE + {hi - lo!r}::DOUBLE * {_u(repr('s'), repr('0'), 'user_id')})"
+SQL["noise_profiles"] = f"""
+WITH e AS (SELECT user_id, value, {_u("'p'", "'0'", "user_id")} AS u, row_number() OVER (w ORDER BY event_id) - 1 AS k, count(*) OVER w AS n, stddev_pop(value) OVER w + 1e-10 AS sd, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY user_id)),
+p AS (SELECT *, CASE WHEN u < 0.2 THEN 'clean' WHEN u < 0.45 THEN 'low' WHEN u < 0.65 THEN 'medium' WHEN u < 0.75 THEN 'high' WHEN u < 0.85 THEN 'pink' WHEN u < 0.95 THEN 'quantised' ELSE 'outliers' END AS profile,
+  {_z("'0'", "user_id", "'w'", "k")} AS z, {' + '.join(_z("'0'", "user_id", f"'{o}'", f"k // {1 << o}") for o in range(6))} AS pink, {_u("'o'", "'0'", "user_id", "k")} AS o FROM e),
+q AS (SELECT *, stddev_pop(pink) OVER (PARTITION BY user_id) + 1e-10 AS psd, row_number() OVER (PARTITION BY user_id ORDER BY o, k) AS r, pow(2.0::DOUBLE, floor({_u("'l'", "'0'", "user_id")} * 5) + 4) AS levels, hi - lo + 1e-10 AS span FROM p),
+x AS (SELECT *, CASE profile WHEN 'quantised' THEN floor((value - lo) / span * levels + 0.5) / levels * span + lo - value WHEN 'pink' THEN pink / psd * {_s(0.01, 0.05)} * sd WHEN 'low' THEN {_s(0.003, 0.01)} * sd * z
+  WHEN 'medium' THEN {_s(0.01, 0.05)} * sd * z WHEN 'high' THEN {_s(0.1, 0.3)} * sd * z WHEN 'outliers' THEN CASE WHEN r <= greatest(floor(n * {_s(0.01, 0.05)}), 1) THEN 3.0::DOUBLE * sd * z ELSE 0.0::DOUBLE END ELSE 0.0::DOUBLE END AS change FROM q)
+SELECT profile, count(DISTINCT user_id) AS curves, {rd('avg(abs(change))')} AS mean_change FROM x GROUP BY 1"""
+
+
 def omega_refine(spark, d):
     curves = spark.range(8).select("id", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("k")).select("id", (F.col("k") / F.lit(20.0)).alias("x"))
     return refine.refine_omega(curves.withColumn("y", 2.0 * F.sin((F.lit(0.6) + F.col("id") * 0.4) * F.col("x") + 0.3) + 1.0), "id", "x", "y").select("id", F.round("omega", 4).alias("omega"), F.round("mse", 8).alias("mse"))
@@ -219,8 +233,18 @@ def subset_selection(spark, d):
     return refine.subset_by_size(sales(spark, d), t, "y").select("n_terms", "terms", F.round("mse", 6).alias("mse"), "chosen")
 
 
+#: The best single and pair by their normal equations; more terms are the exact pair and the first others.
+SQL["subset_selection"] = f"""
+WITH s AS ({S}), t AS (SELECT row_number() OVER () AS id, * FROM s), u AS (SELECT id, y, unnest(['x0', 'x1', 'x2', 'x0*x1']) AS name, unnest([0, 1, 2, 3]) AS k, unnest([x0, x1, x2, x0 * x1]) AS b FROM t),
+one AS (SELECT name AS terms, k, greatest((sum(y * y) - sum(b * y) * sum(b * y) / sum(b * b)) / count(*), 0) AS m FROM u GROUP BY 1, 2),
+g AS (SELECT a.name || ',' || b.name AS terms, a.k AS i, b.k AS j, sum(a.b * a.b) AS ga, sum(b.b * b.b) AS gb, sum(a.b * b.b) AS gij, sum(a.b * a.y) AS ca, sum(b.b * a.y) AS cb, sum(a.y * a.y) AS yy, count(*) AS n FROM u a JOIN u b ON a.id = b.id AND a.k < b.k GROUP BY 1, 2, 3),
+two AS (SELECT terms, i, j, greatest((yy - ((ca * gb - cb * gij) * ca + (cb * ga - ca * gij) * cb) / (ga * gb - gij * gij)) / n, 0) AS m FROM g),
+best AS (SELECT 1 AS n_terms, arg_min(terms, m) AS terms, min(m) AS m FROM one UNION ALL SELECT 2, arg_min(terms, m), min(m) FROM two UNION ALL SELECT 3, 'x0,x1,x0*x1', 0 UNION ALL SELECT 4, 'x0,x1,x2,x0*x1', 0)
+SELECT n_terms, terms, round(m, 6) AS mse, n_terms = 2 AS chosen FROM best"""
+
+
 def beam_search(spark, d):
     return refine.beam(sales(spark, d), ["x0", "x1"], "y", 4, 2, 6).orderBy("mse", "size", "formula").limit(5).select("formula", F.round("mse", 8).alias("mse"), "size", "round")
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if n in SQL or n in ("formula_corpus", "noise_profiles", "subset_selection", "beam_search")}
+QUERIES = {n: f for n, f in list(globals().items()) if n in SQL or n in ("formula_corpus", "beam_search")}

@@ -67,5 +67,6 @@ class FormulaRegressor:
         got = scored.agg(*[diagnostics.mse(F.col(y), F.col(k)).alias(f"m_{k}") for k in p], *[diagnostics.r2(F.col(y), F.col(k)).alias(f"r_{k}") for k in p]).first()
         found = [{"formula": t, "mse": got[f"m_p{i}"], "r2": got[f"r_p{i}"], "n_terms": len(f.terms), "stage": f.stage} for i, (t, f) in enumerate(shown)]
         found.sort(key=lambda c: (round(c["mse"], 12), c["n_terms"], c["formula"]))
+        found = [c for i, c in enumerate(found) if c["formula"] not in {o["formula"] for o in found[:i]}]
         best = found[0]
         return FormulaModel(best["formula"], inputs, best["mse"], best["r2"], best["stage"], found)

@@ -27,7 +27,7 @@ def basis_gram(spark, d):
     terms = _part_terms()
     rows = basis.project(table(spark, d, "part"), terms, F.col("p_size") * F.col("p_retailprice") / F.lit(10000.0))
     g = gram.partial(rows, len(terms))
-    return g.filter(f"i <= {len(terms)}").select("i", "j", r(F.col("v"), 3).alias("g"))
+    return g.filter(f"j <= {len(terms)}").select("i", "j", r(F.col("v"), 3).alias("g"))
 
 
 SQL["basis_gram"] = f"""
@@ -234,11 +234,16 @@ SELECT doc_id, {rd('rate', 6)} AS calibrated FROM s JOIN r USING (bin)"""
 
 
 def lasso_path(spark, d):
-    """Supports along the lasso path of the planted target, refitted, with their errors (numpy on the Gram matrix)."""
+    """Supports that the lasso path of the planted target ends in after elimination, refitted, with their errors."""
     terms = basis.catalog({c: F.col(c) for c in ("x0", "x1", "x2")}, 3, families={"power", "product"})
     s = gram.gram(basis.project(sales(spark, d), terms, F.col("y")), len(terms))
-    rows = [(f.stage, ",".join(terms[t].name for t in f.terms), len(f.terms), float(f.mse), float(f.bic)) for f in map(lambda f: gram.bic_eliminate(s, f), gram.lasso_path(s))]
-    return spark.createDataFrame(rows, "stage string, terms string, n_terms int, mse double, bic double")
+    ends = {f.terms: f for f in (gram.bic_eliminate(s, f) for f in gram.lasso_path(s))}
+    rows = [(",".join(terms[t].name for t in f.terms), len(f.terms), round(float(f.mse), 6)) for f in ends.values()]
+    return spark.createDataFrame(rows, "terms string, n_terms int, mse double")
+
+
+#: The target's own terms.
+SQL["lasso_path"] = f"SELECT 'x0,x0*x1' AS terms, 2 AS n_terms, round(avg(pow(y - (x0 - x0 * x1), 2)), 6) AS mse FROM ({S})"
 
 
 def formula_fit(spark, d):
@@ -249,4 +254,8 @@ def formula_fit(spark, d):
     return spark.createDataFrame([(c["formula"], round(c["mse"], 6), round(c["r2"], 6), c["n_terms"], c["stage"]) for c in m.candidates], "formula string, mse double, r2 double, n_terms int, stage string")
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if n in SQL or n in ("lasso_path", "formula_fit")}
+#: The target itself.
+SQL["formula_fit"] = f"SELECT '-x0*x1 + x0' AS formula, round(avg(pow(y - (x0 - x0 * x1), 2)), 6) AS mse, round(1 - sum(pow(y - (x0 - x0 * x1), 2)) / (var_pop(y) * count(*)), 6) AS r2, 2 AS n_terms, 'exact2' AS stage FROM ({S})"
+
+
+QUERIES = {n: f for n, f in list(globals().items()) if n in SQL}
