@@ -107,10 +107,14 @@ class Fit:
     bic: float = 0.0
 
 
+#: Errors below this share of the mean square of y are what cancellation leaves of 0, and the same to the criterion.
+EXACT = 1e-12
+
+
 def _fit(s: Gram, cols, stage: str) -> Fit:
     w = ols(s, cols)
     m = s.mse(w, list(cols))
-    bic = s.n * np.log(max(m, 1e-300)) + len(cols) * np.log(max(s.n, 2))
+    bic = s.n * np.log(max(m, EXACT * s.yy / max(s.n, 1), 1e-300)) + len(cols) * np.log(max(s.n, 2))
     return Fit(tuple(cols), w / s.scale[list(cols)], m, stage, float(bic))
 
 
@@ -171,7 +175,7 @@ def bic_eliminate(s: Gram, fit: Fit, least: int = 1, most: int | None = None) ->
         return best
     while len(best.terms) > least:
         tries = [_fit(s, tuple(t for t in best.terms if t != d), "bic") for d in best.terms]
-        one = min(tries, key=lambda f: (f.bic, f.terms))
+        one = min(tries, key=lambda f: (f.bic, f.mse, f.terms))
         if one.bic >= best.bic:
             break
         best = one

@@ -175,7 +175,7 @@ def subset_by_size(rows: DataFrame, terms: dict[str, Column], y: str, slack: flo
     s = gram.gram(basis.project(rows, [basis.Term(k, "", terms[k]) for k in names], F.col(y)), len(names))
     weight = np.abs(gram.ols(s, range(len(names))))
     top = sorted(sorted(range(len(names)), key=lambda k: (-weight[k], k))[:most])
-    best, exact = {}, 1e-12 * s.yy / max(s.n, 1)  # errors below that are all the same
+    best, exact = {}, gram.EXACT * s.yy / max(s.n, 1)
     for k in range(1, len(top) + 1):
         fits = [gram._fit(s, c, "subset") for c in itertools.combinations(top, k)]
         best[k] = min(fits, key=lambda f: (max(f.mse, exact), f.terms))
