@@ -108,3 +108,40 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_licenses(docs).select("doc_id", *OWN)
+
+
+def _spaced(regex: str) -> str:
+    """A pattern over words that two spaces part, for an engine without lookaround: a match takes one space on either
+    side, so matches side by side are both found."""
+    body = regex.removeprefix("(?<= )(?:").removesuffix(")(?= )")
+    return body.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?")
+
+
+def _quoted(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def _places_sql(regex: str) -> str:
+    marked = f"regexp_replace(norm, ' (' || {regex} || ') ', ' ' || chr(1) || '\\1' || chr(2) || ' ', 'g')"
+    return f"string_split(trim({marked}, ' '), '  ')"
+
+
+_RULES = ", ".join(f"({_quoted(_spaced(x['regex']))}, {_quoted(x['label'])}, {x['level']}, {x['score']!r}::DOUBLE)" for x in rules())
+_PHRASES = ", ".join(f"({_quoted(p.replace(' ', '  '))}, {_quoted(label)})" for p, label in BASE)
+#: Every rule on every text, without keywords; then each detection against all others of its document.
+OP1_SQL = f"""
+WITH w AS (SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') AS bare FROM documents),
+n AS (SELECT doc_id, CASE WHEN bare = '' THEN 0 ELSE length(bare) - length(replace(bare, ' ', '')) + 1 END AS n_words, '  ' || replace(bare, ' ', '  ') || '  ' AS norm FROM w),
+r(regex, label, level, score) AS (VALUES {_RULES}), b(phrase, label) AS (VALUES {_PHRASES}),
+bt AS (SELECT doc_id, label, {_places_sql('phrase')} AS t FROM n, b WHERE contains(norm, '  ' || phrase || '  ')),
+bp AS (SELECT doc_id, label, i - 1 AS word FROM (SELECT doc_id, label, t, unnest(range(1, len(t) + 1)) AS i FROM bt) WHERE starts_with(t[i], chr(1))),
+bg AS (SELECT doc_id, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, list_sort(list(DISTINCT label)) AS names FROM bp GROUP BY 1),
+ft AS (SELECT doc_id, label, level, score, {_places_sql('regex')} AS t FROM n, r WHERE regexp_matches(norm, ' (' || regex || ') ')),
+fi AS (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM ft),
+fs AS (SELECT DISTINCT doc_id, label, level, score, i - 1 AS start, (SELECT min(j) FROM (SELECT unnest(range(i, len(t) + 1)) AS j) WHERE ends_with(t[j], chr(2))) AS stop FROM fi WHERE starts_with(t[i], chr(1))),
+kept AS (SELECT * FROM fs d WHERE NOT EXISTS (SELECT 1 FROM fs e WHERE e.doc_id = d.doc_id AND e.level <= d.level AND e.start <= d.start AND e.stop >= d.stop
+  AND (e.start, -e.stop, e.level, e.label, e.score) < (d.start, -d.stop, d.level, d.label, d.score))),
+kg AS (SELECT doc_id, list(DISTINCT label) AS names, max(score) AS score FROM kept GROUP BY 1)
+SELECT n.doc_id, n_words::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(bg.names, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(coalesce(bg.names, []::VARCHAR[]) || coalesce(kg.names, []::VARCHAR[]))), ','), '') AS labels, greatest(CASE WHEN n_base > 0 THEN 0.95::DOUBLE ELSE 0.0::DOUBLE END, coalesce(kg.score, 0.0)) AS score
+FROM n LEFT JOIN bg ON bg.doc_id = n.doc_id LEFT JOIN kg ON kg.doc_id = n.doc_id"""

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
 }
 SQL = {
+    "op1_license_scan": licenses.OP1_SQL,
     "op2_line_dedup": linededup.OP2_SQL,
     "op3_chat_format": chat.OP3_SQL,
     "op4_near_duplicates": neardup.OP4_SQL,
