@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import catalogue, curves, decisions, fitting, rules, scalar, streams
+from .plans import catalogue, curves, decisions, fitting, populations, rules, scalar, streams
 
-QUERIES = {**scalar.QUERIES, **fitting.QUERIES, **curves.QUERIES, **decisions.QUERIES, **streams.QUERIES, **catalogue.QUERIES, **rules.QUERIES}
-SQL = {**scalar.SCALAR_SQL, **fitting.SQL, **curves.SQL, **decisions.SQL, **streams.SQL, **catalogue.SQL, **rules.SQL}
+QUERIES = {**scalar.QUERIES, **fitting.QUERIES, **curves.QUERIES, **decisions.QUERIES, **streams.QUERIES, **catalogue.QUERIES, **rules.QUERIES, **populations.QUERIES}
+SQL = {**scalar.SCALAR_SQL, **fitting.SQL, **curves.SQL, **decisions.SQL, **streams.SQL, **catalogue.SQL, **rules.SQL, **populations.SQL}
 FLAGSHIP = "basis_gram"
