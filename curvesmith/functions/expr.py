@@ -328,3 +328,68 @@ def _once(n: Node) -> Node:
         else:
             out = Node("+", (out, Node("neg", (t,)) if sign else t))
     return out if out is not None else num(0)
+
+
+def variables(n: Node) -> set[str]:
+    return {n.value} if n.op == "var" else set().union(*map(variables, n.args)) if n.args else set()
+
+
+def linear(n: Node) -> float | None:
+    """The slope of a * x + b over one variable, if n is of that form."""
+    slope = 0.0
+    for c, rest in _terms(n):
+        if rest.op == "var":
+            slope += c
+        elif variables(rest):
+            return None
+    return slope
+
+
+def one_tone(n: Node, least: float = 0.9, most: float = 0.08) -> Node:
+    """A sum over one variable with only its strongest frequency of sines and cosines, if that has `least` of all their
+    amplitudes and the others `most` of its own; else n itself. Terms of other kinds stay."""
+    if len(variables(n)) != 1:
+        return n
+    tones: dict[float, list[tuple[float, Node]]] = {}
+    others = []
+    for c, rest in _terms(n):
+        w = abs(linear(rest.args[0]) or 0.0) if rest.op in ("sin", "cos") else 0.0
+        if w > 1e-12 and np.isfinite(c) and c:
+            tones.setdefault(round(w, 4), []).append((c, rest))
+        else:
+            others.append((c, rest))
+    if not tones:
+        return n
+    power = {w: sum(abs(c) for c, _ in t) for w, t in tones.items()}
+    top = max(power, key=power.get)
+    left = sum(power.values()) - power[top]
+    if power[top] < least * (power[top] + left) or left > max(most * power[top], 1e-12):
+        return n
+    out = None
+    for c, rest in others + tones[top]:
+        t = Node("*", (num(c), rest))
+        out = t if out is None else Node("+", (out, t))
+    return simplified(out)
+
+
+#: The classes of a formula's operators, in order.
+CLASSES = ("identity", "sin", "cos", "power", "exp", "log", "addition", "multiplication", "rational", "const_pi", "const_e", "const_1", "const_2", "const_half")
+#: Functions and what they are made of.
+MADE_OF = {"sin": {"sin"}, "cos": {"cos"}, "exp": {"exp"}, "log": {"log"}, "ln": {"log"}, "sqrt": {"power"}, "sinh": {"exp", "addition"}, "cosh": {"exp", "addition"}, "tanh": {"exp", "rational"}, "+": {"addition"}, "*": {"multiplication"}, "^": {"power"}}
+
+
+def classes(n: Node) -> set[str]:
+    """Classes of the operators in a formula. A quotient is rational if its denominator holds a variable; one by a
+    constant is a multiplication."""
+    out = {"identity"} if n.op == "var" else set(MADE_OF.get(n.op, ()))
+    if n.op == "/":
+        out.add("rational" if variables(n.args[1]) else "multiplication")
+    return out.union(*map(classes, n.args)) if n.args else out
+
+
+def canonical(text: str) -> str | None:
+    """One spelling for formulas that simplify to the same; null for what does not parse."""
+    try:
+        return show(simplified(parse(text)))
+    except (ValueError, ZeroDivisionError, OverflowError):
+        return None

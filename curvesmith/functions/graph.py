@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,3 +102,31 @@ def unit_penalty(graph: dict, units: list[list[float]]) -> float:
                 s = 1.0 if top == "mul" else -1.0
                 have.append([x + s * y for x, y in zip(a or zero, b or zero, strict=True)])
     return total
+
+
+#: Parameters that tell nodes of a kind apart, to two decimals.
+TELLING = {"input": ("feature",), "constant": ("value",), "unary": ("op", "p", "omega", "phi", "amplitude"), "binary": ("op", "beta", "gamma", "tau")}
+
+
+def digests(graph: dict) -> list[str]:
+    """A digest for each node of what it computes: its kind, its parameters to two decimals, and its children's digests."""
+    out: list[str] = []
+    for n in graph["nodes"]:
+        own = [n["type"], *(f"{n[k] + 0.0:.2f}" if isinstance(n[k], float) else str(n[k]) for k in TELLING[n["type"]])]
+        children = [out[n[c]] for c in ("left", "right")[: {"unary": 1, "binary": 2}.get(n["type"], 0)]]
+        out.append(hashlib.md5("|".join(own + children).encode()).hexdigest())
+    return out
+
+
+def shared(graph: dict) -> dict:
+    """The graph with each computation once: nodes of equal digest are one, with their weights added."""
+    first: dict[str, int] = {}
+    place, nodes, weights = [], [], []
+    for n, w, key in zip(graph["nodes"], graph["weights"], digests(graph), strict=True):
+        if key not in first:
+            first[key] = len(nodes)
+            nodes.append(n | {c: place[n[c]] for c in ("left", "right") if n[c] is not None})
+            weights.append(0.0)
+        place.append(first[key])
+        weights[place[-1]] += w
+    return graph | {"nodes": nodes, "weights": weights}

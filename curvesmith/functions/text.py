@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import expr
 from .expr import SPELLINGS
 
 
@@ -39,3 +41,28 @@ def model_size(text: Column) -> Column:
 
 def numbers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\w.])(\d+\.?\d*)"), F.lit(1)), lambda s: s.cast("double"))
+
+
+def _each(text: Column, f, kind: str) -> Column:
+    """A function of a formula's tree on Arrow batches, once for each different formula of a batch; null is null."""
+
+    @F.pandas_udf(kind)
+    def run(v: pd.Series) -> pd.Series:
+        known = {t: f(t) for t in v.dropna().unique()}
+        return v.map(lambda t: known.get(t)).astype(object)
+
+    return run(text)
+
+
+def canonical(text: Column) -> Column:
+    return _each(text, expr.canonical, "string")
+
+
+def one_tone(text: Column) -> Column:
+    """Formulas without the weak harmonics beside a strong one; what does not parse is null."""
+    return _each(text, lambda t: None if (c := expr.canonical(t)) is None else expr.show(expr.one_tone(expr.parse(c))), "string")
+
+
+def classes(text: Column) -> Column:
+    """Sorted array of operator classes; empty for what does not parse."""
+    return _each(text, lambda t: [] if expr.canonical(t) is None else sorted(expr.classes(expr.parse(t))), "array<string>")

@@ -180,3 +180,17 @@ def bic_eliminate(s: Gram, fit: Fit, least: int = 1, most: int | None = None) ->
             break
         best = one
     return best
+
+
+def backward_prune(s: Gram, fit: Fit, tolerance: float = 1.2, least: float = 0.05) -> Fit:
+    """Drops the term whose loss costs least, refits, and goes on while the error stays within `tolerance` times the
+    first one and the term carries less than `least` of the mean square of y. One term at least is left."""
+    best = _fit(s, fit.terms, fit.stage)
+    floor = EXACT * s.yy / max(s.n, 1)
+    bound = max(best.mse, floor) * tolerance
+    while len(best.terms) > 1:
+        one = min((_fit(s, tuple(t for t in best.terms if t != d), "pruned") for d in best.terms), key=lambda f: (max(f.mse, floor), f.terms))
+        if one.mse > bound or (one.mse - best.mse) * s.n > least * s.yy:
+            break
+        best = one
+    return best

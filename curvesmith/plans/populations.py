@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.safe import rounded as r
-from ..operators import population
+from ..operators import basis, gram, population, select
 from ..sources.tables import sales, table
 from .fitting import S, rd
 
@@ -82,7 +83,7 @@ def mirrored_terms(spark, d):
 
 SQL["mirrored_terms"] = f"""
 WITH s AS ({S}), t AS (SELECT row_number() OVER () AS id, * FROM s), u AS (SELECT id, unnest([0,1,2,3,4,5,6,7,8]) AS k, unnest(['x0','x1','x2','2*x0+1','-x1','x2^2','3','3b','4']) AS term, unnest([x0, x1, x2, x0 * 2.0 + 1.0, -x1, x2 * x2, 3, 3, 4]::DOUBLE[]) AS v FROM t),
-c AS (SELECT b.term, b.k, a.term AS other, a.k AS ok, abs(corr(a.v, b.v)) > 0.9999 OR (max(a.v) = min(a.v) AND max(b.v) = min(b.v) AND max(a.v) = max(b.v)) AS same FROM u a JOIN u b ON a.id = b.id AND a.k <= b.k GROUP BY ALL)
+c AS (SELECT b.term, b.k, a.term AS other, a.k AS ok, (max(a.v) > min(a.v) AND max(b.v) > min(b.v) AND abs(covar_pop(a.v, b.v)) > 0.9999 * stddev_pop(a.v) * stddev_pop(b.v)) OR (max(a.v) = min(a.v) AND max(b.v) = min(b.v) AND max(a.v) = max(b.v)) AS same FROM u a JOIN u b ON a.id = b.id AND a.k <= b.k GROUP BY ALL)
 SELECT term, arg_min(other, ok) AS first FROM c WHERE coalesce(same, false) OR term = other GROUP BY 1"""
 
 
@@ -97,4 +98,56 @@ def polynomial_degree(spark, d):
 #: The degrees that the curves were made with.
 SQL["polynomial_degree"] = "SELECT l_linenumber, CASE WHEN l_linenumber < 7 THEN l_linenumber END AS degree, l_linenumber BETWEEN 2 AND 6 AS polynomial FROM (SELECT DISTINCT l_linenumber FROM lineitem)"
 
+#: Formulas: one spelling, without weak harmonics, and classes of operators.
+FORMULAS = {
+    "x + x": ("2*x", "2*x", ["addition", "identity"]),
+    "2*x": ("2*x", "2*x", ["identity", "multiplication"]),
+    "sin(x)^2 + cos(x)^2": ("1", "1", ["addition", "cos", "identity", "power", "sin"]),
+    "3*sin(2*x) + 0.05*cos(5*x)": ("0.05*cos(5*x) + 3*sin(2*x)", "3*sin(2*x)", ["addition", "cos", "identity", "multiplication", "sin"]),
+    "3*sin(2*x) + 2*cos(5*x)": ("2*cos(5*x) + 3*sin(2*x)", "2*cos(5*x) + 3*sin(2*x)", ["addition", "cos", "identity", "multiplication", "sin"]),
+    "1/(x^2 + 1)": ("1/(x^2 + 1)", "1/(x^2 + 1)", ["addition", "identity", "power", "rational"]),
+    "sqrt(x)/2": ("0.5*sqrt(x)", "0.5*sqrt(x)", ["identity", "multiplication", "power"]),
+    "tanh(x)": ("tanh(x)", "tanh(x)", ["exp", "identity", "rational"]),
+    "exp(x": (None, None, []),
+}
+
+
+def formula_classes(spark, d):
+    """Customers with one of the formulas each: its spelling, its tone, the classes it shares with a prediction and the
+    ones it lacks."""
+    pick = F.element_at(F.array(*map(F.lit, FORMULAS)), (F.col("c_custkey") % len(FORMULAS) + 1).cast("int"))
+    rows = table(spark, d, "customer").select("c_custkey", pick.alias("f")).withColumn("classes", text.classes(F.col("f")))
+    guess = F.array(F.lit("addition"), F.lit("exp"), F.lit("identity"))
+    rows = rows.select("c_custkey", text.canonical(F.col("f")).alias("spelling"), text.one_tone(F.col("f")).alias("tone"), F.array_join(F.array_sort(F.array_union("classes", guess)), ",").alias("either"), F.array_join(F.array_except(guess, "classes"), ",").alias("lacking"))
+    return rows.groupBy("spelling", "tone", "either", "lacking").agg(F.count(F.lit(1)).alias("n"))
+
+
+_sql = lambda v: "NULL" if v is None else "'" + v + "'"
+_guess = ("addition", "exp", "identity")
+_rows = ", ".join(f"({i}, {_sql(a)}, {_sql(b)}, {_sql(','.join(sorted({*c, *_guess})))}, {_sql(','.join(g for g in _guess if g not in c))})" for i, (a, b, c) in enumerate(FORMULAS.values()))
+SQL["formula_classes"] = f"SELECT spelling, tone, either, lacking, count(*) AS n FROM customer JOIN (VALUES {_rows}) f(i, spelling, tone, either, lacking) ON c_custkey % {len(FORMULAS)} = i GROUP BY ALL"
+
+
+def formula_dedup(spark, d):
+    """Parts as candidates with formulas: the best of each that simplify to the same."""
+    pick = F.element_at(F.array(*map(F.lit, FORMULAS)), (F.col("p_partkey") % len(FORMULAS) + 1).cast("int"))
+    rows = table(spark, d, "part").select(text.canonical(pick).alias("spelling"), "p_retailprice", "p_partkey")
+    return select.best_of_each(rows, "spelling", "p_retailprice", "p_partkey")
+
+
+SQL["formula_dedup"] = f"SELECT spelling, p_retailprice, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY spelling ORDER BY p_retailprice, p_partkey) AS k FROM part JOIN (VALUES {_rows}) f(i, spelling, tone, either, lacking) ON p_partkey % {len(FORMULAS)} = i) WHERE k = 1"
+
+
+def backward_prune(spark, d):
+    """Terms left of a fit of the planted target with a hundredth of a percent of x2, by pruning."""
+    rows = sales(spark, d).withColumn("y", F.col("y") + F.lit(0.0001) * F.col("x2"))
+    x = {"x0": F.col("x0"), "x1": F.col("x1"), "x2": F.col("x2"), "x0*x1": F.col("x0") * F.col("x1")}
+    s = gram.gram(basis.project(rows, [basis.Term(k, "", v) for k, v in x.items()], F.col("y")), len(x))
+    f = gram.backward_prune(s, gram._fit(s, range(len(x)), "all"), tolerance=2.0)
+    return spark.createDataFrame([(list(x)[t], float(round(w, 4))) for t, w in zip(f.terms, f.weights)], "term string, weight double")
+
+
+#: What the target was made with.
+SQL["backward_prune"] = "SELECT unnest(['x0', 'x2', 'x0*x1']) AS term, unnest([1.0, 0.0001, -1.0]::DOUBLE[]) AS weight"
+
 QUERIES = {n: f for n, f in list(globals().items()) if n in SQL}
