@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 @dataclass
 class Gram:
     """g = B'B, c = B'y, yy = y'y over n rows; scale: the root mean square of each column, by which g and c are divided;
-    sd: the population deviation of each column, 1 for constants."""
+    sd: the population deviation of each column, 1 for constants; the scale where none is given."""
 
     g: np.ndarray
     c: np.ndarray
     yy: float
     n: float
     scale: np.ndarray
-    sd: np.ndarray
+    sd: np.ndarray | None = None
 
     def mse(self, w: np.ndarray, cols=slice(None)) -> float:
         """Of scaled coefficients over some columns; cancellation can make it a little off, never negative."""
@@ -81,7 +81,8 @@ def lasso(s: Gram, alpha: float, rounds: int = 1000, tol: float = 1e-4) -> np.nd
     """Coordinate descent on columns over their deviation, without centring; the threshold is alpha * n. Coefficients of
     the columns as they are."""
     w, k = np.zeros(len(s.c)), len(s.c)
-    t, by = alpha * s.n, s.scale / s.sd
+    sd = s.scale if s.sd is None else s.sd
+    t, by = alpha * s.n, s.scale / sd
     g, c = s.g * np.outer(by, by), s.c * by
     diag = np.diag(g)
     for _ in range(rounds):
@@ -95,7 +96,7 @@ def lasso(s: Gram, alpha: float, rounds: int = 1000, tol: float = 1e-4) -> np.nd
             w[j] = new
         if most < tol:
             break
-    return w / s.sd
+    return w / sd
 
 
 @dataclass
