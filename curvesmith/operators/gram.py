@@ -10,7 +10,7 @@ import itertools
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,15 +38,18 @@ def partial(projected: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         total = np.zeros((k + 2, k + 2))
-        for pdf in batches:
-            if len(pdf):
-                a = np.column_stack([np.stack(pdf["b"].to_numpy()), pdf["y"].to_numpy(dtype=float), np.ones(len(pdf))])
+        for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            if batch.num_rows:
+                flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float)  # the lists' own buffer
+                y = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+                a = np.column_stack([flat.reshape(-1, k), y, np.ones(len(y))])
                 a = a[np.isfinite(a).all(1)]
                 total += a.T @ a
         i, j = np.triu_indices(k + 2)
-        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
+        yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "v": total[i, j]})
 
-    parts = projected.select("b", "y").mapInPandas(run, "i int, j int, v double")
+    parts = projected.select("b", "y").mapInArrow(run, "i int, j int, v double")
     return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
