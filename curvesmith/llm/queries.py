@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, licenses, linededup, mixing, neardup, suffixdedup, topk, warc
+from . import chat, decontaminate, infill, langid, licenses, linededup, mixing, neardup, suffixdedup, topk, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_top_k": topk.op9_top_k,
     "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
+    "op11_infill": infill.op11_infill,
 }
 SQL = {
     "op1_license_scan": licenses.OP1_SQL,
@@ -26,4 +27,5 @@ SQL = {
     "op8_warc": warc.OP8_SQL,
     "op9_top_k": topk.OP9_SQL,
     "op10_suffix_dedup": suffixdedup.OP10_SQL,
+    "op11_infill": infill.OP11_SQL,
 }
