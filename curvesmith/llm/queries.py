@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, infill, langid, licenses, linededup, mixing, neardup, suffixdedup, topk, warc
+from . import chat, decontaminate, infill, langid, licenses, linededup, mixing, neardup, periodic, suffixdedup, topk, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_top_k": topk.op9_top_k,
     "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
     "op11_infill": infill.op11_infill,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 SQL = {
     "op1_license_scan": licenses.OP1_SQL,
@@ -28,4 +29,5 @@ SQL = {
     "op9_top_k": topk.OP9_SQL,
     "op10_suffix_dedup": suffixdedup.OP10_SQL,
     "op11_infill": infill.OP11_SQL,
+    "op13_periodic_runs": periodic.OP13_SQL,
 }
