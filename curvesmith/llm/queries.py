@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, infill, langid, licenses, linededup, mixing, neardup, periodic, suffixdedup, topk, warc
+from . import bpe, chat, decontaminate, infill, langid, licenses, linededup, mixing, neardup, periodic, suffixdedup, topk, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_top_k": topk.op9_top_k,
     "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
     "op11_infill": infill.op11_infill,
+    "op12_byte_bpe": bpe.op12_byte_bpe,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 SQL = {
