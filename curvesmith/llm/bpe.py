@@ -20,23 +20,23 @@ from .common import lean, returned, slices, table, utf8
 MOST_BYTES = 64 << 20
 #: Bytes of text whose words are held at once; positions that one recursive query starts from, with all its rounds; words
 #: whose ids a worker keeps, forgotten all at once beyond; tokens that one query decodes.
-HELD_BYTES, ROUND_ROWS, KEPT_WORDS, DECODED = 4 << 20, 4 << 20, 400_000, 1 << 20
+HELD_BYTES, ROUND_ROWS, KEPT_WORDS, DECODED = 4 << 20, 4 << 20, 1_000_000, 1 << 20
 #: A round of the query costs a word's length and there are as many rounds: longer words (bytes) go through a heap of pairs.
 LONG = 256
 
-#: Rows (w, pos, tok) are words, places from 0 and token ids. In each round a word's leftmost pair of least rank becomes one
-#: token; a word without a pair leaves. A token's id is its rank.
+#: Rows (w, pos, tok, after) are words, places from 0, token ids and those of the next place. In each round a word's leftmost
+#: pair of least rank becomes one token, at the second one's row; a word without a pair leaves. A token's id is its rank.
 CONTRACT = """
 WITH RECURSIVE s AS (
-  SELECT w, pos, tok, 0 AS k FROM start
+  SELECT w, pos, tok, after, 0 AS k FROM start
   UNION ALL
-  SELECT t.w, (t.pos - (t.pos > f.pos)::INT)::INT, CASE WHEN t.pos = f.pos THEN f.id ELSE t.tok END, t.k + 1
+  SELECT t.w, (t.pos - (t.pos > f.pos)::INT)::INT, CASE WHEN t.pos = f.pos + 1 THEN f.id ELSE t.tok END,
+    CASE WHEN t.pos = f.pos - 1 THEN f.id ELSE t.after END, t.k + 1
   FROM s t JOIN (
     SELECT w, (best & 65535)::INT AS pos, (best >> 16)::INT AS id FROM (
-      SELECT l.w, min((m.id::BIGINT << 16) + l.pos) AS best
-      FROM s l JOIN s r ON l.w = r.w AND r.pos = l.pos + 1 JOIN merges m ON m.a = l.tok AND m.b = r.tok GROUP BY l.w)
+      SELECT w, min((m.id::BIGINT << 16) + pos) AS best FROM s JOIN merges m ON m.a = tok AND m.b = after GROUP BY w)
   ) f ON f.w = t.w
-  WHERE t.pos <> f.pos + 1)
+  WHERE t.pos <> f.pos)
 SELECT w, list(tok ORDER BY pos) AS ids FROM (SELECT s.* FROM s JOIN (SELECT w, max(k) AS k FROM s GROUP BY w) l ON s.w = l.w AND s.k = l.k)
 GROUP BY w ORDER BY w
 """
@@ -63,6 +63,8 @@ class Coder:
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
+        self.db.execute("CREATE TYPE hex AS ENUM (SELECT hex FROM tokens)")  # ordered as a number, not as a string
+        self.db.execute("ALTER TABLE tokens ALTER hex TYPE hex")
         self.known: dict[str, bytes] = {}
 
     def query(self, sql: str, name: str, rows: pa.Table) -> pa.Table:
@@ -85,8 +87,11 @@ class Coder:
             some = by[i:j]
             data = np.frombuffer(b"".join([words[k] for k in some]), np.uint8)
             n = size[some]
+            tok = self.first[data]
+            after = np.append(tok[1:], np.int32(-1))
+            after[np.cumsum(n) - 1] = -1
             start = pa.table({
-                "w": np.repeat(np.arange(len(some), dtype=np.int32), n), "tok": self.first[data],
+                "w": np.repeat(np.arange(len(some), dtype=np.int32), n), "tok": tok, "after": after,
                 "pos": (np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32),
             })
             ids = self.query(CONTRACT, "start", start).column("ids").combine_chunks()
@@ -154,8 +159,8 @@ class Coder:
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         out = [b""] * len(sizes)
         if len(ids):
-            pos = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            rows = self.query(DECODE, "coded", pa.table({"d": np.repeat(np.arange(len(sizes)), sizes), "pos": pos, "tok": ids}))
+            pos = (np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            rows = self.query(DECODE, "coded", pa.table({"d": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "pos": pos, "tok": ids}))
             if sum(rows.column("n").to_pylist()) != len(ids):
                 raise ValueError("ids that are no token")
             for d, b in zip(rows.column("d").to_pylist(), rows.column("bytes").to_pylist(), strict=True):
