@@ -130,10 +130,10 @@ class Coder:
 
     def learn(self, words: list[str]) -> None:
         """Makes the ids of all these words known. A word that is a token is that token, whatever its pairs would give."""
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        new = list(set(words).difference(self.known))
         if len(self.known) + len(new) > KEPT_WORDS:
             self.known.clear()
-            new = list(dict.fromkeys(words))
+            new = list(set(words))
         whole, rest = [w.encode("utf-8") for w in new], []
         for w, b in zip(new, whole, strict=True):
             if (r := self.ranks.get(b)) is not None:
