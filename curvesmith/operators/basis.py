@@ -124,8 +124,12 @@ def allowed(terms: list[Term], constraints: dict[str, bool]) -> list[Term]:
 
 
 def project(rows: DataFrame, terms: list[Term], y: Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep..., b: array of term values, y)."""
-    return rows.select(*keep, F.array(*[t.column for t in terms]).alias("b"), y.cast("double").alias("y"))
+    """(keep..., b: array of term values, y, ok: whether y is a finite number). A higher-order function makes `ok`: with one
+    in it Spark compiles a projection apart from its stage, in many small methods. A whole catalogue in one method is too
+    long for the JIT and runs interpreted, several times as slow."""
+    y = y.cast("double")
+    ok = F.forall(F.array(y), safe.is_finite)
+    return rows.select(*keep, F.array(*[t.column for t in terms]).alias("b"), y.alias("y"), ok.alias("ok"))
 
 
 def long(rows: DataFrame, terms: list[Term], keys: list[str]) -> DataFrame:
@@ -134,6 +138,11 @@ def long(rows: DataFrame, terms: list[Term], keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.explode(cells).alias("t")).select(*keys, "t.*")
 
 
+def waves(x: str, column: Column, omega: float) -> list[Term]:
+    """Sine and cosine of a detected frequency."""
+    return [Term(f"{f}({omega:.10g}*{x})", "periodic", clean(g(F.lit(float(f"{omega:.10g}")) * column.cast("double")))) for f, g in (("sin", F.sin), ("cos", F.cos))]
+
+
 def dominant(omegas: list[float]) -> tuple[float, ...]:
     """Detected frequencies besides the usual ones, six at most."""
     out: list[float] = []

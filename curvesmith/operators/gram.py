@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,38 +34,136 @@ class Gram:
         return max(0.0, float(self.yy - 2 * w @ c + w @ g @ w)) / max(self.n, 1)
 
 
-def partial(projected: DataFrame, k: int) -> DataFrame:
-    """projected (b, y) to (i, j, v): entries of [B y 1]'[B y 1], so that column k+1 holds the sums and the number of rows."""
+def partial(projected: DataFrame, k: int, by: str | None = None, first: int = 0) -> DataFrame:
+    """projected (b, y, ok) to (i, j, v), or with a whole-number column `by` to (fold, i, j, v): entries of [B y 1]'[B y 1],
+    so that column k+1 holds the sums and the number of rows. `first`: only products with the columns from there on, as
+    those of all columns before are known."""
 
     def run(batches):
-        total = np.zeros((k + 2, k + 2))
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            batch = batch.filter(batch.column(0).is_valid())
-            if batch.num_rows:
-                flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float)  # the lists' own buffer
-                y = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-                a = np.column_stack([flat.reshape(-1, k), y, np.ones(len(y))])
-                a = a[np.isfinite(a).all(1)]
-                total += a.T @ a
-        i, j = np.triu_indices(k + 2)
-        yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "v": total[i, j]})
+            batch = batch.filter(pa.compute.and_(batch.column(0).is_valid(), batch.column(2)))
+            if not batch.num_rows:
+                continue
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float)  # the lists' own buffer
+            y = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            a = np.column_stack([flat.reshape(-1, k), y, np.ones(len(y))])
+            fine = np.isfinite(a).all(1)
+            a = a[fine]
+            if by is None:
+                totals[0] = totals.get(0, 0.0) + a[:, first:k if first else None].T @ a
+                continue
+            fold = batch.column(3).to_numpy(zero_copy_only=False)[fine]
+            for f in np.unique(fold).tolist():
+                own = a[fold == f]
+                totals[f] = totals.get(f, 0.0) + own[:, first:k if first else None].T @ own
+        for f, total in totals.items():
+            i, j = np.indices(total.shape).reshape(2, -1)
+            # of a pair of new columns one entry is enough; one with an old column has its new column as i
+            keep = (j >= i + first) | (j < first)
+            i, j = i[keep], j[keep]
+            got = {"i": pa.array(i + first, pa.int32()), "j": pa.array(j, pa.int32()), "v": total[i, j]}
+            yield pa.RecordBatch.from_pydict(got if by is None else {"fold": pa.array(np.full(len(i), f), pa.int64()), **got})
+
+    keys = ["i", "j"] if by is None else ["fold", "i", "j"]
+    kept = ["b", "y", "ok"] if by is None else ["b", "y", "ok", F.col(by).cast("long").alias("fold")]
+    parts = projected.select(*kept).mapInArrow(run, ("" if by is None else "fold long, ") + "i int, j int, v double")
+    return parts.groupBy(*keys).agg(F.sum("v").alias("v"))
 
-    parts = projected.select("b", "y").mapInArrow(run, "i int, j int, v double")
-    return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
+@dataclass
+class Sums:
+    """[B y 1]'[B y 1] as it is, of k columns. Sums of disjoint rows add up; rows can be taken out again."""
 
-def gram(projected: DataFrame, k: int) -> Gram:
-    got = partial(projected, k).toPandas()  # (k+2)(k+3)/2 rows
-    a = np.zeros((k + 2, k + 2))
+    a: np.ndarray
+
+    @property
+    def k(self) -> int:
+        return len(self.a) - 2
+
+    @property
+    def n(self) -> float:
+        return float(self.a[-1, -1])
+
+    def __add__(self, other: Sums) -> Sums:
+        return Sums(self.a + other.a)
+
+    def __sub__(self, other: Sums) -> Sums:
+        return Sums(self.a - other.a)
+
+    def columns(self, cols) -> Sums:
+        """Of some columns only."""
+        at = [*cols, self.k, self.k + 1]
+        return Sums(self.a[np.ix_(at, at)])
+
+    def gram(self) -> Gram:
+        a, k, n = self.a, self.k, max(self.n, 1)
+        scale = np.sqrt(np.diag(a)[:k] / n)
+        scale[scale == 0] = 1.0
+        var = np.diag(a)[:k] / n - (a[:k, k + 1] / n) ** 2
+        sd = np.where(var > 1e-12 * scale**2, np.sqrt(np.maximum(var, 0.0)), 1.0)  # less is what cancellation leaves of 0
+        return Gram(a[:k, :k] / np.outer(scale, scale), a[:k, k] / scale, float(a[k, k]), self.n, scale, sd)
+
+    def mse(self, cols, weights) -> float:
+        """Of given weights of some columns over these rows; no less than what cancellation leaves of 0."""
+        cols, w, k = list(cols), np.asarray(weights, float), self.k
+        left = self.a[k, k] - 2 * w @ self.a[cols, k] + w @ self.a[np.ix_(cols, cols)] @ w
+        return max(0.0, float(left)) / max(self.n, 1)
+
+    def variance(self) -> float:
+        """Of the target."""
+        n, k = max(self.n, 1), self.k
+        return max(0.0, float(self.a[k, k] / n - (self.a[k, k + 1] / n) ** 2))
+
+    def r2(self, cols, weights) -> float:
+        """1 for no error and 0 for any where the target is constant."""
+        v, m = self.variance(), self.mse(cols, weights)
+        return 1 - m / v if v >= 1e-15 else float(m < 1e-15)
+
+
+def _filled(got, size: int) -> np.ndarray:
+    a = np.zeros((size, size))
     a[got["i"], got["j"]] = got["v"]
-    n, sums = a[k + 1, k + 1], a[:k, k + 1].copy()
-    a = np.triu(a[: k + 1, : k + 1])
-    a = a + np.triu(a, 1).T
-    scale = np.sqrt(np.diag(a)[:k] / max(n, 1))
-    scale[scale == 0] = 1.0
-    var = np.diag(a)[:k] / max(n, 1) - (sums / max(n, 1)) ** 2
-    sd = np.where(var > 1e-12 * scale**2, np.sqrt(np.maximum(var, 0.0)), 1.0)  # less is what cancellation leaves of 0
-    return Gram(a[:k, :k] / np.outer(scale, scale), a[:k, k] / scale, float(a[k, k]), float(n), scale, sd)
+    a[got["j"], got["i"]] = got["v"]
+    return a
+
+
+def sums(projected: DataFrame, k: int) -> Sums:
+    return Sums(_filled(partial(projected, k).toPandas(), k + 2))  # (k+2)(k+3)/2 rows
+
+
+def fold_sums(projected: DataFrame, k: int, by: str) -> dict[int, Sums]:
+    """The sums of each value of a whole-number column with few values, all from one pass."""
+    got = partial(projected, k, by).toPandas()
+    return {int(f): Sums(_filled(own, k + 2)) for f, own in got.groupby("fold")}
+
+
+def bordered(projected: DataFrame, k: int, by: str, known: dict[int, Sums]) -> dict[int, Sums]:
+    """The sums over k columns whose first ones are known already: only products with new columns are made and sent."""
+    old = next(iter(known.values())).k
+    got = partial(projected, k, by, old).toPandas()
+    out = {}
+    for f, s in known.items():
+        at = [*range(old), k, k + 1]
+        a = _filled(got[got["fold"] == f], k + 2)
+        a[np.ix_(at, at)] = s.a
+        out[f] = Sums(a)
+    return out
+
+
+def gram(projected: DataFrame, k: int) -> Gram:
+    return sums(projected, k).gram()
+
+
+def fold_fits(folds: dict[int, Sums], cols) -> dict[int, tuple[np.ndarray, float, float]]:
+    """For each fold the weights of some columns by the rows of all other folds, and their error and R2 on its own rows."""
+    total = sum(folds.values(), Sums(np.zeros_like(next(iter(folds.values())).a)))
+    out = {}
+    for f, own in sorted(folds.items()):
+        s = (total - own).gram()
+        w = ols(s, cols) / s.scale[list(cols)]
+        out[f] = (w, own.mse(cols, w), own.r2(cols, w))
+    return out
 
 
 def ols(s: Gram, cols) -> np.ndarray:

@@ -12,13 +12,13 @@ from ..operators import basis, diagnostics
 from ..operators.gram import Fit, bic_eliminate, exact_search, gram, lasso_path
 
 
-def formula_of(terms: list[basis.Term], fit: Fit, snap: bool = True) -> str:
+def formula_of(terms: list[basis.Term], fit: Fit, snap: bool = True, digits: int = 6) -> str:
     out = None
     for i, w in zip(fit.terms, fit.weights, strict=True):
         t = expr.Node("*", (expr.num(float(w)), expr.parse(terms[i].name)))
         out = t if out is None else expr.Node("+", (out, t))
     tree = expr.simplified(out if out is not None else expr.num(0))
-    return expr.show(expr.simplified(expr.snapped(tree, 1e-4, 1e-6)) if snap else tree)
+    return expr.show(expr.simplified(expr.snapped(tree, 1e-4, 1e-6)) if snap else tree, digits)
 
 
 @dataclass
