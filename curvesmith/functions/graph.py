@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +59,46 @@ def node_columns(graph: dict, inputs: list[Column]) -> list[Column]:
     return out
 
 
+def node_arrays(graph: dict, inputs: list[np.ndarray]) -> list[np.ndarray]:
+    """The same in arrays."""
+    out: list[np.ndarray] = []
+    clamp = lambda v, most: np.clip(np.where(np.isnan(v), most, v), -most, most)
+    with np.errstate(all="ignore"):
+        for n in graph["nodes"]:
+            if n["type"] == "input":
+                out.append(inputs[n["feature"]])
+                continue
+            if n["type"] == "constant":
+                out.append(np.full(len(inputs[0]), float(n["value"])))
+                continue
+            x = out[n["left"]]
+            y = out[n["right"]] if n["type"] == "binary" else x
+            ratio = x / (np.abs(y) + 1e-6) * np.sign(y)
+            if n["op"] == "periodic":
+                v = n["amplitude"] * np.sin(n["omega"] * x + n["phi"])
+            elif n["op"] == "power":
+                even = abs(n["p"] - round(n["p"])) < 1e-6 and round(n["p"]) % 2 == 0
+                v = clamp((np.abs(x) + 1e-10) ** n["p"] * (1.0 if even else np.sign(x)), safe.HUGE)
+            elif n["op"] == "int_power":
+                v = clamp(x ** float(min(6, max(2, round(n["p"])))), safe.HUGE)
+            elif n["op"] == "exp":
+                v = clamp(np.exp(np.minimum(n["omega"] * x + n["phi"], 700.0)), safe.BIG)
+            elif n["op"] == "log":
+                v = clamp(np.log(np.abs(x) + 1e-6), safe.BIG)
+            elif n["op"] == "arithmetic":
+                w = safe.corner_weights(n["beta"], n["gamma"])
+                v = clamp(w["add"] * (x + y) + w["mul"] * (x * y) + w["div"] * ratio + w["sub"] * (x - y), safe.BIG)
+            elif n["op"] == "division":
+                v = clamp(ratio, safe.BIG)
+            else:
+                t = n["tau"] if abs(n["tau"]) >= 1e-3 else np.copysign(1e-3, n["tau"])
+                top = np.maximum(x / t, y / t)
+                a, b = np.exp(x / t - top), np.exp(y / t - top)
+                v = (a * x + b * y) / (a + b)
+            out.append(v)
+    return out
+
+
 def to_column(graph: dict, inputs: list[Column]) -> Column:
     """bias + the weighted nodes; weights of 1e-6 and less are left out, and with them what only they need."""
     if bad := check(graph, len(inputs)):

@@ -1,11 +1,12 @@
-"""Queries over slices of several inputs and fits of many curves."""
+"""Queries over slices of several inputs, fits of many curves, and cleaning of graphs."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import graph
 from ..functions.safe import rounded as r
-from ..operators import batched, slices
+from ..operators import batched, cleanup, slices
 from ..sources.tables import sales, table
 from .fitting import S, rd
 
@@ -52,4 +53,45 @@ w AS (SELECT user_id, n, ma, mb, mc, my, CASE WHEN n >= 4 THEN {_w[0]} / {_det}
 z AS (SELECT *, my - w0 * ma - w1 * mb - w2 * mc AS w3 FROM w), q AS (SELECT user_id, avg(pow(y - w0 * a - w1 * b - w2 * c - w3, 2)) AS mse FROM p JOIN z USING (user_id) GROUP BY 1)
 SELECT user_id, n, {', '.join(f"{rd(f'w{k}', 3)} AS w{k}" for k in range(4))}, {rd('mse', 3)} AS mse FROM z JOIN q USING (user_id)"""
 
+
+def graph_dead_nodes(spark, d):
+    """A graph of six nodes for each part, wired and weighted by its key: what is left of it, and its children's new places."""
+    k = F.col("p_partkey").cast("int")
+    none = F.lit(None).cast("int")
+    wire = [(none, none), (none, none), (F.lit(0), none), (k % 3, k % 2 + 1), (k % 4, none), (k % 5, k % 3)]
+    nodes = F.array(*[F.struct(a.cast("int").alias("left"), b.cast("int").alias("right")) for a, b in wire])
+    weights = F.array(*[F.when(F.shiftright(k, i) % 2 == 1, F.lit(0.5) * (i + 1)).otherwise(F.lit(1e-9)) for i in range(6)])
+    out = cleanup.without_dead(table(spark, d, "part").select("p_partkey", nodes.alias("nodes"), weights.alias("weights")))
+    child = lambda side: F.array_join(F.transform("nodes", lambda x: F.coalesce(x[side].cast("string"), F.lit("-"))), ",")
+    return out.select("p_partkey", F.array_join(F.transform("live", lambda i: i.cast("string")), ",").alias("live"), child("left").alias("lefts"), child("right").alias("rights"))
+
+
+#: Reachability by a recursive query over the nodes of all graphs.
+SQL["graph_dead_nodes"] = """
+WITH RECURSIVE n AS (SELECT p_partkey, i, CASE i WHEN 2 THEN 0 WHEN 3 THEN p_partkey % 3 WHEN 4 THEN p_partkey % 4 WHEN 5 THEN p_partkey % 5 END AS l,
+  CASE i WHEN 3 THEN p_partkey % 2 + 1 WHEN 5 THEN p_partkey % 3 END AS r, (p_partkey >> i) % 2 = 1 AS heavy FROM part, (SELECT unnest(range(6)) AS i)),
+live AS (SELECT p_partkey, i FROM n WHERE heavy UNION SELECT n.p_partkey, c FROM (SELECT n.p_partkey, unnest([l, r]) AS c FROM live JOIN n USING (p_partkey, i)) n WHERE c IS NOT NULL),
+k AS (SELECT p_partkey, i, row_number() OVER (PARTITION BY p_partkey ORDER BY i) - 1 AS at FROM live),
+m AS (SELECT n.p_partkey, n.i, coalesce(a.at::VARCHAR, '-') AS l, coalesce(b.at::VARCHAR, '-') AS r FROM n JOIN k USING (p_partkey, i) LEFT JOIN k a ON a.p_partkey = n.p_partkey AND a.i = n.l LEFT JOIN k b ON b.p_partkey = n.p_partkey AND b.i = n.r)
+SELECT p.p_partkey, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i), '') AS live, coalesce(string_agg(l, ',' ORDER BY i), '') AS lefts, coalesce(string_agg(r, ',' ORDER BY i), '') AS rights FROM part p LEFT JOIN m USING (p_partkey) GROUP BY 1"""
+
+
+def graph_cleanup(spark, d):
+    """Graphs of the nations, each with a repeated node, one without use and crooked weights, cleaned by the sums of their
+    nodes over all of lineitem: one pass for all. The target is 2 x0 + 3 sin(x2) - 1 with a little of the tax as noise."""
+    keys = [row[0] for row in table(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]  # a row a nation
+    rows = sales(spark, d).withColumn("y", 2.0 * F.col("x0") + 3.0 * F.sin("x2") - 1.0 + (F.col("x1") - 0.05))
+    node = graph.node
+    made = [{
+        "nodes": [node("input", feature=0), node("input", feature=1), node("unary", op="periodic", left=1), node("unary", op="periodic", left=1, amplitude=1.0 + k % 5), node("unary", op="exp", left=0, omega=-0.01 * (1 + k % 3)), node("binary", op="division", left=0, right=1)],
+        "weights": [1.5 + 0.01 * k, 0.0, 1.0, 2.0, 1e-9, 0.0], "bias": 0.1 * k,
+    } for k in keys]
+    out = cleanup.clean_population(rows, ["x0", "x2"], "y", made)
+    shown = [(k, len(g["nodes"]), *[round(w, 4) for w in g["weights"]], round(g["bias"], 2), after) for k, (g, _, after) in zip(keys, out, strict=True)]
+    return spark.createDataFrame(shown, "n_nationkey int, n_nodes int, w0 double, w1 double, w2 double, bias double, mse double").withColumn("mse", r(F.col("mse"), 6))
+
+
+#: The target's own weights, on the inputs and the first of the equal nodes, and the noise that no weight takes up.
+SQL["graph_cleanup"] = f"SELECT n_nationkey, 3 AS n_nodes, 2.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 3.0::DOUBLE AS w2, -1.0::DOUBLE AS bias, {rd('(SELECT avg(pow(x1 - 0.05::DOUBLE, 2)) FROM (' + S + '))', 6)} AS mse FROM nation"
+
 QUERIES = {n: f for n, f in list(globals().items()) if n in SQL}
