@@ -128,12 +128,12 @@ class Coder:
             i = end[i]
         return np.array(out, np.int32).tobytes()
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Makes the ids of all these words known. A word that is a token is that token, whatever its pairs would give."""
-        new = list(set(words).difference(self.known))
+        new = list(words.difference(self.known))
         if len(self.known) + len(new) > KEPT_WORDS:
             self.known.clear()
-            new = list(set(words))
+            new = list(words)
         whole, rest = [w.encode("utf-8") for w in new], []
         for w, b in zip(new, whole, strict=True):
             if (r := self.ranks.get(b)) is not None:
@@ -148,13 +148,14 @@ class Coder:
             for t in texts:
                 found, parts = self.pattern.finditer(t), []
                 while words := [m.group() for m in itertools.islice(found, HELD_BYTES // 8)]:
-                    self.learn(words)
+                    self.learn(set(words))
                     parts.append(b"".join(map(self.known.__getitem__, words)))
                 out.append(b"".join(parts))
             return out
-        split = [self.pattern.findall(t) for t in texts]
-        self.learn(list(itertools.chain.from_iterable(split)))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        split = {t: self.pattern.findall(t) for t in dict.fromkeys(texts)}  # copies are split once
+        self.learn(set().union(*split.values()))
+        done = {t: b"".join(map(self.known.__getitem__, words)) for t, words in split.items()}
+        return [done[t] for t in texts]
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         out = [b""] * len(sizes)
