@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import sql
 from ..functions.safe import rounded as r
 from ..operators import scorer
+from ..sources import shared
 from ..sources.tables import sales, table
 from ..streaming import trace
 from .fitting import S, _sc, _scored, rd
@@ -16,18 +15,34 @@ from .fitting import S, _sc, _scored, rd
 SQL: dict[str, str] = {}
 
 
+def _events(spark, d):
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+
+
 def event_windows_stream(spark, d):
     """Hourly counts and sums by event type from a stream over the events' files, run to its end."""
-    schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
-    name = f"event_windows_{uuid.uuid4().hex}"
-    out = trace.run_available(trace.event_windows(stream, 60), name, "complete")
+    out = trace.run_updates(trace.event_windows(_events(spark, d), 60), shared.folder(spark, "windows"), ["start", "event_type"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r(F.col("total"), 4).alias("total"))
 
 
 SQL["event_windows_stream"] = f"SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, {rd('sum(value)')} AS total FROM events GROUP BY 1, 2"
 
 
+def stagnation_stream(spark, d):
+    """Each user's events as a stream, in whatever order they come: how long the least value has stood, and when to act."""
+    out = trace.run_to_table(trace.ordered_stagnation(_events(spark, d), "user_id", "ts", "value"), shared.folder(spark, "stagnation"))
+    return out.select("user_id", F.col("at").cast("timestamp_ntz").alias("at"), "best", "since", "stagnant", "fires")
+
+
+#: What lies before the watermark (in whole milliseconds), in order; a cooldown that is shorter than a stagnation is over
+#: when the next one begins, so it acts on every fourth point of one.
+SQL["stagnation_stream"] = """
+WITH e AS (SELECT user_id, ts, value FROM events WHERE epoch_us(ts) < (SELECT (epoch_ms(max(ts)) - 86400000) * 1000 FROM events)),
+w AS (SELECT *, row_number() OVER o AS k, min(value) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ts, value)),
+l AS (SELECT *, max(CASE WHEN before IS NULL OR value < before THEN k END) OVER (PARTITION BY user_id ORDER BY k) AS last FROM w)
+SELECT user_id, ts AS at, least(value, coalesce(before, value)) AS best, (k - last)::INT AS since, k - last >= 5 AS stagnant, k - last >= 5 AND (k - last - 5) % 4 = 0 AS fires FROM l"""
+
+
 def operator_scores(spark, d):
     out = scorer.operator_scores(sales(spark, d), "l_returnflag", "x0", "y")
     return out.select("l_returnflag", *[r(F.col(c), 6).alias(c) for c in ("linear", "exponential", "power", "log")])

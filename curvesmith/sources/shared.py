@@ -5,14 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read back as a table in the checkpoint folder: that of spark.checkpoint.dir or of the context,
-    or one of our own where neither is set (tests). A table, as checkpoint() keeps what the optimizer inferred of df, and
-    that multiplies from round to round."""
-    sc = df.sparkSession.sparkContext
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place in the checkpoint folder: that of spark.checkpoint.dir or of the context, or one of our own where neither
+    is set (tests)."""
+    sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir")
     if not path:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -20,6 +19,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="curvesmith-"))
         path = sc._jsc.sc().getCheckpointDir().get()
-    path = f"{path.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and read back as a table in the checkpoint folder. A table, as checkpoint() keeps what the optimizer
+    inferred of df, and that multiplies from round to round."""
+    path = folder(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

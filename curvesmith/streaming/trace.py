@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -50,6 +51,45 @@ def stagnation(stats: DataFrame, least: int = 5) -> DataFrame:
     return stats.groupBy("run_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+WAITING = "best double, since int, rest int, times array<bigint>, values array<double>"
+
+
+def ordered_stagnation(points: DataFrame, key: str, at: str, value: str, late: str = "1 day", least: int = 5, cooldown: int = 3) -> DataFrame:
+    """(key, at, best, since, stagnant, fires) for every point of a stream: the least value of the key so far, for how many
+    points it has stood, whether for `least` or more, and whether that is to be acted on: not again within the `cooldown`
+    points after the last time.
+
+    Points may come in any order within `late`: they wait in the key's state until the watermark is past them, and a timer
+    of the key wakes it then even if nothing new comes. Points at the same time go by value. Those that come after the
+    watermark is past them are left out. Null keys, times and values don't count. The state is the pending points of a key
+    and three numbers. Batch tables give the same rows by `SELECT` windows over what lies before the watermark."""
+    kind = points.schema[key].dataType.simpleString()
+    rows = points.select(key, F.col(at).cast("timestamp").alias("at"), F.col(value).cast("double").alias("value")).na.drop().withWatermark("at", late)
+    empty = {key: pd.Series([], dtype=object), "at": pd.Series([], dtype="datetime64[ns]"), "best": [], "since": [], "stagnant": [], "fires": []}
+
+    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best, since, rest, times, values = state.get if state.exists else (float("inf"), 0, 0, [], [])
+        passed = state.getCurrentWatermarkMs() * 1000
+        pending = list(zip(times, values, strict=True))
+        for pdf in batches:
+            micros = pdf["at"].astype("datetime64[us]").astype("int64")
+            pending += [(int(t), float(v)) for t, v in zip(micros, pdf["value"], strict=True) if t >= passed]
+        out = []
+        for t, v in sorted(p for p in pending if p[0] < passed):
+            best, since = (v, 0) if v < best else (best, since + 1)
+            fires = since >= least and rest == 0
+            rest = cooldown if fires else max(0, rest - 1)
+            out.append((name[0], pd.Timestamp(t, unit="us"), best, since, since >= least, fires))
+        pending = sorted(p for p in pending if p[0] >= passed)
+        state.update((best, since, rest, [p[0] for p in pending], [p[1] for p in pending]))
+        if pending:
+            state.setTimeoutTimestamp(max(pending[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=list(empty)) if out else pd.DataFrame(empty)
+
+    schema = f"{key} {kind}, at timestamp, best double, since int, stagnant boolean, fires boolean"
+    return rows.groupBy(key).applyInPandasWithState(run, schema, WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "update", checkpoint: str | None = None) -> DataFrame:
     """Runs a stream over what is there now into a memory table, for tests and small reports."""
     w = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
@@ -59,8 +99,23 @@ def run_available(stream: DataFrame, name: str, mode: str = "update", checkpoint
 
 
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
-    """Runs a stream of finished windows over what is there now, to a table in a shared folder: nothing of it passes the
-    driver. A window is written once it can get no more rows, so the last ones wait for later events."""
+    """Runs a stream of final rows over what is there now, to a table in a shared folder: nothing of it passes the driver.
+    Rows that wait for the watermark, as the last ones, are not in it yet."""
     w = stream.writeStream.outputMode("append").format("parquet").trigger(availableNow=True)
     w.option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def run_updates(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Runs a stream of groups over what is there now and gives each group's last state, finished or not. Each batch's changed
+    groups go to a folder of its own, which a repeated batch overwrites; of a group the row of its last batch counts."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    w = stream.writeStream.outputMode("update").foreachBatch(put).trigger(availableNow=True)
+    w.option("checkpointLocation", f"{folder}/state").start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rest = [c for c in stream.columns if c not in keys]
+    last = stream.sparkSession.read.schema(schema).parquet(f"{folder}/rows").groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}") for c in rest])
