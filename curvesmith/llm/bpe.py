@@ -37,8 +37,7 @@ WITH RECURSIVE s AS (
       SELECT w, min((m.id::BIGINT << 16) + pos) AS best FROM s JOIN merges m ON m.a = tok AND m.b = after GROUP BY w)
   ) f ON f.w = t.w
   WHERE t.pos <> f.pos)
-SELECT w, list(tok ORDER BY pos) AS ids FROM (SELECT s.* FROM s JOIN (SELECT w, max(k) AS k FROM s GROUP BY w) l ON s.w = l.w AND s.k = l.k)
-GROUP BY w ORDER BY w
+SELECT s.w, pos, tok FROM s JOIN (SELECT w, max(k) AS k FROM s WHERE pos = 0 GROUP BY w) l ON s.w = l.w AND s.k = l.k
 """
 DECODE = "SELECT d, unhex(array_to_string(list(hex ORDER BY pos), '')) AS bytes, count(*) AS n FROM coded JOIN tokens ON id = tok GROUP BY d ORDER BY d"
 
@@ -94,8 +93,10 @@ class Coder:
                 "w": np.repeat(np.arange(len(some), dtype=np.int32), n), "tok": tok, "after": after,
                 "pos": (np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32),
             })
-            ids = self.query(CONTRACT, "start", start).column("ids").combine_chunks()
-            flat, at = ids.flatten().to_numpy().astype(np.int32).tobytes(), (4 * (ids.offsets.to_numpy() - ids.offsets[0].as_py())).tolist()
+            last = self.query(CONTRACT, "start", start)
+            w, pos, ids = (last.column(c).to_numpy() for c in ("w", "pos", "tok"))
+            flat = ids[np.argsort(w.astype(np.int64) << 16 | pos)].tobytes()
+            at = np.append(0, 4 * np.cumsum(np.bincount(w, minlength=len(some)))).tolist()
             for k, a, b in zip(some.tolist(), at[:-1], at[1:], strict=True):
                 out[k] = flat[a:b]
         return out
