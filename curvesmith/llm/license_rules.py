@@ -1,7 +1,8 @@
 """Licence signatures, written over normalised words (lower case, one space between words, punctuation gone).
 
 LICENCES: label; pattern of the full name; pattern of the short name; words of the SPDX identifier; keyword that any text
-with one of them holds. FORMS says how a name becomes rules of falling strength. EXTRA are single signatures.
+with one of them holds. FORMS says how a name becomes rules of falling strength. EXTRA are single signatures, NOTICES what
+notices, headers and licence texts say, and FURTHER the other identifiers of SPDX expressions.
 """
 
 from __future__ import annotations
@@ -90,6 +91,64 @@ gpl-3 | 2 | 0.9 | general public licen | general public licen[sc]e version 3
 gpl-2 | 2 | 0.9 | general public licen | general public licen[sc]e version 2
 """
 
+#: Fixed wordings of notices, file headers, licence texts and addresses, one by one: label | strength | score | keyword | pattern
+NOTICES = """
+gpl-3 | 2 | 0.95 | published by the free software | general public licen[sc]e as published by the free software foundation (?:either )?version 3(?: 0)?
+gpl-2 | 2 | 0.95 | published by the free software | general public licen[sc]e as published by the free software foundation (?:either )?version 2(?: 0)?
+gpl-1 | 2 | 0.95 | published by the free software | general public licen[sc]e as published by the free software foundation (?:either )?version 1(?: 0)?
+lgpl-3 | 2 | 0.95 | lesser general public | (?:gnu )?lesser general public licen[sc]e as published by the free software foundation (?:either )?version 3(?: 0)?
+lgpl-2.1 | 2 | 0.95 | lesser general public | (?:gnu )?lesser general public licen[sc]e as published by the free software foundation (?:either )?version 2 1
+lgpl-2 | 2 | 0.95 | library general public | (?:gnu )?library general public licen[sc]e as published by the free software foundation (?:either )?version 2(?: 0)?
+agpl-3 | 2 | 0.95 | affero general public | (?:gnu )?affero general public licen[sc]e as published by the free software foundation (?:either )?version 3(?: 0)?
+gpl | 3 | 0.7 | you should have received a copy | you should have received a copy of the gnu general public licen[sc]e
+lgpl | 3 | 0.7 | you should have received a copy | you should have received a copy of the gnu lesser general public licen[sc]e
+gpl | 3 | 0.7 | everyone is permitted | everyone is permitted to copy and distribute verbatim copies of this licen[sc]e document but changing it is not allowed
+gfdl | 2 | 0.95 | permission is granted | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e
+apache-2 | 2 | 0.95 | you may not use this file | licen[sc]ed under the apache licen[sc]e version 2 0 the licen[sc]e you may not use this file except in compliance with the licen[sc]e
+apache-2 | 3 | 0.8 | www apache org | www apache org licen[sc]es licen[sc]e 2 0
+apache-1.1 | 3 | 0.8 | the apache group | the names apache and apache software foundation must not be used to endorse or promote products
+mpl-2 | 2 | 0.95 | this source code form | this source code form is subject to the terms of the mozilla public licen[sc]e v ?2 0
+mpl-1.1 | 2 | 0.95 | the contents of this file | the contents of this file are subject to the mozilla public licen[sc]e version 1 1
+cddl | 2 | 0.95 | the contents of this file | the contents of this file are subject to the terms of the common development and distribution licen[sc]e
+epl-2 | 2 | 0.95 | the accompanying materials | the accompanying materials are made available under the terms of the eclipse public licen[sc]e (?:v |version )?2 0
+epl-1 | 2 | 0.95 | the accompanying materials | the accompanying materials are made available under the terms of the eclipse public licen[sc]e v(?:ersion )?1 0
+cpl-1 | 2 | 0.95 | the accompanying materials | the accompanying materials are made available under the terms of the common public licen[sc]e v(?:ersion )?1 0
+mit | 2 | 0.95 | substantial portions | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit | 2 | 0.9 | use of this source code | use of this source code is governed by an mit style licen[sc]e
+mit-0 | 2 | 0.95 | permission is hereby granted | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicen[sc]e and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is
+bsd | 2 | 0.9 | use of this source code | use of this source code is governed by a bsd style licen[sc]e
+bsd-2 | 3 | 0.7 | redistributions in binary form | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided
+bsd-3 | 2 | 0.95 | neither the name | neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+bsd-3 | 2 | 0.95 | neither the name | neither the name of the university nor the names of its contributors may be used to endorse or promote products
+bsd-4 | 2 | 0.95 | all advertising materials | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+isc | 2 | 0.9 | permission to use | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted
+postgresql | 2 | 0.95 | permission to use | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+zlib | 2 | 0.95 | altered source versions | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+bsl-1 | 2 | 0.95 | boost software licen | distributed under the boost software licen[sc]e version 1 0
+bsl-1 | 3 | 0.8 | www boost org | www boost org licen[sc]e 1 0 txt
+unlicense | 2 | 0.95 | free and unencumbered | this is free and unencumbered software released into the public domain
+wtfpl | 2 | 0.95 | everyone is permitted | everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document and changing it is allowed
+openssl | 2 | 0.9 | openssl toolkit | software developed by the openssl project for use in the openssl toolkit
+ofl | 2 | 0.95 | this font software | this font software is licen[sc]ed under the sil open font licen[sc]e version 1 1
+eupl | 2 | 0.95 | under the eupl | licen[sc]ed under the eupl(?: version)? 1 [0-2]
+artistic-2 | 2 | 0.9 | artistic licen | under the terms of the artistic licen[sc]e 2 0
+ncsa | 2 | 0.9 | university of illinois | neither the names of the university of illinois nor the names of its contributors may be used to endorse or promote products
+odbl | 3 | 0.8 | opendatacommons org | opendatacommons org licen[sc]es odbl
+odc-by | 3 | 0.8 | opendatacommons org | opendatacommons org licen[sc]es by
+pddl | 3 | 0.8 | opendatacommons org | opendatacommons org licen[sc]es pddl
+cc0 | 2 | 0.9 | creativecommons org publicdomain | creativecommons org publicdomain zero 1 0
+cc-by | 2 | 0.9 | creativecommons org licen | creativecommons org licen[sc]es by [1234] [05]
+cc-by-sa | 2 | 0.9 | creativecommons org licen | creativecommons org licen[sc]es by sa [1234] [05]
+cc-by-nd | 2 | 0.9 | creativecommons org licen | creativecommons org licen[sc]es by nd [1234] [05]
+cc-by-nc | 2 | 0.9 | creativecommons org licen | creativecommons org licen[sc]es by nc [1234] [05]
+cc-by-nc-sa | 2 | 0.9 | creativecommons org licen | creativecommons org licen[sc]es by nc sa [1234] [05]
+cc-by-nc-nd | 2 | 0.9 | creativecommons org licen | creativecommons org licen[sc]es by nc nd [1234] [05]
+proprietary | 3 | 0.7 | confidential | this software is the confidential and proprietary information of
+"""
+#: strength, score, keyword, pattern of the further identifiers of an SPDX expression, as in "MIT OR Apache-2.0"; weaker than
+#: the first one, which stays beside them.
+FURTHER = (3, 0.85, "spdx license identifier", "(?:or|and) SPDX")
+
 
 def cells(text: str) -> list[list[str]]:
     return [[x.strip() for x in line.split(" | ")] for line in text.strip().splitlines()]
@@ -107,7 +166,9 @@ def rules() -> list[dict]:
             else:
                 keyword, regex = has_short, form.replace("SHORT", short)
             out.append((keyword, regex, label, int(level), float(score)))
-    for label, level, score, keyword, regex in cells(EXTRA):
+        level, score, keyword, form = FURTHER
+        out.append((keyword, form.replace("SPDX", spdx), label, level, score))
+    for label, level, score, keyword, regex in cells(EXTRA) + cells(NOTICES):
         out.append((keyword, regex, label, int(level), float(score)))
     return [{"keyword": k, "regex": f"(?<= )(?:{r})(?= )", "label": n, "level": v, "score": s} for k, r, n, v, s in out]
 

@@ -16,7 +16,7 @@ OPEN, CLOSE = "\x01", "\x02"
 DETECTION = "struct<start:int,stop:int,level:int,label:string,score:double>"
 OWN = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 #: A match of any rule holds one of these, so other texts see no regular expression at all.
-NEEDS = (" licen", " unlicen", " spdx", " released ", " distributed ", " published ", " available ", " provided ", " covered ", " governed ", " permission ", " redistribution ", " this software ", " public domain", " all rights ", " proprietary ", " creative commons", " cc0", " mit no")
+NEEDS = (" licen", " unlicen", " spdx", " released ", " distributed ", " published ", " available ", " provided ", " covered ", " governed ", " permission ", " redistribution ", " this software ", " public domain", " all rights ", " proprietary ", " creative commons", " creativecommons ", " cc0", " mit no", " neither the name", " altered source ", " openssl ", " the names apache ")
 
 
 def words(text: Column) -> Column:
@@ -79,11 +79,14 @@ def any_of(norm: Column, parts) -> Column:
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels and score to every document.
 
-    A null or empty text has no words, no places, empty labels and score 0. Columns of docs that are called like ours
-    are replaced. There is no shuffle; only texts that hold a rule's stem see the rules, and only those rules whose
-    keyword they hold are run.
+    A null or empty text has no words, no places, empty labels and score 0; rows given twice get the same result each; a long
+    text is normalised whole in its task; an empty table gives an empty one. Columns of docs that are called like ours are
+    replaced, all others are kept, whatever their names. There is no shuffle; only texts that hold a rule's stem see the
+    rules, and only those rules whose keyword they hold are run.
     """
-    rows = docs.drop(*[c for c in OWN if c in docs.columns]).withColumn("_norm", words(F.col(text_col)))
+    names = docs.columns
+    apart = [f"_doc{k}" for k in range(len(names))]  # so that no name clashes with one of ours
+    rows = docs.toDF(*apart).withColumn("_norm", words(F.col(apart[names.index(text_col)])))
     norm = F.col("_norm")
     n_words = F.when(norm == "", 0).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) - 1)
     based = any_of(norm, [f" {p} " for p, _ in BASE])
@@ -92,17 +95,18 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     gated = any_of(norm, NEEDS)
     rows = rows.withColumns({"n_words": n_words.cast("long"), "_base": base, "_found": F.when(gated, resolve(detections(norm)))})
     every = F.coalesce(F.flatten(F.transform("_base", lambda b: b["starts"])), F.array().cast("array<bigint>"))
-    names = F.coalesce(F.transform(F.filter("_base", lambda b: F.size(b["starts"]) > 0), lambda b: b["label"]), F.array().cast("array<string>"))
+    labels = F.coalesce(F.transform(F.filter("_base", lambda b: F.size(b["starts"]) > 0), lambda b: b["label"]), F.array().cast("array<string>"))
     found = F.coalesce(F.col("_found.labels"), F.array().cast("array<string>"))
-    rows = rows.withColumns({"_every": every, "_names": names})
-    return rows.withColumns({
+    rows = rows.withColumns({"_every": every, "_names": labels})
+    out = rows.withColumns({
         "n_base": F.size("_every").cast("long"),
         "first_word": F.array_min("_every"),
         "last_word": F.array_max("_every"),
         "base_labels": F.array_join(F.array_sort(F.array_distinct("_names")), ","),
         "labels": F.array_join(F.array_sort(F.array_union(F.col("_names"), found)), ","),
         "score": F.greatest(F.when(F.size("_names") > 0, 0.95).otherwise(0.0), F.coalesce(F.col("_found.score"), F.lit(0.0))),
-    }).drop("_norm", "_base", "_found", "_every", "_names")
+    })
+    return out.select(*[F.col(a).alias(c) for a, c in zip(apart, names, strict=True) if c not in OWN], *OWN)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,15 +41,19 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with the smallest (id, place) stays. Kept text: the units that stay, joined by what stood before each of them in the
     original (none before the first). Null ids rank first; rows with the same id and text are one document given twice,
     and get the same result; a null text has no units and kept is null, an empty one is one blank unit that stays; an
-    empty table gives an empty one. A long text is held whole in its task. Columns called like ours are replaced.
+    empty table gives an empty one. A long text is held whole in its task. Columns called like ours
+    are replaced, all others are kept, whatever their names.
 
     Groups are counted and their first member found before and in the shuffle (partial aggregates), so one unit that
     fills a third of the table costs no task more than others; only groups of two and more are joined back, by a join of
     two tables, so that adaptive execution deals a hot unit's occurrences to several tasks.
     """
-    docs = lean(docs).drop(*[c for c in [*OWN, "_h", "_gone"] if c in docs.columns])
+    given = docs.drop(*[c for c in OWN if c in docs.columns])
+    names = given.columns
+    apart = [f"_doc{k}" for k in range(len(names))]  # so that no name clashes with one of ours
+    id_col, text_col = apart[names.index(id_col)], apart[names.index(text_col)]
+    docs = lean(given).toDF(*apart)
     key = docs.withColumn("_h", F.xxhash64(text_col))
-    names = key.columns
 
     def digests(batches):
         for b in batches:
@@ -71,7 +75,7 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = stored(found.join(groups, "digest").filter(place != F.col("first")).select("id", "h", "unit"), "later")
     gone = later.groupBy("id", "h").agg(F.collect_set("unit").alias("_gone"))
     same = F.col(f"d.{id_col}").eqNullSafe(F.col("g.id")) & (F.col("d._h") == F.col("g.h"))
-    joined = key.alias("d").join(gone.alias("g"), same, "left").select(*[F.col(f"d.`{c}`") for c in names], "g._gone").drop("_h")
+    joined = key.alias("d").join(gone.alias("g"), same, "left").select(*[F.col(f"d.`{c}`") for c in apart], "g._gone")
 
     base = docs.columns
     at = base.index(text_col)
@@ -95,7 +99,7 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     more = [T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", spans), T.StructField("kept", T.StringType())]
-    return joined.mapInArrow(cut, T.StructType([*docs.schema.fields, *more]))
+    return joined.mapInArrow(cut, T.StructType([*docs.schema.fields, *more])).toDF(*names, *OWN)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
