@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import safe
 from . import ranked
 
 
@@ -46,6 +49,30 @@ def suspicious(rows: DataFrame, keys: list[str], x: str, e: str, edge: float = 0
     return out.withColumn("edge_core", ratio).withColumn("suspicious", (F.col("n") >= 10) & F.coalesce(bad, F.lit(False)))
 
 
+#: Fewest points of a curve whose spectrum counts, and the ratio beyond which it has structure.
+LEAST_POINTS, STRUCTURED = 10, 8.0
+
+
+def spectral_peaks(rows: DataFrame, keys: list[str], pos: str, e: str) -> DataFrame:
+    """(keys, n, peak_ratio, structured): the highest bin of the spectrum of a curve's residuals, in order of pos, over the
+    median bin. Residuals that are no finite number are left out; curves of fewer than LEAST_POINTS have none. A curve is one
+    row in its task, its points put in order there."""
+    ok = rows.select(*keys, F.col(pos).alias("_x"), F.col(e).cast("double").alias("_e")).filter(safe.is_finite(F.col("_e")))
+    curves = ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("_x", "_e"))).alias("_p"))
+
+    @F.arrow_udf("double")
+    def ratio(values: pa.Array) -> pa.Array:
+        out = []
+        for v in values:
+            a = np.asarray(v.values.to_numpy(zero_copy_only=False), float)
+            size = np.abs(np.fft.rfft(a - a.mean())[1:]) if len(a) >= LEAST_POINTS else []
+            out.append(float(np.max(size) / max(np.median(size), 1e-12)) if len(size) else None)
+        return pa.array(out, pa.float64())
+
+    out = curves.withColumn("peak_ratio", ratio(F.transform("_p", lambda p: p["_e"])))
+    return out.select(*keys, "n", "peak_ratio", F.coalesce(F.col("peak_ratio") > STRUCTURED, F.lit(False)).alias("structured"))
+
+
 def entropy_margin(rows: DataFrame, keys: list[str], name: str, weight: str) -> DataFrame:
     """Per group of weighted names: normalised entropy, lead of the first over the second, and uncertain."""
     w = Window.partitionBy(*keys)
@@ -64,7 +91,7 @@ def stability(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Quartiles, their range, population deviation and the mean of the worst tenth."""
     ranks, quantiles = ranked.quantile_ranks({"q25": 0.25, "median": 0.5, "q75": 0.75})
     worst = F.greatest(F.floor(F.col("_n") / 10), F.lit(1))
-    cuts = ranked.at_ranks(rows, keys, value, {**ranks, "_worst": worst}).withColumn("_k", worst)
+    cuts = ranked.cut(ranked.at_ranks(rows, keys, value, {**ranks, "_worst": worst}).withColumn("_k", worst))
     v = F.col(value).cast("double")
     below = v < F.col("_worst")
     total = F.coalesce(F.sum(F.when(below, v)), F.lit(0.0)) + (F.first("_k") - F.count_if(below)) * F.first("_worst")

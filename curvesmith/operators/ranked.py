@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import cut
+
 BINS = 4096
 
 
@@ -24,30 +26,37 @@ def joined(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> D
     return a.alias("a").join(b.alias("b"), same(a, b, keys), how).select("a.*", *more)
 
 
-def at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """(keys, _n, names): the values at the given ranks (from 1; expressions over _n, the group's number of values).
-    Null values have no rank. A group whose values all lie in one bin, as one of few different values, is cut down to
-    its different values first, so ties cost nothing."""
-    v = F.col(value).cast("double")
-    counted = rows.filter(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    span = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+def _held(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """(keys, _n, a struct for each rank): the value there (`at`) and how many values of the group are smaller (`less`).
+
+    Three passes over the rows, none of which shuffles them: the span of each group, how many values fall into each of BINS
+    parts of it (both combined before the shuffle), and the values of the parts that hold a rank, counted by value. What the
+    first two find, a row and at most two parts a rank for each group, is stored, so nothing is computed twice."""
+    own = rows.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    span = cut(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
     width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    placed = joined(counted, span, keys).withColumn("_bin", F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / width * BINS), F.lit(0)))
-    bins = placed.groupBy(*keys, "_bin", "_n").agg(F.sum("_c").alias("_c"))
+    placed = joined(own, span, keys).withColumn("_bin", F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / width * BINS), F.lit(0)))
+    bins = placed.groupBy(*keys, "_bin", "_n").agg(F.count(F.lit(1)).alias("_c"))
     up = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("_before", F.coalesce(F.sum("_c").over(up), F.lit(0)))
     holds = F.lit(False)
     for rank in ranks.values():
         holds = holds | ((rank > F.col("_before")) & (rank <= F.col("_before") + F.col("_c")))
-    chosen = bins.filter(holds).select(*keys, "_bin", "_before")
-    near = joined(placed, chosen, [*keys, "_bin"])
-    w = Window.partitionBy(*keys, "_bin").orderBy("_v")
-    upto = F.col("_before") + F.sum("_c").over(w)
+    chosen = cut(bins.filter(holds).select(*keys, "_bin", "_before"))
+    near = joined(placed, chosen, [*keys, "_bin"]).groupBy(*keys, "_bin", "_n", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy("_v"))
     near = near.withColumn("_upto", upto)
-    at = [F.max(F.when((rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_c")), F.col("_v"))).alias(name) for name, rank in ranks.items()]
+    less = F.col("_upto") - F.col("_c")
+    at = [F.max(F.when((rank <= F.col("_upto")) & (rank > less), F.struct(F.col("_v").alias("at"), less.alias("less")))).alias(name) for name, rank in ranks.items()]
     return near.groupBy(*keys, "_n").agg(*at)
 
 
+def at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """(keys, _n, names): the values at the given ranks (from 1; expressions over _n, the group's number of values).
+    Null values have no rank. Equal values are counted before they are ordered, so ties cost nothing."""
+    return _held(rows, keys, value, ranks).select(*keys, "_n", *[F.col(f"{name}.at").alias(name) for name in ranks])
+
+
 def quantile_ranks(shares: dict[str, float]) -> tuple[dict[str, Column], dict[str, Column]]:
     """Ranks that interpolated quantiles need, and the quantiles from the values there."""
     ranks, out = {}, {}
@@ -64,14 +73,14 @@ def ends(rows: DataFrame, keys: list[str], value: str, tie: list[str], k: Column
     """Adds low and high: whether a row is among the first or last k (over _n) of its group in order of (value, tie). Rows
     beyond the values at those ranks are told by comparison; only rows that share one of them are sorted. A null value
     is at neither end."""
-    n = F.col("_n")
-    cuts = at_ranks(rows, keys, value, {"_low": k, "_high": n - k + 1}).withColumn("_k", k)
-    v = F.col(value).cast("double")
+    n, v = F.col("_n"), F.col(value).cast("double")
+    found = _held(rows, keys, value, {"_low": k, "_high": n - k + 1})
+    # the rows above the value at the upper rank: those from it on, without those that share it
+    cuts = cut(found.select(*keys, "_n", k.alias("_k"), F.col("_low.at").alias("_low"), F.col("_low.less").alias("_less"), F.col("_high.at").alias("_high"), F.col("_high.less").alias("_under")))
     placed = joined(rows, cuts, keys, "left")
-    beyond = joined(rows, cuts, keys).groupBy(*keys).agg(F.count_if(v < F.col("_low")).alias("_less"), F.count_if(v > F.col("_high")).alias("_more"))
     on = F.coalesce((v == F.col("_low")) | (v == F.col("_high")), F.lit(False))
     w = Window.partitionBy(*keys, v)
-    ties = joined(placed.filter(on), beyond, keys)
+    ties = placed.filter(on).withColumn("_more", F.col("_n") - F.col("_under") - F.count(F.lit(1)).over(w))
     first, last = F.row_number().over(w.orderBy(*tie)), F.row_number().over(w.orderBy(*[F.desc(t) for t in tie]))
     ties = ties.withColumns({"_first": first, "_last": last})
     ties = ties.withColumn("low", (v < F.col("_low")) | ((v == F.col("_low")) & (F.col("_first") <= F.col("_k") - F.col("_less"))))

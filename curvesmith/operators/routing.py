@@ -153,3 +153,21 @@ def interpolated(points: DataFrame, knots: DataFrame, keys: list[str], x: str, y
     slope = (F.col("_b.y") - F.col("_a.y")) / F.nullif(F.col("_b.x") - F.col("_a.x"), F.lit(0.0))
     value = F.when(F.col("_a").isNull(), F.col("_b.y")).when(F.col("_b").isNull(), F.col("_a.y")).otherwise(F.coalesce(F.col("_a.y") + slope * (F.col(x) - F.col("_a.x")), F.col("_a.y")))
     return out.select(*keys, x, value.alias(y))
+
+
+#: Fixed value: the lead of the likeliest operator that earns full trust.
+FULL_MARGIN = 0.35
+
+
+def prior_trust(entropy: Column, margin: Column, uncertain: Column) -> Column:
+    """How far a classifier's priors are believed, from 0 to 1: the lesser of what its entropy and its margin allow (what is
+    unknown allows all), half of that if it calls itself uncertain."""
+    within = lambda v: F.when(is_finite(v), F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))).otherwise(1.0)
+    least = F.least(within(F.lit(1.0) - entropy), within(margin / F.lit(FULL_MARGIN)))
+    return least * F.when(sure(uncertain), 0.5).otherwise(1.0)
+
+
+def blended_prior(prior: Column, trust: Column, n: Column) -> Column:
+    """A share of n that sum to 1, drawn towards an even share by what trust lacks."""
+    t = F.least(F.greatest(trust, F.lit(0.0)), F.lit(1.0))
+    return t * prior + (F.lit(1.0) - t) / n

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import graph
 from ..functions.safe import rounded as r
-from ..operators import batched, cleanup, slices
+from ..operators import batched, cleanup, diagnostics, routing, slices
 from ..sources.tables import sales, table
 from .fitting import S, rd
 
@@ -94,4 +95,38 @@ def graph_cleanup(spark, d):
 #: The target's own weights, on the inputs and the first of the equal nodes, and the noise that no weight takes up.
 SQL["graph_cleanup"] = f"SELECT n_nationkey, 3 AS n_nodes, 2.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 3.0::DOUBLE AS w2, -1.0::DOUBLE AS bias, {rd('(SELECT avg(pow(x1 - 0.05::DOUBLE, 2)) FROM (' + S + '))', 6)} AS mse FROM nation"
 
+
+def trusted_priors(spark, d):
+    """Each user's shares of event types as priors, blended with even shares by what their entropy and lead deserve."""
+    n = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    sure = diagnostics.entropy_margin(n, ["user_id"], "event_type", "n")
+    trust = sure.withColumn("trust", routing.prior_trust(F.col("entropy"), F.col("margin"), F.col("uncertain")))
+    w = Window.partitionBy("user_id")
+    own = n.withColumns({"prior": F.col("n") / F.sum("n").over(w), "k": F.count(F.lit(1)).over(w)})
+    prior = routing.blended_prior(F.col("prior"), F.col("trust"), F.col("k"))
+    return own.join(trust, "user_id").select("user_id", "event_type", r(F.col("trust"), 6).alias("trust"), r(prior, 6).alias("prior"))
+
+
+SQL["trusted_priors"] = f"""
+WITH n AS (SELECT user_id, event_type, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2),
+p AS (SELECT *, n / sum(n) OVER (PARTITION BY user_id) AS p, count(*) OVER (PARTITION BY user_id) AS k, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS place FROM n),
+e AS (SELECT user_id, CASE WHEN max(k) > 1 THEN sum(-p * ln(p + 1e-12)) / ln(max(k)::DOUBLE) ELSE 0 END AS entropy, max(p) FILTER (place = 1) - coalesce(max(p) FILTER (place = 2), 0) AS margin FROM p GROUP BY 1),
+t AS (SELECT user_id, least(least(greatest(1 - entropy, 0), 1), least(greatest(margin / 0.35::DOUBLE, 0), 1)) * CASE WHEN entropy > 0.8 OR margin < 0.1 THEN 0.5 ELSE 1 END AS trust FROM e)
+SELECT user_id, event_type, {rd('trust', 6)} AS trust, {rd('trust * p + (1 - trust) / k', 6)} AS prior FROM p JOIN t USING (user_id)"""
+
+
+def residual_spectra(spark, d):
+    """How far the strongest frequency of each user's values stands out of the spectrum, by order of events."""
+    e = table(spark, d, "events").select("user_id", "event_id", "value")
+    out = diagnostics.spectral_peaks(e, ["user_id"], "event_id", "value")
+    return out.select("user_id", "n", r(F.col("peak_ratio"), 4).alias("peak_ratio"), "structured")
+
+
+SQL["residual_spectra"] = f"""
+WITH e AS (SELECT user_id, value - avg(value) OVER (PARTITION BY user_id) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+m AS (SELECT user_id, n, m, sqrt(pow(sum(v * cos(2 * pi() * ((k * m) % n) / n)), 2) + pow(sum(v * sin(2 * pi() * ((k * m) % n) / n)), 2)) AS size
+  FROM (SELECT *, unnest(range(1, n // 2 + 1)) AS m FROM e WHERE n >= 10) GROUP BY ALL),
+p AS (SELECT user_id, max(size) / greatest(median(size), 1e-12) AS ratio FROM m GROUP BY 1)
+SELECT user_id, n, {rd('ratio')} AS peak_ratio, coalesce(ratio > 8, false) AS structured FROM (SELECT DISTINCT user_id, n FROM e) LEFT JOIN p USING (user_id)"""
+
 QUERIES = {n: f for n, f in list(globals().items()) if n in SQL}

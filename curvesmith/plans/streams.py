@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import sql
+from ..functions import sql, tables
 from ..functions.safe import rounded as r
 from ..operators import scorer
 from ..sources import shared
 from ..sources.tables import sales, table
 from ..streaming import trace
+from .fitting import SQL as FITTING
 from .fitting import S, _sc, _scored, rd
 
 SQL: dict[str, str] = {}
@@ -72,4 +73,14 @@ def sql_functions(spark, d):
 
 SQL["sql_functions"] = f"SELECT c_custkey, {rd('sign(c_acctbal / 1000.0::DOUBLE) * pow(abs(c_acctbal / 1000.0::DOUBLE) + 1e-10, 3.0)')} AS cube, {rd('greatest(least(1000.0::DOUBLE / (abs(c_acctbal) + 1e-6) * sign(c_acctbal), 1e6), -1e6)')} AS inverse FROM customer"
 
+def basis_long_sql(spark, d):
+    """The long form of six terms of every part, by a table function called from SQL."""
+    tables.register(spark)
+    v = table(spark, d, "part").select("p_partkey", (F.col("p_size") / F.lit(10.0)).alias("s"), (F.col("p_retailprice") / F.lit(1000.0)).alias("v"))
+    v.createOrReplaceTempView("curvesmith_part")
+    return spark.sql("SELECT p_partkey, term_id, name, floor(value * 1000000D + 0.5D) / 1000000D AS value FROM long_basis(TABLE(curvesmith_part), 'p_partkey', '1; s; v; s*v; s^2; v^2')")
+
+
+SQL["basis_long_sql"] = FITTING["basis_long"]
+
 QUERIES = {n: f for n, f in list(globals().items()) if n in SQL}
