@@ -107,14 +107,20 @@ def generated(rng: np.random.Generator, depth: int = 4) -> Node:
     return Node({"sum": "+", "product": "*", "quotient": "/"}[kind], (sub(), sub()))
 
 
-def formula_corpus(spark, n: int, seed: int = 0, depth: int = 4) -> DataFrame:
-    """(id, formula): n generated formulas; each depends on its id and the seed only, so partitions have no say."""
+def formulas_for(rows: DataFrame, key: str, seed: int = 0, depth: int = 4) -> DataFrame:
+    """(key, formula): a generated formula for each row; it depends on the key and the seed only, so partitions have no say. A
+    null key counts as 0."""
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "formula": [show(generated(np.random.default_rng([seed, int(i)]), depth)) for i in pdf["id"]]})
+            yield pd.DataFrame({key: pdf[key], "formula": [show(generated(np.random.default_rng([seed, 0 if pd.isna(i) else int(i)]), depth)) for i in pdf[key]]})
+
+    return rows.select(F.col(key).cast("long").alias(key)).mapInPandas(run, f"{key} bigint, formula string")
 
-    return spark.range(n).mapInPandas(run, "id bigint, formula string")
+
+def formula_corpus(spark, n: int, seed: int = 0, depth: int = 4) -> DataFrame:
+    """(id, formula): n generated formulas."""
+    return formulas_for(spark.range(n), "id", seed, depth)
 
 
 #: Noise profiles, and the share of curves up to and with each.

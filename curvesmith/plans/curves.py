@@ -222,25 +222,31 @@ SQL["generation_stats"] = "SELECT *, min(best) OVER (PARTITION BY user_id ORDER
 
 
 def schedule(spark, d):
-    """Cosine temperature and decaying entropy weight over 50 generations."""
-    t = F.col("id") / F.lit(49.0)
+    """Cosine temperature and decaying entropy weight of 50 generations, at the generation that each part's size stands for."""
+    t = (F.col("p_size") - 1) / F.lit(49.0)
     import math
 
-    return spark.range(50).select(
-        F.col("id").cast("int").alias("generation"), r(F.lit(0.1) + F.lit(0.45) * (F.lit(1.0) + F.cos(F.lit(math.pi) * t)), 6).alias("temperature"),
+    return table(spark, d, "part").select(
+        "p_partkey", r(F.lit(0.1) + F.lit(0.45) * (F.lit(1.0) + F.cos(F.lit(math.pi) * t)), 6).alias("temperature"),
         r(F.lit(0.1) * F.pow(F.lit(0.01), t), 6).alias("entropy_weight"),
     )
 
 
-SQL["schedule"] = f"SELECT g::INT AS generation, {rd('0.1::DOUBLE + 0.45::DOUBLE * (1.0::DOUBLE + cos(pi() * (g / 49.0::DOUBLE)))', 6)} AS temperature, {rd('0.1::DOUBLE * pow(0.01::DOUBLE, g / 49.0::DOUBLE)', 6)} AS entropy_weight FROM (SELECT unnest(range(50)) AS g)"
+SQL["schedule"] = f"SELECT p_partkey, {rd('0.1::DOUBLE + 0.45::DOUBLE * (1.0::DOUBLE + cos(pi() * ((p_size - 1) / 49.0::DOUBLE)))', 6)} AS temperature, {rd('0.1::DOUBLE * pow(0.01::DOUBLE, (p_size - 1) / 49.0::DOUBLE)', 6)} AS entropy_weight FROM part"
 
 
 def synthetic_samples(spark, d):
-    out = synthetic.formula_samples(spark, "x^2 - 3*x + sin(x)", -3.0, 3.0, 301)
-    return out.select("row_id", r(F.col("x"), 6).alias("x"), r(F.col("y"), 6).alias("y"))
+    """A curve of 31 places for each supplier, over a domain and with a parameter of its own."""
+    k = F.col("s_suppkey") % 7
+    rows = table(spark, d, "supplier").select("s_suppkey", (k / F.lit(2.0)).alias("a"))
+    out = synthetic.curve_samples(rows, "x^2 - a*x + sin(x) + 1/(x + 3)", F.lit(-3.0), F.lit(3.0) + F.col("a"), 31)
+    return out.select("s_suppkey", "pos", r(F.col("x"), 6).alias("x"), r(F.col("y"), 6).alias("y"))
 
 
-SQL["synthetic_samples"] = f"SELECT g::BIGINT AS row_id, {rd('x', 6)} AS x, {rd('pow(x, 2.0) + -(3.0::DOUBLE * x) + sin(x)', 6)} AS y FROM (SELECT g, (-3.0)::DOUBLE + g * {6.0 / 300!r}::DOUBLE AS x FROM (SELECT unnest(range(301)) AS g))"
+SQL["synthetic_samples"] = f"""
+WITH s AS (SELECT s_suppkey, s_suppkey % 7 / 2.0::DOUBLE AS a, unnest(range(31)) AS pos FROM supplier),
+x AS (SELECT *, -3.0::DOUBLE + pos * ((3.0::DOUBLE + a - -3.0::DOUBLE) / 30.0::DOUBLE) AS x FROM s)
+SELECT s_suppkey, pos::INT AS pos, {rd('x', 6)} AS x, {rd('pow(x, 2.0) - a * x + sin(x) + 1 / (x + 3)', 6)} AS y FROM x WHERE x + 3 <> 0"""
 
 
 def curve_feature_vectors(spark, d):

@@ -196,7 +196,8 @@ SELECT template, {rd('b / nullif(a, 0)', 6)} AS slope, {rd('1 - (c - b / nullif(
 
 
 def formula_corpus(spark, d):
-    return refine.formula_corpus(spark, 500, 1)
+    """A generated formula for every part."""
+    return refine.formulas_for(table(spark, d, "part"), "p_partkey", 1)
 
 
 def noise_profiles(spark, d):
@@ -220,12 +221,15 @@ SELECT profile, count(DISTINCT user_id) AS curves, {rd('avg(abs(change))')} AS m
 
 
 def omega_refine(spark, d):
-    curves = spark.range(8).select("id", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("k")).select("id", (F.col("k") / F.lit(20.0)).alias("x"))
-    return refine.refine_omega(curves.withColumn("y", 2.0 * F.sin((F.lit(0.6) + F.col("id") * 0.4) * F.col("x") + 0.3) + 1.0), "id", "x", "y").select("id", F.round("omega", 4).alias("omega"), F.round("mse", 8).alias("mse"))
+    """The frequency of a planted wave at the uneven times of each user's events; a user is a curve."""
+    x = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)") / F.lit(864e8 * 1.5)
+    e = table(spark, d, "events").select("user_id", x.alias("x"))
+    curves = e.withColumn("y", 2.0 * F.sin((F.lit(0.6) + (F.col("user_id") % 8) * 0.4) * F.col("x") + 0.3) + 1.0)
+    return refine.refine_omega(curves, "user_id", "x", "y").select("user_id", F.round("omega", 4).alias("omega"), F.round("mse", 8).alias("mse"))
 
 
 #: The frequencies that the curves were made with.
-SQL["omega_refine"] = "SELECT id, floor((0.6::DOUBLE + id * 0.4::DOUBLE) * 10000.0 + 0.5) / 10000.0 AS omega, 0.0::DOUBLE AS mse FROM (SELECT unnest(range(8)) AS id)"
+SQL["omega_refine"] = "SELECT user_id, floor((0.6::DOUBLE + user_id % 8 * 0.4::DOUBLE) * 10000.0 + 0.5) / 10000.0 AS omega, 0.0::DOUBLE AS mse FROM (SELECT DISTINCT user_id FROM events)"
 
 
 def subset_selection(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr, safe
@@ -24,6 +24,17 @@ def formula_samples(spark: SparkSession, formula: str, lo: float, hi: float, n:
     return out
 
 
+def curve_samples(rows: DataFrame, formula: str, lo: Column, hi: Column, n: int = 300, name: str = "x") -> DataFrame:
+    """The rows n times, with pos, the input and y: a curve of the formula for each row, over the row's own domain. Other
+    columns of a row can stand in the formula as parameters; places where it is no finite number are left out."""
+    step = (hi - lo) / F.lit(float(max(n - 1, 1)))
+    out = rows.select("*", lo.cast("double").alias("_lo"), step.alias("_step"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"))
+    out = out.withColumn(name, F.col("_lo") + F.col("pos") * F.col("_step")).drop("_lo", "_step")
+    tree = expr.parse(formula)
+    out = out.withColumn("y", expr.to_column(tree, {v: F.col(v).cast("double") for v in expr.variables(tree)}, strict=True))
+    return out.filter(safe.is_finite(F.col("y")))
+
+
 def uniform_samples(spark: SparkSession, formula: str, ranges: dict[str, tuple[float, float]], n: int, seed: int = 0) -> DataFrame:
     """(row_id, inputs, y), inputs drawn evenly from a digest of row, input and seed, so partitioning has no say."""
     rows = spark.range(n).withColumnRenamed("id", "row_id")
