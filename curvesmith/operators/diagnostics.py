@@ -110,3 +110,16 @@ def threshold_f1(rows: DataFrame, label: str, score: str, thresholds: list[float
     fn = F.col("pos") - F.col("tp")
     f1 = 2 * F.col("tp") / F.nullif((2 * F.col("tp") + F.col("fp") + fn).cast("double"), F.lit(0.0))
     return long.select("threshold", "tp", "fp", fn.alias("fn"), F.coalesce(f1, F.lit(0.0)).alias("f1"))
+
+
+def best_threshold(rows: DataFrame, keys: list[str], label: str, score: str, thresholds: list[float]) -> DataFrame:
+    """(keys, threshold, f1, positive): for each class the threshold of greatest F1, the least of equals. The counts of all
+    thresholds come from one grouped pass, combined before the shuffle; null scores are below every threshold. A class
+    without a positive row has an F1 of 0 at the least threshold."""
+    hit = F.coalesce(F.col(label) == 1, F.lit(False))
+    over = [F.coalesce(F.col(score) >= F.lit(float(t)), F.lit(False)) for t in thresholds]
+    one = rows.groupBy(*keys).agg(F.count_if(hit).alias("positive"), *[c for i, o in enumerate(over) for c in (F.count_if(hit & o).alias(f"_t{i}"), F.count_if(o).alias(f"_o{i}"))])
+    f1 = lambda i: F.coalesce(2 * F.col(f"_t{i}") / F.nullif((F.col(f"_o{i}") + F.col("positive")).cast("double"), F.lit(0.0)), F.lit(0.0))
+    best = F.array_max(F.array(*[F.struct(f1(i).alias("f1"), F.lit(-float(t)).alias("back")) for i, t in enumerate(thresholds)]))
+    out = one.withColumn("_b", best)
+    return out.select(*keys, (-F.col("_b.back")).alias("threshold"), F.col("_b.f1").alias("f1"), "positive")

@@ -43,8 +43,9 @@ def peaks(v: np.ndarray, step: float, top: int) -> list[float]:
 
 def frequencies(curves: DataFrame, keys: list[str], x: str, y: str, top: int = 3, size: int = GRID) -> DataFrame:
     """(keys, n, omegas: array of at most `top` angular frequencies) of every curve. Of the points between two places of
-    the grid only the first and the last matter to it, and they come from a grouped minimum and maximum: a curve of any
-    length leaves its executors as at most `size` cells, unsorted and combined before the shuffle. Points that are no finite
+    the grid only the first and the last matter to it, and they come from a grouped minimum and maximum of (x, y), combined
+    before the shuffle (within partitions Spark sorts for that): a curve of any length leaves its executors as at most `size`
+    cells. Points that are no finite
     numbers don't count; of points at the same x the least and the greatest y stand."""
     v = [F.col(c).cast("double") for c in (x, y)]
     points = curves.select(*keys, v[0].alias("_x"), v[1].alias("_y")).filter(safe.is_finite(F.col("_x")) & safe.is_finite(F.col("_y")))

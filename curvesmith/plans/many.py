@@ -12,6 +12,7 @@ from ..sources.tables import sales, table
 from .fitting import S, rd
 
 SQL: dict[str, str] = {}
+THRESHOLDS = [round(0.05 * k, 2) for k in range(1, 20)]
 TIE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
@@ -129,4 +130,19 @@ m AS (SELECT user_id, n, m, sqrt(pow(sum(v * cos(2 * pi() * ((k * m) % n) / n)),
 p AS (SELECT user_id, max(size) / greatest(median(size), 1e-12) AS ratio FROM m GROUP BY 1)
 SELECT user_id, n, {rd('ratio')} AS peak_ratio, coalesce(ratio > 8, false) AS structured FROM (SELECT DISTINCT user_id, n FROM e) LEFT JOIN p USING (user_id)"""
 
+
+def best_thresholds(spark, d):
+    """For each source of documents the threshold of their length score that tells quality best."""
+    docs, labels = table(spark, d, "documents").select("doc_id", "source", "n_chars"), table(spark, d, "labels").select("doc_id", "quality")
+    rows = docs.join(labels, "doc_id").withColumn("score", F.least(F.col("n_chars") / F.lit(10000.0), F.lit(1.0)))
+    out = diagnostics.best_threshold(rows, ["source"], "quality", "score", THRESHOLDS)
+    return out.select("source", "threshold", r(F.col("f1"), 6).alias("f1"), "positive")
+
+
+SQL["best_thresholds"] = f"""
+WITH s AS (SELECT source, quality, least(n_chars / 10000.0::DOUBLE, 1.0::DOUBLE) AS score FROM documents JOIN labels USING (doc_id)), t AS (SELECT unnest({THRESHOLDS!r}::DOUBLE[]) AS threshold),
+c AS (SELECT source, threshold, count(*) FILTER (quality = 1 AND score >= threshold) AS tp, count(*) FILTER (score >= threshold) AS over, count(*) FILTER (quality = 1) AS positive FROM s, t GROUP BY ALL),
+f AS (SELECT *, coalesce(2 * tp / nullif((over + positive)::DOUBLE, 0), 0) AS f1 FROM c)
+SELECT source, arg_max(threshold, (f1, -threshold)) AS threshold, {rd('max(f1)', 6)} AS f1, max(positive) AS positive FROM f GROUP BY 1"""
+
 QUERIES = {n: f for n, f in list(globals().items()) if n in SQL}

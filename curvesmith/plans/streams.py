@@ -64,6 +64,23 @@ WITH s AS (SELECT 6.0::DOUBLE * score - 3.0::DOUBLE AS z, quality FROM ({_sc})),
 SELECT temperature, {rd('avg(greatest(z / temperature, 0) + ln(1.0::DOUBLE + exp(-abs(z / temperature))) - quality * (z / temperature))', 6)} AS nll FROM s, t GROUP BY 1"""
 
 
+def temperature_fit(spark, d):
+    """The temperature of least log loss of the documents' scores, a pass a step."""
+    rows = _scored(spark, d).withColumn("logit", F.lit(6.0) * F.col("score") - 3.0)
+    t, nll, n = scorer.fit_temperature(rows, "logit", "quality")
+    return spark.createDataFrame([(t, nll, n)], "temperature double, nll double, n long").select(r(F.col("temperature"), 3).alias("temperature"), r(F.col("nll"), 6).alias("nll"), "n")
+
+
+#: Bisection of the loss's derivative by the inverse of the temperature.
+SQL["temperature_fit"] = f"""
+WITH RECURSIVE s AS (SELECT 6.0::DOUBLE * score - 3.0::DOUBLE AS z, quality AS y FROM ({_sc})),
+b AS (SELECT 0 AS k, 0.01::DOUBLE AS lo, 100.0::DOUBLE AS hi UNION ALL
+  SELECT k + 1, CASE WHEN g < 0 THEN sqrt(lo * hi) ELSE lo END, CASE WHEN g < 0 THEN hi ELSE sqrt(lo * hi) END
+  FROM (SELECT k, lo, hi, (SELECT avg((1 / (1 + exp(-z * sqrt(lo * hi))) - y) * z) FROM s) AS g FROM b WHERE k < 60)),
+t AS (SELECT 1 / hi AS t FROM b WHERE k = 60)
+SELECT {rd('t', 3)} AS temperature, (SELECT {rd('avg(greatest(z / t, 0) + ln(1.0::DOUBLE + exp(-abs(z / t))) - y * (z / t))', 6)} FROM s, t) AS nll, (SELECT count(*) FROM s) AS n FROM t"""
+
+
 def sql_functions(spark, d):
     """The SQL functions of the numeric contract, called from SQL."""
     sql.register(spark)

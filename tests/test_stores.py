@@ -87,7 +87,7 @@ def test_table_function(spark):
     want = fitting.basis_long(spark, DATA)
     a, b = (sorted((r.p_partkey, r.term_id, r.name, r.value) for r in df.collect()) for df in (got, want))
     assert [x[:3] for x in a] == [x[:3] for x in b] and np.allclose([x[3] for x in a], [x[3] for x in b], atol=1e-6)
-    for keys, terms, what in (("p_partkey", "s + z", "has no z"), ("nothing", "s", "has no nothing"), ("p_partkey", "s +", ""), ("p_partkey", " ", "constant string")):
+    for keys, terms, what in (("p_partkey", "s + z", "has no z"), ("nothing", "s", "has no nothing"), ("p_partkey", "s +", "unexpected"), ("p_partkey", " ", "constant string")):
         with pytest.raises(Exception, match=what):
             spark.sql(f"SELECT * FROM long_basis(TABLE(own_part), '{keys}', '{terms}')").collect()
     spark.createDataFrame([(1, None), (2, 3.0)], "k int, s double").createOrReplaceTempView("own_odd")
