@@ -244,7 +244,9 @@ def decode(coded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> D
         returned()
         return pa.array(out, pa.binary())
 
-    return _with(coded, "decoded", decoded(F.col(f"`{ids_col}`")))
+    # null becomes empty in the JVM; besides, a function of Python directly on encode()'s would have Spark encode twice
+    ids = F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>"))
+    return _with(coded, "decoded", decoded(ids))
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
