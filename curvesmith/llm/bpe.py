@@ -170,6 +170,18 @@ class Coder:
         return out
 
 
+def decoded_rows(c: Coder, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The bytes of rows of `sizes` ids each, DECODED ids a query. A longer row is decoded in pieces: tokens are whole bytes."""
+    pieces = np.maximum(-(-sizes // DECODED), 1)
+    last = np.cumsum(pieces) - 1
+    size = np.full(int(pieces.sum()), DECODED, np.int64)
+    size[last] = sizes - (pieces - 1) * DECODED
+    at, parts = np.append(0, np.cumsum(size)), []
+    for i, j in slices(at, DECODED):
+        parts += c.decode(ids[at[i] : at[j]], size[i:j])
+    return [parts[k] if n == 1 else b"".join(parts[k - n + 1 : k + 1]) for k, n in zip(last.tolist(), pieces.tolist(), strict=True)]
+
+
 _coders: dict[str, Coder] = {}
 
 
@@ -232,15 +244,13 @@ def decode(coded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> D
 
     @F.arrow_udf("binary")
     def decoded(ids: pa.Array) -> pa.Array:
-        c, out = coder(*sent.value), []
+        c = coder(*sent.value)
         sizes = np.nan_to_num(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False)).astype(np.int64)
         flat = ids.flatten()
         if flat.null_count:
             raise ValueError("an id is null")
         flat = flat.to_numpy()
-        at = np.append(0, np.cumsum(sizes))
-        for i, j in slices(at, DECODED):
-            out += c.decode(flat[at[i] : at[j]], sizes[i:j])
+        out = decoded_rows(c, flat, sizes)
         returned()
         return pa.array(out, pa.binary())
 

@@ -49,6 +49,16 @@ def test_boundaries():
         assert infill.boundaries(np.frombuffer(text.encode("utf-32-le"), np.uint32)).tolist() == want
 
 
+def test_long_rows_are_decoded_in_pieces(monkeypatch):
+    _, _, c, _ = whole_vocabulary()
+    monkeypatch.setattr(bpe, "DECODED", 5)
+    texts = ["", "some words of a text that takes more than five tokens", "a", "漢字の文"]
+    ids = [np.frombuffer(x, np.int32) for x in c.encode(texts)]
+    assert [len(x) > 5 for x in ids] == [False, True, False, True] or len(ids[1]) > 5
+    sizes = np.array([len(x) for x in ids])
+    assert bpe.decoded_rows(c, np.concatenate(ids), sizes) == [t.encode() for t in texts]
+
+
 def whole_vocabulary():
     import public_tokenizers as p
     import tiktoken
