@@ -25,10 +25,11 @@ def on_grid(x: np.ndarray, y: np.ndarray, size: int = GRID) -> np.ndarray:
 
 def peaks(v: np.ndarray, step: float, top: int) -> list[float]:
     """Angular frequencies of the highest peaks of even values `step` apart, strongest first. The values lose their mean
-    and fade out at both ends; a multiple of a stronger peak (within a twentieth) is its harmonic and left out."""
+    and fade out at both ends; a multiple of a stronger peak (within a twentieth) is its harmonic and left out. Bins are whole
+    numbers, so ratios of a whole number and just a twentieth are common: they are told by the same divisions as in SQL."""
     v = (v - v.mean()) * np.hanning(len(v))
     size = np.abs(np.fft.rfft(v, FINER * len(v)))
-    w = 2 * np.pi * np.fft.rfftfreq(FINER * len(v), step)
+    w = 2 * np.pi * np.arange(len(size)) / (FINER * len(v) * step)
     at = np.flatnonzero((size[1:-1] > size[:-2]) & (size[1:-1] >= size[2:])) + 1
     at = at[(w[at] > LOWEST) & (w[at] < HIGHEST) & (size[at] > LEAST_SHARE * size.max())]
     out: list[float] = []

@@ -142,6 +142,17 @@ def test_empty_table_has_no_fit(spark):
     assert m.formula == "0" and not m.stable and m.reason == "no_fit"
 
 
+def test_ratios_of_just_a_twentieth_are_told_as_in_sql():
+    k, found = np.arange(1024), set()
+    for step in np.linspace(0.03, 0.04, 60):
+        w = [2 * math.pi * m / (4096 * step) for m in (400, 820)]
+        apart = abs(w[1] / w[0] - 2) > 0.05  # 2.05 but for rounding
+        got = spectrum.peaks(np.sin(2 * np.pi * 400 / 4096 * k) + 0.5 * np.sin(2 * np.pi * 820 / 4096 * k), step, 2)
+        assert got == (w if apart else w[:1])
+        found.add(apart)
+    assert found == {False, True}
+
+
 def test_frequencies_of_uneven_curves(spark):
     rng = np.random.default_rng(5)
     rows = []
