@@ -133,9 +133,15 @@ def project(rows: DataFrame, terms: list[Term], y: Column, keep: tuple[str, ...]
 
 
 def long(rows: DataFrame, terms: list[Term], keys: list[str]) -> DataFrame:
-    """(keys, term_id, name, value)."""
-    cells = F.array(*[F.struct(F.lit(i).alias("term_id"), F.lit(t.name).alias("name"), t.column.alias("value")) for i, t in enumerate(terms)])
-    return rows.select(*keys, F.explode(cells).alias("t")).select(*keys, "t.*")
+    """(keys, term_id, name, value). The values of a row are one array, made apart from its stage as in project(): in one
+    method with what parts them a catalogue is more than Spark can compile, and each term is interpreted. (An outer explode,
+    as a plain one gets a filter that makes the array a second time.)"""
+    first, *rest = [t.column for t in terms]
+    apart = F.element_at(F.transform(F.array(first), lambda v: v), 1)
+    values = rows.select(*keys, F.array(apart, *rest).alias("_values"))
+    name = F.element_at(F.array(*[F.lit(t.name) for t in terms]), F.col("term_id") + 1)
+    cells = values.select(*keys, F.posexplode_outer("_values").alias("term_id", "value"))
+    return cells.select(*keys, "term_id", name.alias("name"), "value")
 
 
 def waves(x: str, column: Column, omega: float) -> list[Term]:

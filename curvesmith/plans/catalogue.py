@@ -23,10 +23,10 @@ def basis_catalogue(spark, d):
     """Mean and mean square of every term of the catalogue over `part`, from its long form."""
     rows = _rows(spark, d)
     terms = basis.catalog({c: F.col(c) for c in INPUTS}, omegas=OMEGAS, constants=("e", "pi"), damped_ratios=True)
-    long = basis.long(rows, terms, []).groupBy("term_id", "name").agg(F.avg("value").alias("m"), F.avg(F.col("value") * F.col("value")).alias("q"))
-    family = F.element_at(F.array(*[F.lit(t.family) for t in terms]), F.col("term_id") + 1)
+    long = basis.long(rows, terms, []).groupBy("term_id").agg(F.avg("value").alias("m"), F.avg(F.col("value") * F.col("value")).alias("q"))
+    name, family = (F.element_at(F.array(*[F.lit(v) for v in vs]), F.col("term_id") + 1) for vs in ([t.name for t in terms], [t.family for t in terms]))
     mean = r(F.col("m") / F.greatest(F.sqrt("q"), F.lit(1e-300)), 6)
-    return long.select(F.col("name").alias("term"), family.alias("family"), mean.alias("mean_over_rms"), F.format_string("%.5e", "q").cast("double").alias("mean_square"))
+    return long.select(name.alias("term"), family.alias("family"), mean.alias("mean_over_rms"), F.format_string("%.5e", "q").cast("double").alias("mean_square"))
 
 
 def _terms():

@@ -180,3 +180,14 @@ def test_projection_is_compiled_apart(spark):
 
 def test_registered():
     assert set(refinement.SQL) == set(refinement.QUERIES) and len(refinement.SQL) == 6
+
+
+def test_long_form_is_made_apart_from_its_stage(spark):
+    terms = basis.catalog({c: at() * F.lit(k) for k, c in ((1.0, "a"), (0.3, "b"), (0.1, "c"))}, constants=("e", "pi"), damped_ratios=True)
+    rows = line(spark, 40)
+    long = basis.long(rows, terms, ["id"])
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode(_values" in plan and "Filter" not in plan
+    got = {(r.id, r.term_id): (r.name, r.value) for r in long.collect()}
+    want = {(r.id, k): (terms[k].name, v) for r in rows.select("id", F.array(*[t.column for t in terms]).alias("b")).collect() for k, v in enumerate(r.b)}
+    assert got == want and long.columns == ["id", "term_id", "name", "value"]
