@@ -13,6 +13,8 @@ from . import ranked
 #: Cells of the grid at most, whatever the rows and inputs; what the driver sees is a row a cell.
 CELLS = 1 << 15
 POINTS = 256
+#: Pairs of a cell and a place that are broadcast at most.
+BROADCAST = 200_000
 
 
 def medians(rows: DataFrame, inputs: list[str]) -> dict[str, tuple[float, float, float]]:
@@ -37,11 +39,12 @@ def nearest(rows: DataFrame, inputs: list[str], at: np.ndarray, tie: list[str],
     """(place, distance, tie..., values...): the row nearest to each place (index into `at`, a place a row), of equally near
     ones the first by `tie`. Rows whose inputs are null or no number don't count.
 
-    Rows fall into a grid of at most CELLS cells. One pass takes the box of the rows of each cell; a place's nearest row is
+    Rows fall into a grid of at most CELLS cubic cells (what an input adds to a distance is its width, so cells as wide in one
+    input as in another hold near rows together). One pass takes the box of the rows of each cell; a place's nearest row is
     no farther than the farthest corner of some box, so only cells whose boxes come nearer than that can hold it. The second
-    pass joins rows to the places that need their cell (a table bounded by places times CELLS, and small as most cells are
-    far) and keeps the least by a grouped minimum, combined before the shuffle. Both passes are whole and neither compares
-    all rows with all places.
+    pass takes the least distance of each place from those cells, a grouped minimum of numbers; the third asks only cells whose
+    boxes come as near as that, keeps the rows that are as near, and of these the first. All passes are whole, none
+    compares all rows with all places, and none shuffles rows: cells that are asked are few, as most are far, and broadcast.
     """
     spark, k = rows.sparkSession, len(inputs)
     c = [F.col(i).cast("double") for i in inputs]
@@ -50,32 +53,51 @@ def nearest(rows: DataFrame, inputs: list[str], at: np.ndarray, tie: list[str],
     schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("distance", T.DoubleType()), *[rows.schema[x] for x in (*tie, *values)]])
     if span["lo0"] is None or not len(at):
         return spark.createDataFrame([], schema)
-    per = max(1, int(CELLS ** (1 / k)))
     lo = [span[f"lo{i}"] for i in range(k)]
-    width = [(span[f"hi{i}"] - span[f"lo{i}"]) / per or 1.0 for i in range(k)]
-    cell = F.lit(0)
+    width, per = cubes([span[f"hi{i}"] - lo[i] for i in range(k)])
+    cell = F.lit(0).cast("long")
     for i, x in enumerate(c):
-        cell = cell * per + F.least(F.floor((x - F.lit(lo[i])) / F.lit(width[i])), F.lit(per - 1))
-    placed = usable.withColumn("_cell", cell.cast("long"))
+        cell = cell * per[i] + F.least(F.floor((x - F.lit(lo[i])) / F.lit(width)), F.lit(per[i] - 1))
+    placed = usable.withColumn("_cell", cell)
     box = placed.groupBy("_cell").agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(c) for n, f in (("lo", F.min), ("hi", F.max))]).toPandas()
     low, high = (box[[f"{n}{i}" for i in range(k)]].to_numpy() for n in ("lo", "hi"))
-    ids, need = box["_cell"].to_numpy(), []
-    for p, q in enumerate(at):
-        near = (np.maximum(np.maximum(low - q, q - high), 0) ** 2).sum(1)
-        far = (np.maximum(np.abs(low - q), np.abs(high - q)) ** 2).sum(1)
-        need += [(int(ids[j]), p, *map(float, q)) for j in np.flatnonzero(near <= far.min() * (1 + 1e-9))]
-    asked = spark.createDataFrame(need, "_cell long, place long, " + ", ".join(f"_q{i} double" for i in range(k)))
-    # equality of cells; the few places a cell are broadcast as long as Spark's own threshold allows it
-    both = placed.join(asked, "_cell")
-    square = F.lit(0.0)
-    for i, x in enumerate(c):
-        d = x - F.col(f"_q{i}")
-        square = square + d * d
-    best = F.min(F.struct(square.alias("_d"), *tie, *values)).alias("b")
-    out = both.groupBy("place").agg(best)
+    ids = box["_cell"].to_numpy()
+
+    def asked(most: dict[int, float]) -> DataFrame:
+        """placed with the places that need a row's cell, and its squared distance to each: cells within the farthest corner of
+        some box, or within the squared distance that is known of a place."""
+        need = []
+        for p, q in enumerate(at):
+            near = (np.maximum(np.maximum(low - q, q - high), 0) ** 2).sum(1)
+            far = most.get(p, np.inf) if most else (np.maximum(np.abs(low - q), np.abs(high - q)) ** 2).sum(1).min()
+            need += [(int(ids[j]), p, float(far), *map(float, q)) for j in np.flatnonzero(near <= far * (1 + 1e-9))]
+        places = spark.createDataFrame(need, "_cell long, place long, _most double, " + ", ".join(f"_q{i} double" for i in range(k)))
+        both = placed.join(F.broadcast(places) if len(need) <= BROADCAST else places, "_cell")
+        square = F.lit(0.0)
+        for i, x in enumerate(c):
+            d = x - F.col(f"_q{i}")
+            square = square + d * d
+        return both.withColumn("_d", square)
+
+    least = {r["place"]: r["d"] for r in asked({}).groupBy("place").agg(F.min("_d").alias("d")).collect()}  # a row a place
+    best = F.min(F.struct("_d", *tie, *values)).alias("b")
+    out = asked(least).filter(F.col("_d") <= F.col("_most")).groupBy("place").agg(best)
     return out.select("place", F.sqrt("b._d").alias("distance"), *[F.col(f"b.{x}") for x in (*tie, *values)])
 
 
+def cubes(spans: list[float]) -> tuple[float, list[int]]:
+    """The width of cubic cells over given spans, and how many of them each span holds: CELLS of them at most in all."""
+    count = lambda w: [max(1, min(CELLS, int(np.ceil(s / w)))) for s in spans]
+    top = max(spans)
+    if not top > 0:
+        return 1.0, [1] * len(spans)
+    small, large = top / CELLS / 2, top
+    for _ in range(60):
+        mid = (small * large) ** 0.5
+        small, large = (small, mid) if np.prod(count(mid), dtype=float) <= CELLS else (mid, large)
+    return large, count(large)
+
+
 def slices(rows: DataFrame, inputs: list[str], y: str, tie: list[str], points: int = POINTS) -> DataFrame:
     """(input, pos, x, y, distance, tie...): a curve for each input, to take features of as of any curve."""
     span = medians(rows, inputs)

@@ -9,6 +9,7 @@ from curvesmith.functions import graph
 from curvesmith.operators import batched, cleanup, gram, slices
 from curvesmith.plans import many, streams
 from curvesmith.sources import shared
+from curvesmith.sources.tables import sales
 from curvesmith.streaming import trace
 
 
@@ -150,3 +151,12 @@ def test_folder_is_new_each_time(spark):
 
 def test_registered():
     assert set(many.SQL) == set(many.QUERIES) and set(streams.SQL) == set(streams.QUERIES)
+
+
+def test_slices_shuffle_no_rows(spark):
+    at = slices.places({"x0": (0.9, 105.0, 38.0), "x1": (0.0, 0.1, 0.05), "x2": (0.1, 5.0, 2.5)}, ["x0", "x1", "x2"])
+    plan = slices.nearest(sales(spark, DATA), ["x0", "x1", "x2"], at, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["y"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    for spans in ([104.0, 0.1, 4.9], [0.0, 0.0], [1e9, 1.0], [1.0], [1.0] * 7):
+        width, per = slices.cubes(spans)
+        assert np.prod(per) <= slices.CELLS and all(w * width >= s * (1 - 1e-9) or w == slices.CELLS for w, s in zip(per, spans, strict=True))
