@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,36 +38,101 @@ def levenberg(f, p: np.ndarray, rounds: int = 30, damp: float = 1e-2, h: float =
     return p, best / max(len(r), 1)
 
 
+#: Numbers that a step of many curves holds at once, about.
+HELD = 1 << 18
+
+
 def scanned(t: np.ndarray, v: np.ndarray, most: float = 50.0, keep: int = 3) -> list[float]:
     """The frequencies up to `most` at which a sine and a cosine with an offset leave the least of a curve, from a grid as
     fine as half of what its length can tell apart (and no finer frequency than its points can show)."""
     span = float(t.max() - t.min()) if len(t) > 1 else 0.0
-    if span <= 0:
+    if not 0 < span < math.inf:
         return []
     step = math.pi / (2 * span)
     grid = step * np.arange(1, int(min(most, math.pi * (len(t) - 1) / span) / step) + 1)
-    left = []
-    for w in grid:
-        a = np.column_stack([np.sin(w * t), np.cos(w * t), np.ones(len(t))])
-        r = v - a @ np.linalg.lstsq(a, v, rcond=None)[0]
-        left.append(float(r @ r))
-    return [float(w) for w in grid[np.argsort(left, kind="stable")[:keep]]]
+    left, block = [], max(1, HELD // len(t))
+    v = v - v.mean()
+    for k in range(0, len(grid), block):
+        at = grid[k : k + block, None] * t
+        s, c = np.sin(at), np.cos(at)
+        s, c = s - s.mean(1, keepdims=True), c - c.mean(1, keepdims=True)
+        ss, cc, sc, sv, cv = (s * s).sum(1), (c * c).sum(1), (s * c).sum(1), s @ v, c @ v
+        det = ss * cc - sc * sc
+        with np.errstate(all="ignore"):
+            both = (sv * sv * cc - 2 * sv * cv * sc + cv * cv * ss) / det
+            one = np.fmax(np.where(ss > 0, sv * sv / ss, 0.0), np.where(cc > 0, cv * cv / cc, 0.0))
+        left.append(v @ v - np.where(det > 1e-12 * ss * cc, both, one))
+    return [float(w) for w in grid[np.argsort(np.concatenate(left), kind="stable")[:keep]]] if left else []
+
+
+def sines(t: np.ndarray, v: np.ndarray, there: np.ndarray, p: np.ndarray, own: np.ndarray, rounds: int = 60, damp: float = 1e-2) -> tuple[np.ndarray, np.ndarray]:
+    """levenberg() for many sines at once: a row of t, v, there (whether a place holds a point), p (frequency, amplitude,
+    phase, offset) and own (its curve) each. Their parameters and squared errors. What a start leaves of a curve can be
+    nothing but rounding: then the curve's other starts end too."""
+
+    def residual(q, at):
+        turn = q[:, :1] * t[at] + q[:, 2:3]
+        return np.where(there[at], q[:, 1:2] * np.sin(turn) + q[:, 3:] - v[at], 0.0), turn
+
+    p, damp, at = p.copy(), np.full(len(p), damp), np.arange(len(p))
+    r = residual(p, at)[0]
+    best, exact = (r * r).sum(1), 1e-24 * np.where(there, v * v, 0.0).sum(1)
+    for _ in range(rounds):
+        r, turn = residual(p[at], at)
+        on, wave = there[at].astype(float), np.cos(turn) * p[at, 1:2]
+        j = np.stack([wave * t[at] * on, np.sin(turn) * on, wave * on, on], 2)
+        a, g = j.transpose(0, 2, 1) @ j, (r[:, None, :] @ j)[:, 0]
+        size = np.sqrt(np.maximum(np.einsum("pii->pi", a), 1e-12))
+        a = a / (size[:, :, None] * size[:, None, :]) + np.maximum(damp[at], 1e-12)[:, None, None] * np.eye(4)
+        new = p[at] - np.linalg.solve(a, (g / size)[..., None])[..., 0] / size
+        error = residual(new, at)[0]
+        error = (error * error).sum(1)
+        better = np.isfinite(error) & (error < best[at])
+        still = np.where(better, best[at] - error >= 1e-14 * np.maximum(best[at], 1e-300), damp[at] * 2 <= 1e12)
+        p[at[better]], best[at[better]] = new[better], error[better]
+        damp[at] = np.where(better, damp[at] / 2, damp[at] * 2)
+        at = at[still & ~np.isin(own[at], own[at[best[at] <= exact[at]]])]
+        if not len(at):
+            break
+    return p, best
 
 
 def refine_omega(curves: DataFrame, key: str, x: str, y: str, starts: tuple[float, ...] = (0.5, 1.0, 2.0, 4.0)) -> DataFrame:
     """(key, omega, amplitude, phi, offset, mse): a sine fitted to each curve from several starts: given ones, and those
     that a scan of frequencies finds, as the error has a valley for each half wave that the curve's length tells apart. A
-    curve is a group."""
+    curve is a group; those of like length take their steps together."""
+
+    def fitted(ts: list[np.ndarray], vs: list[np.ndarray]) -> list[tuple]:
+        begin = [[*starts, *scanned(t, v)] for t, v in zip(ts, vs, strict=True)]
+        own = np.repeat(np.arange(len(ts)), [len(b) for b in begin])
+        n, most = np.array([len(t) for t in ts]), max(len(t) for t in ts)
+        t, v = (np.stack([np.pad(a, (0, most - len(a))) for a in every]) for every in (ts, vs))
+        p = np.array([(w, vs[i].std() * 1.4 + 1e-9, 0.0, vs[i].mean()) for i, b in enumerate(begin) for w in b])
+        p, error = sines(t[own], v[own], (np.arange(most) < n[:, None])[own], p, own)
+        out = []
+        for i in range(len(ts)):
+            mine = np.flatnonzero(own == i)
+            (w, a, phi, c), m = p[(k := mine[np.where(np.isnan(error[mine]), np.inf, error[mine]).argmin()])], error[k]
+            out.append((abs(w), abs(a), phi, c, m / n[i]))
+        return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, v = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
-        res = lambda p: p[1] * np.sin(p[0] * t + p[2]) + p[3] - v
-        got = min((levenberg(res, np.array([w, v.std() * 1.4 + 1e-9, 0.0, v.mean()]), 60) for w in (*starts, *scanned(t, v))), key=lambda g: g[1])
-        (w, a, phi, c), m = got
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "omega": [abs(w)], "amplitude": [abs(a)], "phi": [phi], "offset": [c], "mse": [m]})
+    def run(batches):
+        for batch in batches:
+            points, ends = batch.column(1).flatten(), np.cumsum(batch.column(1).value_lengths().to_numpy())[:-1]
+            ts, vs = (np.split(points.field(k).to_numpy(zero_copy_only=False).astype(float), ends) for k in (0, 1))
+            out: list = [None] * batch.num_rows
+            order, k = sorted(range(len(out)), key=lambda i: (len(ts[i]), i), reverse=True), 0
+            while k < len(order):
+                block = order[k : k + max(1, HELD // (8 * len(ts[order[k]])))]
+                for i, got in zip(block, fitted([ts[i] for i in block], [vs[i] for i in block]), strict=True):
+                    out[i] = got
+                k += len(block)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in zip(*out, strict=True))], names=[key, "omega", "amplitude", "phi", "offset", "mse"])
 
     kind = curves.schema[key].dataType.simpleString()
-    return curves.select(key, x, y).groupBy(key).applyInPandas(run, f"{key} {kind}, omega double, amplitude double, phi double, offset double, mse double")
+    point = F.struct(F.col(x).cast("double").alias("t"), F.col(y).cast("double").alias("v"))
+    whole = curves.groupBy(key).agg(F.array_sort(F.collect_list(point)).alias("points"))
+    return whole.mapInArrow(run, f"{key} {kind}, omega double, amplitude double, phi double, offset double, mse double")
 
 
 def templates(inputs: dict[str, Column]) -> dict[str, Column]:

@@ -5,7 +5,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from curvesmith.operators import basis, gram, nonlinear, spectrum
+from curvesmith.operators import basis, gram, nonlinear, refine, spectrum
 from curvesmith.plans import refinement, staged
 from curvesmith.sources.tables import sales
 
@@ -191,3 +191,20 @@ def test_long_form_is_made_apart_from_its_stage(spark):
     got = {(r.id, r.term_id): (r.name, r.value) for r in long.collect()}
     want = {(r.id, k): (terms[k].name, v) for r in rows.select("id", F.array(*[t.column for t in terms]).alias("b")).collect() for k, v in enumerate(r.b)}
     assert got == want and long.columns == ["id", "term_id", "name", "value"]
+
+
+def test_sines_of_many_curves(spark):
+    rng, rows, want = np.random.default_rng(4), [], {}
+    for k, n in enumerate((1, 2, 9, 40, 40, 200)):
+        t = np.sort(rng.uniform(0, 12, n))
+        v = (1.0 + k) * np.sin((0.7 + 0.5 * k) * t + 0.4) + 0.5 + 0.05 * rng.normal(size=n)
+        rows += [(k, float(a), float(b)) for a, b in zip(t, v, strict=True)]
+        f = lambda p, t=t, v=v: p[1] * np.sin(p[0] * t + p[2]) + p[3] - v
+        want[k] = min(refine.levenberg(f, np.array([w, v.std() * 1.4 + 1e-9, 0.0, v.mean()]), 60)[1] for w in (0.5, 1.0, 2.0, 4.0, *refine.scanned(t, v)))
+    df = spark.createDataFrame([*rows, (None, 1.0, 2.0), (None, 2.0, 2.5), (9, 1.0, None), (9, 2.0, 1.0)], "k int, t double, v double")
+    got = {r.k: r for r in refine.refine_omega(df, "k", "t", "v").collect()}
+    assert set(got) == {*want, None, 9} and math.isnan(got[9].mse)
+    for k, m in want.items():
+        assert got[k].mse <= m * (1 + 1e-6) + 1e-12, k
+    assert abs(got[5].omega - 3.2) < 0.01
+    assert refine.refine_omega(df.limit(0), "k", "t", "v").count() == 0
