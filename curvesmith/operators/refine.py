@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import safe
 from ..functions.expr import Node, num, show, var
+from ..sources.shared import dealt
 from . import diagnostics
 
 
@@ -160,28 +162,35 @@ def match_templates(rows: DataFrame, inputs: dict[str, Column], y: str) -> DataF
     return long.select("template", slope.alias("slope"), (1 - F.try_divide(left, F.col("c"))).alias("r2"))
 
 
+KINDS, SHARES = ("sum", "product", "quotient", "power", "function"), (0.3, 0.25, 0.1, 0.15, 0.2)
+FUNCTIONS = ("sin", "cos", "exp", "log", "sqrt")
+#: As Generator.choice() adds shares up: what it draws follows from one number in [0, 1), at a twentieth of its cost.
+UPTO = (np.cumsum(SHARES) / np.cumsum(SHARES)[-1]).tolist()
+
+
 def generated(rng: np.random.Generator, depth: int = 4) -> Node:
     """A random formula of one variable from a weighted grammar, no deeper than `depth`."""
     if depth <= 1 or rng.random() < 0.2:
         return var("x") if rng.random() < 0.7 else num(float(rng.integers(1, 6)))
-    kind = rng.choice(["sum", "product", "quotient", "power", "function"], p=[0.3, 0.25, 0.1, 0.15, 0.2])
+    kind = KINDS[bisect.bisect_right(UPTO, rng.random())]
     sub = lambda: generated(rng, depth - 1)
     if kind == "power":
         return Node("^", (var("x"), num(float(rng.integers(2, 5)))))
     if kind == "function":
-        return Node(str(rng.choice(["sin", "cos", "exp", "log", "sqrt"])), (sub(),))
+        return Node(FUNCTIONS[rng.integers(0, len(FUNCTIONS))], (sub(),))
     return Node({"sum": "+", "product": "*", "quotient": "/"}[kind], (sub(), sub()))
 
 
 def formulas_for(rows: DataFrame, key: str, seed: int = 0, depth: int = 4) -> DataFrame:
     """(key, formula): a generated formula for each row; it depends on the key and the seed only, so partitions have no say. A
-    null key counts as 0."""
+    null key counts as 0. Keys are a few bytes and formulas take long, so keys are dealt out to all cores first: a file of
+    millions of them is one task else."""
 
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame({key: pdf[key], "formula": [show(generated(np.random.default_rng([seed, 0 if pd.isna(i) else int(i)]), depth)) for i in pdf[key]]})
 
-    return rows.select(F.col(key).cast("long").alias(key)).mapInPandas(run, f"{key} bigint, formula string")
+    return dealt(rows.select(F.col(key).cast("long").alias(key))).mapInPandas(run, f"{key} bigint, formula string")
 
 
 def formula_corpus(spark, n: int, seed: int = 0, depth: int = 4) -> DataFrame:

@@ -1,3 +1,4 @@
+import bisect
 import json
 import math
 
@@ -239,3 +240,11 @@ def test_plans_push_down_and_prune(spark):
     assert fit.count("Exchange hashpartitioning") == 1  # partial sums before the only shuffle
     assert "p_partkey <= 500" in plan("basis_long").replace("#", " ").replace("p_partkey", "p_partkey", 1) or "PushedFilters" in plan("basis_long")
     assert "BatchEvalPython" not in "".join(map(plan, ("graph_eval", "moment_diagnostics", "threshold_f1", "dft_magnitude", "pareto_front")))
+
+
+def test_generated_formulas_are_dealt_out(spark):
+    from curvesmith.operators import refine
+
+    kinds = [np.random.default_rng([7, i]).choice(refine.KINDS, p=refine.SHARES) for i in range(500)]
+    assert kinds == [refine.KINDS[bisect.bisect_right(refine.UPTO, np.random.default_rng([7, i]).random())] for i in range(500)]
+    assert refine.formulas_for(spark.range(100).coalesce(1), "id", 1).rdd.getNumPartitions() > 1
