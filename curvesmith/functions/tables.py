@@ -20,6 +20,10 @@ def _listed(argument: AnalyzeArgument, what: str) -> list[str]:
     return [x.strip() for x in argument.value.split(";") if x.strip()]
 
 
+#: Rows that are evaluated together.
+HELD = 4096
+
+
 @F.udtf
 class LongBasis:
     """long_basis(TABLE(rows), 'k1; k2', 'x; x*y; sin(x)'): a row (keys as they are in the table, term_id, name, value) for
@@ -40,18 +44,37 @@ class LongBasis:
         return AnalyzeResult(schema.add("term_id", T.IntegerType()).add("name", T.StringType()).add("value", T.DoubleType()))
 
     def __init__(self):
-        self.parsed = None
+        self.parsed, self.held = None, []
 
     def eval(self, row, keys: str, terms: str) -> Iterator[tuple]:
         if self.parsed is None:
             names = [x.strip() for x in terms.split(";") if x.strip()]
-            self.parsed = [x.strip() for x in keys.split(";") if x.strip()], [(i, n, t, sorted(expr.variables(t))) for i, n in enumerate(names) for t in (expr.parse(n),)]
-        named, parsed = self.parsed
-        own = tuple(row[k] for k in named)
-        for i, name, tree, inputs in parsed:
-            at = {v: row[v] for v in inputs}
-            known = all(v is not None for v in at.values())
-            yield (*own, i, name, float(expr.to_numpy(tree, {k: np.float64(v) for k, v in at.items()})) if known else None)
+            self.parsed = [x.strip() for x in keys.split(";") if x.strip()], [(n, t, sorted(expr.variables(t))) for n in names for t in (expr.parse(n),)]
+            self.used = sorted({v for _, _, inputs in self.parsed[1] for v in inputs})
+        named, _ = self.parsed
+        self.held.append((tuple([row[k] for k in named]), [row[v] for v in self.used]))
+        if len(self.held) >= HELD:
+            yield from self.flushed()
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.held:
+            yield from self.flushed()
+
+    def flushed(self) -> Iterator[tuple]:
+        """The rows that wait, all in one evaluation of each term."""
+        held, self.held = self.held, []
+        at = {v: [given[k] for _, given in held] for k, v in enumerate(self.used)}
+        null = {v: np.array([x is None for x in xs]) for v, xs in at.items()}
+        at = {v: np.array([np.nan if x is None else x for x in xs], float) for v, xs in at.items()}
+        columns = []
+        for name, tree, inputs in self.parsed[1]:
+            values = np.broadcast_to(np.asarray(expr.to_numpy(tree, {v: at[v] for v in inputs}), float), len(held)).astype(object)
+            for v in inputs:
+                values[null[v]] = None
+            columns.append((name, values.tolist()))
+        for i, (own, _) in enumerate(held):
+            for k, (name, values) in enumerate(columns):
+                yield (*own, k, name, values[i])
 
 
 def register(spark: SparkSession) -> None:

@@ -94,7 +94,7 @@ def basis_long_sql(spark, d):
     """The long form of six terms of every part, by a table function called from SQL."""
     tables.register(spark)
     v = table(spark, d, "part").select("p_partkey", (F.col("p_size") / F.lit(10.0)).alias("s"), (F.col("p_retailprice") / F.lit(1000.0)).alias("v"))
-    v.createOrReplaceTempView("curvesmith_part")
+    shared.dealt(v).createOrReplaceTempView("curvesmith_part")
     return spark.sql("SELECT p_partkey, term_id, name, floor(value * 1000000D + 0.5D) / 1000000D AS value FROM long_basis(TABLE(curvesmith_part), 'p_partkey', '1; s; v; s*v; s^2; v^2')")
 
 

@@ -92,3 +92,14 @@ def test_table_function(spark):
             spark.sql(f"SELECT * FROM long_basis(TABLE(own_part), '{keys}', '{terms}')").collect()
     spark.createDataFrame([(1, None), (2, 3.0)], "k int, s double").createOrReplaceTempView("own_odd")
     assert sorted((r.k, r.value) for r in spark.sql("SELECT * FROM long_basis(TABLE(own_odd), 'k', 's^2')").collect() if r.value) == [(2, 9.0)]
+
+
+def test_table_function_evaluates_many_rows_at_once():
+    one = tables.LongBasis.func()
+    row = lambda i: {"k": i, "x": None if i % 5 == 0 else float(i)}
+    n = tables.HELD + 7
+    got = [list(one.eval(row(i), "k", "1; x^2")) for i in range(n)]
+    assert [len(g) for g in got] == [0] * (tables.HELD - 1) + [2 * tables.HELD] + [0] * 7
+    rows = [r for g in got for r in g] + list(one.terminate())
+    assert rows == [r for i in range(n) for r in ((i, 0, "1", 1.0), (i, 1, "x^2", None if i % 5 == 0 else float(i * i)))]
+    assert list(one.terminate()) == []
