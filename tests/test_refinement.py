@@ -208,3 +208,25 @@ def test_sines_of_many_curves(spark):
         assert got[k].mse <= m * (1 + 1e-6) + 1e-12, k
     assert abs(got[5].omega - 3.2) < 0.01
     assert refine.refine_omega(df.limit(0), "k", "t", "v").count() == 0
+
+
+def test_inner_products_by_value(spark):
+    rng = np.random.default_rng(5)
+    x, y = np.round(rng.uniform(-2, 2, 3000), 1), rng.normal(size=3000)
+    odd = [(None, 1.0), (1.0, None), (float("nan"), 1.0), (float("inf"), 1.0), (1.0, float("-inf")), (0.0, 1.0), (-0.0, 2.0)]
+    df = spark.createDataFrame([*zip(x.tolist(), y.tolist(), strict=True), *odd], "x double, y double")
+    x, y = np.append(x, [0.0, 0.0]), np.append(y, [1.0, 2.0])
+    values = nonlinear.by_value(df, "x", "y")
+    assert values.count() == len(np.unique(x))
+    for shape, p in ((nonlinear.powers(2), np.array([0.7, 2.4])), (nonlinear.waves(1), np.array([1.3]))):
+        ok = shape.usable(x)
+        cols, slopes = shape.columns(x[ok], p)
+        z = np.column_stack([*cols, *[s for _, _, s in slopes], y[ok], np.ones(ok.sum())])
+        assert np.allclose(nonlinear.inner_products(values, [(shape, p)])[0], z.T @ z, rtol=1e-9, atol=1e-9)
+    many = line(spark, 300, y=at())
+    assert nonlinear.by_value(many, "x", "y").count() == 300
+    nonlinear.VALUES, kept = 10, nonlinear.VALUES
+    try:
+        assert np.allclose(nonlinear.inner_products(nonlinear.by_value(df, "x", "y"), [(shape, p)])[0], z.T @ z, rtol=1e-9, atol=1e-9)
+    finally:
+        nonlinear.VALUES = kept
