@@ -37,7 +37,9 @@ class Gram:
 def partial(projected: DataFrame, k: int, by: str | None = None, first: int = 0) -> DataFrame:
     """projected (b, y, ok) to (i, j, v), or with a whole-number column `by` to (fold, i, j, v): entries of [B y 1]'[B y 1],
     so that column k+1 holds the sums and the number of rows. `first`: only products with the columns from there on, as
-    those of all columns before are known."""
+    those of all columns before are known. Where there are columns `_n` and `_m2` a row stands for _n rows of equal B, y is
+    their mean, and _m2 the sum of squares that y leaves of theirs."""
+    counted = "_n" in projected.columns
 
     def run(batches):
         totals: dict[int, np.ndarray] = {}
@@ -50,13 +52,15 @@ def partial(projected: DataFrame, k: int, by: str | None = None, first: int = 0)
             a = np.column_stack([flat.reshape(-1, k), y, np.ones(len(y))])
             fine = np.isfinite(a).all(1)
             a = a[fine]
-            if by is None:
-                totals[0] = totals.get(0, 0.0) + a[:, first:k if first else None].T @ a
-                continue
-            fold = batch.column(3).to_numpy(zero_copy_only=False)[fine]
-            for f in np.unique(fold).tolist():
-                own = a[fold == f]
-                totals[f] = totals.get(f, 0.0) + own[:, first:k if first else None].T @ own
+            n, m2 = (batch.column(batch.num_columns - c).to_numpy(zero_copy_only=False).astype(float)[fine] for c in (2, 1)) if counted else (None, None)
+            fold = None if by is None else batch.column(3).to_numpy(zero_copy_only=False)[fine]
+            for f in [0] if fold is None else np.unique(fold).tolist():
+                at = slice(None) if fold is None else fold == f
+                own = a[at]
+                got = own[:, first:k if first else None].T @ (own * n[at, None] if counted else own)
+                if counted and not first:
+                    got[k, k] += m2[at].sum()
+                totals[f] = totals.get(f, 0.0) + got
         for f, total in totals.items():
             i, j = np.indices(total.shape).reshape(2, -1)
             # of a pair of new columns one entry is enough; one with an old column has its new column as i
@@ -67,7 +71,7 @@ def partial(projected: DataFrame, k: int, by: str | None = None, first: int = 0)
 
     keys = ["i", "j"] if by is None else ["fold", "i", "j"]
     kept = ["b", "y", "ok"] if by is None else ["b", "y", "ok", F.col(by).cast("long").alias("fold")]
-    parts = projected.select(*kept).mapInArrow(run, ("" if by is None else "fold long, ") + "i int, j int, v double")
+    parts = projected.select(*kept, *(["_n", "_m2"] if counted else [])).mapInArrow(run, ("" if by is None else "fold long, ") + "i int, j int, v double")
     return parts.groupBy(*keys).agg(F.sum("v").alias("v"))
 
 

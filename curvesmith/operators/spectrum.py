@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import safe
@@ -42,15 +42,17 @@ def peaks(v: np.ndarray, step: float, top: int) -> list[float]:
     return out
 
 
-def frequencies(curves: DataFrame, keys: list[str], x: str, y: str, top: int = 3, size: int = GRID) -> DataFrame:
+def frequencies(curves: DataFrame, keys: list[str], x: str, y: str, top: int = 3, size: int = GRID, count: Column | None = None) -> DataFrame:
     """(keys, n, omegas: array of at most `top` angular frequencies) of every curve. Of the points between two places of
     the grid only the first and the last matter to it, and they come from a grouped minimum and maximum of (x, y), combined
     before the shuffle (within partitions Spark sorts for that): a curve of any length leaves its executors as at most `size`
     cells. Points that are no finite
-    numbers don't count; of points at the same x the least and the greatest y stand."""
+    numbers don't count; of points at the same x the least and the greatest y stand. count: how many points a row is, one if
+    not given."""
     v = [F.col(c).cast("double") for c in (x, y)]
-    points = curves.select(*keys, v[0].alias("_x"), v[1].alias("_y")).filter(safe.is_finite(F.col("_x")) & safe.is_finite(F.col("_y")))
-    span = points.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count(F.lit(1)).alias("n"))
+    count = F.lit(1) if count is None else count
+    points = curves.select(*keys, v[0].alias("_x"), v[1].alias("_y"), count.cast("long").alias("_count")).filter(safe.is_finite(F.col("_x")) & safe.is_finite(F.col("_y")))
+    span = points.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_count").alias("n"))
     step = (F.col("_hi") - F.col("_lo")) / F.lit(float(size - 1))
     cell = F.when(F.col("_x") >= F.col("_hi"), size - 1).otherwise(F.least(F.floor((F.col("_x") - F.col("_lo")) / step), F.lit(size - 1)))
     point = F.struct("_x", "_y")
@@ -69,7 +71,7 @@ def frequencies(curves: DataFrame, keys: list[str], x: str, y: str, top: int = 3
     return ends.select(*keys, "n", found(xs("_x"), xs("_y")).alias("omegas"))
 
 
-def dominant(rows: DataFrame, x: str, y: str, top: int = 3) -> tuple[float, ...]:
+def dominant(rows: DataFrame, x: str, y: str, top: int = 3, count: Column | None = None) -> tuple[float, ...]:
     """The frequencies of all rows as one curve."""
-    got = frequencies(rows, [], x, y, top).first()
+    got = frequencies(rows, [], x, y, top, count=count).first()
     return tuple(got["omegas"]) if got else ()

@@ -4,6 +4,7 @@ of the data and in folds."""
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import expr, safe
 from ..operators import basis, nonlinear, refine, spectrum
 from ..operators.gram import Fit, Sums, bic_eliminate, bordered, exact_search, fold_sums, lasso_path, ols
+from ..sources.shared import cut
 from .estimator import formula_of
 
 #: The guard by folds, and what a term costs a candidate within a stage and between stages.
@@ -84,8 +86,51 @@ def edge_rows(rows: DataFrame, inputs: list[str], share: float) -> Column:
     return far > F.lit(cut or 0.0)
 
 
+@dataclass
+class Held:
+    """What a fit reads of rows: (inputs, _fold, _n, _mean, _m2, _lo, _hi), a row for each value of the inputs in a fold with
+    how many rows have it, their targets' mean, the squares it leaves, and the least and greatest target. All that depends on
+    a row's inputs is the same for these, so no more is needed. Where inputs have few values they are counted once, combined
+    before the shuffle, and stored; else a row is its own value. Rows without a finite target don't count; inputs that are no
+    numbers are a value."""
+
+    frame: DataFrame
+    inputs: list[str]
+    few: bool
+
+    @classmethod
+    def of(cls, rows: DataFrame, inputs: list[str], y: str) -> Held:
+        own = rows.select(*inputs, "_fold", F.col(y).cast("double").alias("_y")).filter(safe.is_finite(F.col("_y")))
+        if not nonlinear.few_values(own, *[F.col(c) for c in inputs]):
+            return cls(own.select(*inputs, "_fold", F.lit(1.0).alias("_n"), F.col("_y").alias("_mean"), F.lit(0.0).alias("_m2"), F.col("_y").alias("_lo"), F.col("_y").alias("_hi")), inputs, False)
+        n = F.count(F.lit(1)).cast("double")
+        sums = [n.alias("_n"), F.avg("_y").alias("_mean"), (n * F.var_pop("_y")).alias("_m2"), F.min("_y").alias("_lo"), F.max("_y").alias("_hi")]
+        return cls(cut(own.groupBy(*inputs, "_fold").agg(*sums)), inputs, True)
+
+    @cached_property
+    def moments(self) -> tuple[float, float, float]:
+        """Number, mean and mean square of all targets."""
+        n, s, q = self.frame.agg(F.sum("_n"), F.sum(F.col("_n") * F.col("_mean")), F.sum(F.col("_n") * F.col("_mean") * F.col("_mean") + F.col("_m2"))).first()
+        return (n, s / n, q / n) if n else (0.0, 0.0, 0.0)
+
+    def values(self) -> DataFrame:
+        """As nonlinear.by_value(), of one input."""
+        x, y = F.col(self.inputs[0]).cast("double"), F.col("_n") * F.col("_mean")
+        return self.frame.select(x.alias("_x"), "_n", y.alias("_y"), (y * F.col("_mean") + F.col("_m2")).alias("_yy")).filter(safe.is_finite(F.col("_x")))
+
+    @cached_property
+    def omegas(self) -> tuple[float, ...]:
+        """The frequencies of one input."""
+        x = self.inputs[0]
+        if not self.few:
+            return spectrum.dominant(self.frame, x, "_mean")
+        ends = F.array(F.struct(F.col("_lo").alias("y"), F.lit(1.0).alias("n")), F.struct(F.col("_hi").alias("y"), (F.col("_n") - 1).alias("n")))
+        return spectrum.dominant(self.frame.select(F.col(x).alias("_input"), F.explode(ends).alias("_e")).select("_input", "_e.y", "_e.n"), "_input", "y", count=F.col("n"))
+
+
 class StagedRegressor:
-    """Rows belong to a fold and to the edge or the core. One pass a stage gives the products of the stage's new columns
+    """Rows belong to a fold and to the edge or the core; all passes but the first read a row a value of the inputs where
+    those are few (Held). One pass a stage gives the products of the stage's new columns
     with all columns for each of these parts, beside those that earlier stages made; what fits the core is held against
     the edge. Refinement makes a pass a step. A last pass scores the displayed formulas of all stages in every fold.
 
@@ -100,7 +145,9 @@ class StagedRegressor:
         """fold: a whole number a row, taken modulo `folds`; else a digest of the row's inputs and target."""
         fold = F.xxhash64(*inputs, y) if fold is None else fold
         rows = rows.withColumn("_fold", F.pmod(fold.cast("long"), F.lit(self.folds)))
-        rows = rows.withColumn("_part", F.col("_fold") * 2 + F.coalesce(edge_rows(rows, inputs, self.edge), F.lit(False)).cast("int"))
+        edge = edge_rows(rows, inputs, self.edge)
+        held = Held.of(rows, inputs, y)
+        held.frame = held.frame.withColumn("_part", F.col("_fold") * 2 + F.coalesce(edge, F.lit(False)).cast("int"))
         found: list[Stage] = []
         best = None
 
@@ -114,35 +161,36 @@ class StagedRegressor:
             return best.error < 1e-6 and best.n_terms <= FREE_TERMS
 
         done = len(inputs) > 1 and offer(self._template(rows, inputs, y))
-        done = done or self._linear(rows, inputs, y, offer)
+        done = done or self._linear(held, inputs, offer)
         if not done and len(inputs) == 1:
-            self._refined(rows, inputs[0], y, lambda: best, offer)
-        return self._scored(rows, inputs, y, found, best)
+            self._refined(held, inputs[0], lambda: best, offer)
+        return self._scored(held, inputs, found, best)
 
     def _template(self, rows: DataFrame, inputs: list[str], y: str) -> Stage | None:
         """A fixed shape with a factor, if it leaves next to nothing."""
         got = refine.match_templates(rows, {c: F.col(c) for c in inputs}, y).filter("r2 > 1 - 1e-9").orderBy(F.desc("r2"), "template").first()
         return got and Stage("template", f"{got['slope']:.10g}*({got['template']})", 0.0, 1, error=max(0.0, 1 - got["r2"]))
 
-    def _linear(self, rows: DataFrame, inputs: list[str], y: str, offer) -> bool:
+    def _linear(self, held: Held, inputs: list[str], offer) -> bool:
+        project = lambda terms: basis.project(held.frame, terms, F.col("_mean"), ("_part", "_n", "_m2"))
         likely = {"power", "product"} if self.predictions is None else {k for k, v in self.predictions.items() if v >= 0.3} | {"power"}
         every = basis.allowed(basis.catalog({c: F.col(c) for c in inputs}, self.max_power), self.constraints)
         terms = [t for t in every if t.family in likely | {"constant"}]
-        parts = fold_sums(basis.project(rows, terms, F.col(y), ("_part",)), len(terms), "_part")
+        parts = fold_sums(project(terms), len(terms), "_part")
         if not parts:
             return False
         if offer(self._best(terms, parts, "minimal")):
             return True
         rest = [t for t in every if t not in terms] if self.expand else []
         if rest:
-            parts = bordered(basis.project(rows, terms + rest, F.col(y), ("_part",)), len(terms) + len(rest), "_part", parts)
+            parts = bordered(project(terms + rest), len(terms) + len(rest), "_part", parts)
             terms = terms + rest
             if offer(self._best(terms, parts, "universal")):
                 return True
-        omegas = spectrum.dominant(rows, inputs[0], y) if len(inputs) == 1 and self.constraints.get("periodic", True) else ()
+        omegas = held.omegas if len(inputs) == 1 and self.constraints.get("periodic", True) else ()
         more = [t for w in omegas for t in basis.waves(inputs[0], F.col(inputs[0]), w) if t.name not in {o.name for o in terms}]
         if more:
-            parts = bordered(basis.project(rows, terms + more, F.col(y), ("_part",)), len(terms) + len(more), "_part", parts)
+            parts = bordered(project(terms + more), len(terms) + len(more), "_part", parts)
             return offer(self._best(terms + more, parts, "frequencies"))
         return False
 
@@ -165,38 +213,39 @@ class StagedRegressor:
             out.append((score, mse, f.terms, Stage(stage, formula_of(terms, f, f.stage.startswith("exact"), 12), mse, len(f.terms), far, error=mse / scale)))
         return min(out, key=lambda o: o[:3])[3] if out else None
 
-    def _refined(self, rows: DataFrame, x: str, y: str, now, offer) -> None:
-        scale = max(nonlinear.mean_square(rows, y), 1e-300)
+    def _refined(self, held: Held, x: str, now, offer) -> None:
+        scale, values, rows, y = max(held.moments[2], 1e-300), held.values(), held.frame, "_mean"
         show = lambda t, stage: Stage(stage, t.formula(x, 1e-8), t.mse, int(np.sum(np.abs(t.weights) > 1e-8)), error=t.mse / scale)
         wavy, curved = self.constraints.get("periodic", True), self.constraints.get("power", True)
         far = lambda error: now() is None or now().error > error
         if curved and (far(5e-5) or now().n_terms > 6):
-            t = nonlinear.best_of(nonlinear.refine_powers(rows, x, y), scale)
+            t = nonlinear.best_of(nonlinear.refine_powers(rows, x, y, values=values), scale)
             if t is not None and offer(show(t, "powers")):
                 return
         if not wavy or not far(1e-4):
             return
-        omegas = spectrum.dominant(rows, x, y)
-        t = nonlinear.best_of(nonlinear.refine(rows, x, y, [(nonlinear.waves(k), np.array(omegas[:k])) for k in range(1, len(omegas) + 1)]), scale)
+        omegas = held.omegas
+        t = nonlinear.best_of(nonlinear.refine(rows, x, y, [(nonlinear.waves(k), np.array(omegas[:k])) for k in range(1, len(omegas) + 1)], values=values), scale)
         if t is not None and offer(show(t, "waves")):
             return
         if curved and far(1e-4):
-            tried = nonlinear.refine_quotient(rows, x, y, omegas)
+            tried = nonlinear.refine_quotient(rows, x, y, omegas, values=values)
             if tried:
                 offer(show(tried[0], "quotient"))
 
-    def _scored(self, rows: DataFrame, inputs: list[str], y: str, found: list[Stage], best: Stage | None) -> StagedModel:
+    def _scored(self, held: Held, inputs: list[str], found: list[Stage], best: Stage | None) -> StagedModel:
         """Errors of what is displayed, over all rows, and of the chosen formula in each fold."""
         if best is None:
             return StagedModel("0", inputs, float("nan"), [], [], False, "no_fit")
         given = {c: F.col(c) for c in inputs}
-        v = F.col(y).cast("double")
+        v, n, m2 = (F.col(c) for c in ("_mean", "_n", "_m2"))
         left = [F.col(f"_e{i}") for i in range(len(found))]
-        scored = rows.select("_fold", v.alias("_y"), *[(v - expr.to_column(expr.parse(s.formula), given)).alias(f"_e{i}") for i, s in enumerate(found)])
-        sums = [F.sum(F.when(safe.is_finite(e), e * e)).alias(f"s{i}") for i, e in enumerate(left)]
-        got = scored.filter(safe.is_finite(F.col("_y"))).groupBy("_fold").agg(F.count(F.lit(1)).alias("n"), F.var_pop("_y").alias("v"), F.avg(F.col("_y") * F.col("_y")).alias("q"), *sums).orderBy("_fold").collect()
-        n = sum(r["n"] for r in got)
-        scale = max(sum(r["q"] * r["n"] for r in got) / max(n, 1), 1e-300)
+        scored = held.frame.select("_fold", n, m2, (v - F.lit(held.moments[1])).alias("_off"), *[(v - expr.to_column(expr.parse(s.formula), given)).alias(f"_e{i}") for i, s in enumerate(found)])
+        sums = [F.sum(F.when(safe.is_finite(e), n * e * e + m2)).alias(f"s{i}") for i, e in enumerate(left)]
+        off, count = F.col("_off"), F.sum(n)  # from the mean of all, so that little of a fold's variance is lost
+        spread = F.sum(n * off * off + m2) / count - F.pow(F.sum(n * off) / count, F.lit(2.0))
+        got = scored.groupBy("_fold").agg(count.cast("long").alias("n"), F.greatest(spread, F.lit(0.0)).alias("v"), *sums).orderBy("_fold").collect()
+        n, scale = sum(r["n"] for r in got), max(held.moments[2], 1e-300)
         for i, s in enumerate(found):
             s.mse = sum(r[f"s{i}"] or 0.0 for r in got) / max(n, 1)
             s.error = s.mse / scale
