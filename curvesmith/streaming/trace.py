@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,43 +53,69 @@ def stagnation(stats: DataFrame, least: int = 5) -> DataFrame:
     return stats.groupBy("run_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-WAITING = "best double, since int, rest int, times array<bigint>, values array<double>"
+#: Of a group of keys, as Arrow tables: (key, best, since, rest) of each key, and the points (key, _at, value) that wait.
+WAITING = "standing binary, waiting binary"
+#: Groups that keys fall into.
+BUCKETS = 4096
 
 
-def ordered_stagnation(points: DataFrame, key: str, at: str, value: str, late: str = "1 day", least: int = 5, cooldown: int = 3) -> DataFrame:
+def packed(rows: pd.DataFrame) -> bytes:
+    t, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(rows: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(pa.py_buffer(bytes(rows))).read_pandas()
+
+
+def ordered_stagnation(points: DataFrame, key: str, at: str, value: str, late: str = "1 day", least: int = 5, cooldown: int = 3, buckets: int = BUCKETS) -> DataFrame:
     """(key, at, best, since, stagnant, fires) for every point of a stream: the least value of the key so far, for how many
     points it has stood, whether for `least` or more, and whether that is to be acted on: not again within the `cooldown`
     points after the last time.
 
-    Points may come in any order within `late`: they wait in the key's state until the watermark is past them, and a timer
-    of the key wakes it then even if nothing new comes. Points at the same time go by value. Those that come after the
-    watermark is past them are left out. Null keys, times and values don't count. The state is the pending points of a key
-    and three numbers. Batch tables give the same rows by `SELECT` windows over what lies before the watermark."""
-    kind = points.schema[key].dataType.simpleString()
+    Points may come in any order within `late`: they wait in the state until the watermark is past them, and a timer
+    wakes it then even if nothing new comes. Points at the same time go by value. Those that come after the
+    watermark is past them are left out. Null keys, times and values don't count; keys are of a plain type. The state of a key
+    is its pending points and three numbers. Keys share `buckets` states by their hash, as each state costs a call and the
+    start of a few frames whenever it wakes, however few its points: a key of its own would cost that for some 70 points.
+    Batch tables give the same rows by `SELECT` windows over what lies before the watermark."""
+    kind, own = points.schema[key].dataType.simpleString(), [key, "_at", "value"]
     rows = points.select(key, F.col(at).cast("timestamp").alias("at"), F.col(value).cast("double").alias("value")).na.drop().withWatermark("at", late)
-    empty = {key: pd.Series([], dtype=object), "at": pd.Series([], dtype="datetime64[ns]"), "best": [], "since": [], "stagnant": [], "fires": []}
+    rows = rows.withColumns({"_at": F.unix_micros("at"), "_bucket": F.pmod(F.xxhash64(key), F.lit(buckets))})
 
     def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, since, rest, times, values = state.get if state.exists else (float("inf"), 0, 0, [], [])
+        standing, waiting = state.get if state.exists else (None, None)
         passed = state.getCurrentWatermarkMs() * 1000
-        pending = list(zip(times, values, strict=True))
-        for pdf in batches:
-            micros = pdf["at"].astype("datetime64[us]").astype("int64")
-            pending += [(int(t), float(v)) for t, v in zip(micros, pdf["value"], strict=True) if t >= passed]
-        out = []
-        for t, v in sorted(p for p in pending if p[0] < passed):
-            best, since = (v, 0) if v < best else (best, since + 1)
-            fires = since >= least and rest == 0
-            rest = cooldown if fires else max(0, rest - 1)
-            out.append((name[0], pd.Timestamp(t, unit="us"), best, since, since >= least, fires))
-        pending = sorted(p for p in pending if p[0] >= passed)
-        state.update((best, since, rest, [p[0] for p in pending], [p[1] for p in pending]))
-        if pending:
-            state.setTimeoutTimestamp(max(pending[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=list(empty)) if out else pd.DataFrame(empty)
-
-    schema = f"{key} {kind}, at timestamp, best double, since int, stagnant boolean, fires boolean"
-    return rows.groupBy(key).applyInPandasWithState(run, schema, WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+        parts = [unpacked(waiting)] if waiting else []
+        parts += [pdf.loc[pdf["_at"] >= passed, own] for pdf in batches]
+        parts = [p for p in parts if len(p)]
+        if not parts:
+            return
+        pending = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+        ready = pending["_at"] < passed
+        now, pending = pending[ready], pending[~ready]
+        if len(now):
+            held = {k: tuple(rest) for k, *rest in zip(*map(list, (c for _, c in unpacked(standing).items())), strict=True)} if standing else {}
+            now = now.iloc[np.lexsort((now["value"], now["_at"]))]
+            out = []
+            for k, v in zip(now[key], now["value"], strict=True):
+                best, since, rest = held.get(k, (float("inf"), 0, 0))
+                best, since = (v, 0) if v < best else (best, since + 1)
+                fires = since >= least and rest == 0
+                held[k] = best, since, cooldown if fires else max(0, rest - 1)
+                out.append((best, since, since >= least, fires))
+            standing = packed(pd.DataFrame([(k, *h) for k, h in held.items()], columns=[key, "best", "since", "rest"]))
+            best, since, stagnant, fires = zip(*out, strict=True)
+            yield pd.DataFrame({key: now[key].to_numpy(), "_at": now["_at"].to_numpy(), "best": best, "since": since, "stagnant": stagnant, "fires": fires})
+        state.update((standing, packed(pending) if len(pending) else None))
+        if len(pending):
+            state.setTimeoutTimestamp(max(int(pending["_at"].min()) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+    schema = f"{key} {kind}, _at bigint, best double, since int, stagnant boolean, fires boolean"
+    out = rows.groupBy("_bucket").applyInPandasWithState(run, schema, WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(key, F.timestamp_micros("_at").alias("at"), "best", "since", "stagnant", "fires")
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "update", checkpoint: str | None = None) -> DataFrame:

@@ -160,3 +160,34 @@ def test_slices_shuffle_no_rows(spark):
     for spans in ([104.0, 0.1, 4.9], [0.0, 0.0], [1e9, 1.0], [1.0], [1.0] * 7):
         width, per = slices.cubes(spans)
         assert np.prod(per) <= slices.CELLS and all(w * width >= s * (1 - 1e-9) or w == slices.CELLS for w, s in zip(per, spans, strict=True))
+
+
+@pytest.mark.parametrize("zone, kind", [("UTC", "int"), ("Asia/Tokyo", "string")])
+def test_keys_of_stagnation_share_states(spark, tmp_path, zone, kind):
+    """60 keys in 4 states, in several triggers: the rows of each key on its own, whatever the session's time zone."""
+    start, hour = 1_704_067_200, 3600
+    rows = [(k, start + (i * 7 + k) % 30 * hour + k % 3, float((i * 37 + k * 11) % 23)) for k in range(60) for i in range(25)]
+    rows.sort(key=lambda r: r[1])
+    for n in range(3):  # times of a file overlap with none of another
+        part = [r for r in rows if (r[1] - start) // (10 * hour) == n]
+        spark.createDataFrame(part, "k long, s long, v double").selectExpr(f"cast(k as {kind}) as k", "timestamp_seconds(s) as at", "v").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    zones = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        stream = spark.readStream.schema(f"k {kind}, at timestamp, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = trace.ordered_stagnation(stream, "k", "at", "v", "2 hours", buckets=4)
+        q = out.writeStream.format("memory").queryName(f"shared_{kind}").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+        q.awaitTermination()
+        got = spark.table(f"shared_{kind}").selectExpr("cast(k as int) as k", "unix_seconds(at) as s", "best", "since", "stagnant", "fires").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zones)
+    assert 0 < max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators) <= 4
+    want = []
+    for k in range(60):
+        best, since, rest = float("inf"), 0, 0
+        for _, s, v in sorted(r for r in rows if r[0] == k and r[1] < rows[-1][1] - 2 * hour):
+            best, since = (v, 0) if v < best else (best, since + 1)
+            fires = since >= 5 and rest == 0
+            rest = 3 if fires else max(0, rest - 1)
+            want.append((k, s, best, since, since >= 5, fires))
+    assert any(w[-1] for w in want) and sorted(map(tuple, got)) == sorted(want)
