@@ -33,6 +33,15 @@ def symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number.astype(np.int32) + 1, out
 
 
+def dealt(number: np.ndarray) -> np.ndarray:
+    """Stable order of int32 numbers from 0, dealt by their lower, then by their upper 16 bits: numpy deals numbers that
+    short in linear time, and sorts longer ones."""
+    order = np.argsort(number.astype(np.uint16), kind="stable")
+    if len(number) and (upper := number >> 16).any():
+        order = order[np.argsort(upper.astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 class Shard:
     """Transform of some strings: bwt[i] is the symbol before the i-th suffix (0: none); place[i] is where that suffix
     begins (index in the symbols of all strings), -1 for the ends of chains."""
@@ -50,13 +59,13 @@ class Shard:
         # rows 0..n-1 are suffixes, n.. the ends of chains; what stands before each row
         prev = np.concatenate([before, last])
         char = np.where(prev >= 0, own[prev], 0)
-        longest = int(size.max()) // SYMBOL + 2 if len(size) else 0
+        longest = -(-int(size.max()) // SYMBOL) if len(size) else 0  # symbols of the longest chain
         order = np.concatenate([np.arange(n, n + len(last)), i])
         ends = np.arange(n, n + len(last))
         for _ in range(longest):
             p = prev[order]
             p = p[p >= 0]
-            order = np.concatenate([ends, p[np.argsort(own[p], kind="stable")]])
+            order = np.concatenate([ends, p[dealt(own[p])]])
         self.bwt = char[order].astype(np.int32)
         self.place = np.where(order < n, order + base, -1)
 
@@ -71,7 +80,7 @@ def merged(shards: list[Shard], depth: int = DEPTH) -> tuple[np.ndarray, np.ndar
         row = np.empty(len(z), np.int64)  # the row that the k-th entry of a shard in the interleave stands for
         row[np.argsort(z, kind="stable")] = np.arange(len(z))
         c = bwt[row]
-        deal = np.argsort(c, kind="stable")
+        deal = dealt(c)
         z, c, block = z[deal], c[deal], block[deal]
         new = np.ones(len(z), bool)
         new[1:] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
@@ -92,18 +101,17 @@ def later_windows(data: np.ndarray, at: np.ndarray, ids: np.ndarray, starts: np.
     place, block = merged([Shard(sym, sat, i, j) for i, j in zip(cuts, cuts[1:], strict=False)])
     ok = place >= 0
     place, block = place[ok], block[ok]
-    s = np.searchsorted(sat, place, side="right") - 1
+    s = np.repeat(np.arange(len(at) - 1), np.diff(sat))[place]
     off = place - sat[s]
     ok = off <= (at[s + 1] - at[s]) - WINDOW
     s, off, block = s[ok], off[ok], block[ok]
     n = np.bincount(block) if len(block) else np.zeros(1, np.int64)
     ok = n[block] > 1
     s, off, block = s[ok], off[ok], block[ok]
-    key = np.lexsort((starts[s] + off, ids[s], block))
-    s, off, block = s[key], off[key], block[key]
-    i, p = ids[s], starts[s] + off
-    first = np.ones(len(s), bool)
-    first[1:] = block[1:] != block[:-1]
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))
-    late = (i > i[lead]) | (p > p[lead])
+    if not len(s):
+        return s, off
+    _, document = np.unique(ids, return_inverse=True)
+    where = (document[s] << 32) | (starts[s] + off)  # places in the order of documents
+    first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    late = where > np.repeat(np.minimum.reduceat(where, first), np.diff(np.append(first, len(s))))
     return s[late], off[late]

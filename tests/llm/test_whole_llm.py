@@ -4,6 +4,7 @@ import hashlib
 import json
 from collections import Counter
 
+import numpy as np
 import pytest
 from test_llm import brute_repeats, passages
 
@@ -71,6 +72,35 @@ def test_suffix_dedup_of_rows_given_twice_in_hot_leaders(spark):
     assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == {(i, *v) for i, v in brute_repeats(rows).items()}
 
 
+def test_suffix_dedup_fetches_nothing_for_a_common_gram(spark):
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    common, passage = text(45), text(110)
+    rows = [(i, text(90) + common + text(90)) for i in range(60)] + [(100 + i, text(90) + passage + text(90)) for i in range(2)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    met = suffixdedup.meet(suffixdedup.scan(df, 3), 3, 4).filter(f"kind <> {suffixdedup.REPEAT}").collect()
+    assert {r.id for r in met} <= {100, 101}  # all sixty were dealt window by window
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.dedup_substrings(df.withColumnRenamed("id", "doc_id"), hot=4).collect()}
+    assert got == brute_repeats(rows) and got[101][1] >= 110 and not any(got[i][1] for i in range(60))
+
+
+@pytest.mark.parametrize("hot", [20_000, 6, 2, 1])
+def test_suffix_dedup_of_parts_of_passages(spark, hot):
+    rng = np.random.default_rng(11)
+    text = lambda n: "".join(rng.choice(list("abcdé "), n))
+    passage, rows = text(300), []
+    for i in range(150):  # cut and changed anywhere, so that leaders stand at any distance from where equal bytes end
+        a, n = int(rng.integers(0, 220)), int(rng.integers(60, 200))
+        part = passage[a : a + n]
+        if i % 3:
+            at = int(rng.integers(0, len(part)))
+            part = part[:at] + text(1 + i % 2) + part[at + 1 :]
+        rows.append((i, text(int(rng.integers(0, 90))) + part + text(int(rng.integers(0, 90)))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.dedup_substrings(df, hot=hot, bodies=False).collect()}
+    assert got == brute_repeats(rows)
+
+
 @pytest.mark.parametrize("damage", ["byte", "cut"])
 def test_warc_salvages_before_the_damage(spark, tmp_path, damage):
     rows = [(i, f"http://{i}", "".join(hashlib.sha256(b"%d %d" % (i, k)).hexdigest() for k in range(40))) for i in range(30)]
